@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
-from ..operators.quantiles import exact_quantiles
+from ..operators import rules as ru
+from ..operators import scoring as sc
+from ..operators import sequences as sq
+from ..operators import sessions as se
 from ..schema import FEATURES
 from ..sources.projection import security_alerts, security_events
 
@@ -72,6 +75,118 @@ def entity_flags(spark, sf):
 
 @query
 def feature_stats(spark, sf):
-    from ..operators.scoring import feature_stats as stats
+    return rounded(sc.feature_stats(ft.window_features(security_events(spark, sf))))
 
-    return rounded(stats(ft.window_features(security_events(spark, sf))))
+
+# ---------------------------------------------------------------- rules
+
+
+def _rule_rows(df: DataFrame) -> DataFrame:
+    return rounded(df.select(*ru.RULE_COLUMNS))
+
+
+@query
+def rule_brute_force(spark, sf):
+    return _rule_rows(ru.brute_force(security_events(spark, sf)))
+
+
+@query
+def rule_brute_force_sliding(spark, sf):
+    return _rule_rows(ru.brute_force(security_events(spark, sf), sliding=True))
+
+
+@query
+def rule_impossible_travel(spark, sf):
+    return rounded(ru.impossible_travel(security_events(spark, sf)))
+
+
+@query
+def rule_lateral_movement(spark, sf):
+    return rounded(ru.lateral_movement(security_events(spark, sf)))
+
+
+@query
+def all_rules(spark, sf):
+    return _rule_rows(ru.all_rules(security_events(spark, sf)))
+
+
+@query
+def rule_evidence(spark, sf):
+    return ru.rule_evidence(security_events(spark, sf))
+
+
+@query
+def lateral_hosts(spark, sf):
+    return ru.lateral_hosts(security_events(spark, sf))
+
+
+# ---------------------------------------------------------------- sessions and sequences
+
+
+@query
+def sessions(spark, sf):
+    return se.sessions(security_events(spark, sf))
+
+
+@query
+def session_events(spark, sf):
+    return se.session_events(security_events(spark, sf)).select("session_id", "event_id")
+
+
+@query
+def sessions_by_key(spark, sf):
+    found = se.sessions_by_key(se.sessions(security_events(spark, sf)))
+    return found.select(
+        "user_name", "ip", F.concat_ws(",", "session_ids").alias("session_ids")
+    )
+
+
+@query
+def token_vocab(spark, sf):
+    return sq.token_vocab(security_events(spark, sf))
+
+
+@query
+def token_sequences(spark, sf):
+    ev = security_events(spark, sf)
+    return sq.token_sequences(ev, sq.token_vocab(ev)).select(
+        "session_id", "length", F.concat_ws(" ", F.col("token_ids").cast("array<string>")).alias("ids")
+    )
+
+
+@query
+def sequence_surprisal(spark, sf):
+    ev = security_events(spark, sf)
+    vocab = sq.token_vocab(ev)
+    pairs = sq.session_transitions(sq.session_tail(ev, vocab))
+    scored = sq.surprisal(pairs, sq.fit_transitions(pairs), vocab)
+    return rounded(scored.select("session_id", "length", "raw_score"))
+
+
+# ---------------------------------------------------------------- scores
+
+
+@query
+def baseline_window_score(spark, sf):
+    windows = ft.window_features(security_events(spark, sf))
+    scored = sc.baseline_scores(windows, sc.feature_stats(windows))
+    scaled = sc.scale_by_batch(scored, "raw_score", "window_score")
+    return rounded(scaled.select("user_name", "ip", "start_ts", "raw_score", "window_score"))
+
+
+@query
+def quantile_scale(spark, sf):
+    windows = ft.window_features(security_events(spark, sf))
+    scaled = sc.scale_by_batch(windows, "bytes_sum", "bytes_scaled")
+    return rounded(scaled.select("user_name", "ip", "start_ts", "bytes_sum", "bytes_scaled"))
+
+
+@query
+def explain_features(spark, sf):
+    windows = ft.window_features(security_events(spark, sf))
+    return rounded(sc.explain_features(windows, sc.feature_stats(windows)))
+
+
+@query
+def explain_features_within(spark, sf):
+    return rounded(sc.explain_features(ft.window_features(security_events(spark, sf)), None, 3))

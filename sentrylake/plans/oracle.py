@@ -107,3 +107,165 @@ CTES["stats"] = """select feature, pos, count(*) as n, avg(x) as mean, stddev_po
 add("feature_stats", "ev freq profile feat melt stats",
     "select feature, n, " + ", ".join(f"round({c}, 6) as {c}" for c in
     ("mean", "std", "p5", "p25", "p50", "p75", "p95", "p99")) + " from stats")
+
+
+def sid(*parts: str) -> str:
+    text = " || ".join(f"coalesce(cast({p} as varchar), '-') || '|'" for p in parts)
+    return f"substr(sha256({text}), 1, 16)"
+
+
+def iso(ts: str) -> str:
+    return (
+        f"strftime({ts}, '%Y-%m-%dT%H:%M:%S') || case when epoch_us({ts}) % 1000000 = 0 then '' "
+        f"else strftime({ts}, '.%f') end || 'Z'"
+    )
+
+
+FAIL = "source = 'auth' and event_type in ('login_failure', 'authentication_failure') and ip <> ''"
+SUCC = (
+    "source = 'auth' and event_type in ('login_success', 'authentication_success') "
+    "and ip <> '' and user_name <> ''"
+)
+
+
+def rule_cols(name: str, confidence: str, text: str) -> str:
+    return (
+        f"{sid(chr(39) + name + chr(39), 'user_name', 'ip', iso('start_ts'), iso('end_ts'))} as rule_id, "
+        f"'{name}' as rule_name, round(least(1.0, {confidence}), 6) as confidence, {text} as description, "
+        "user_name, ip, start_ts, end_ts, n_events"
+    )
+
+
+BRUTE_TEXT = "'Brute force detected: ' || n_events || ' failed logins from ' || ip || ' in 5 minutes'"
+CTES["brute_frame"] = f"""select ip, ts, event_id, count(*) over (partition by ip order by ts
+ range between unbounded preceding and interval 5 minutes following) as n from ev where {FAIL}"""
+CTES["brute_hit"] = """select ip, min_by(ts, (ts, event_id)) as fire_ts, min_by(n, (ts, event_id)) as n_events
+ from brute_frame where n >= 5 group by ip"""
+CTES["brute_base"] = """select h.ip, cast(null as varchar) as user_name, n_events,
+ (select min(ts) from brute_frame f where f.ip = h.ip) as start_ts,
+ (select max(ts) from brute_frame f where f.ip = h.ip and f.ts <= h.fire_ts + interval 5 minutes) as end_ts
+ from brute_hit h"""
+CTES["brute"] = f"select {rule_cols('brute_force', 'n_events / 10.0', BRUTE_TEXT)} from brute_base"
+CTES["slide_frame"] = f"""select ip, ts, event_id, count(*) over w as n, max(ts) over w as end_ts from ev where {FAIL}
+ window w as (partition by ip order by ts range between current row and interval 5 minutes following)"""
+CTES["slide_base"] = """select ip, cast(null as varchar) as user_name, ts as start_ts, end_ts, n as n_events
+ from slide_frame where n >= 5 qualify row_number() over (partition by ip order by ts, event_id) = 1"""
+CTES["slide"] = f"select {rule_cols('brute_force', 'n_events / 10.0', BRUTE_TEXT)} from slide_base"
+CTES["logins"] = f"""select user_name as who, ip as ip_to, ts as end_ts, event_id as event_to,
+ lag(ip) over w as ip_from, lag(ts) over w as start_ts, lag(event_id) over w as event_from from ev
+ where {SUCC} window w as (partition by user_name order by ts, event_id)"""
+CTES["travel_base"] = """select *, who as user_name, cast(null as varchar) as ip, 2 as n_events,
+ (epoch_us(end_ts) - epoch_us(start_ts)) / 3600000000.0 as hours from logins
+ where ip_from <> ip_to and end_ts > start_ts"""
+TRAVEL_TEXT = (
+    "'Impossible travel: ' || user_name || ' logged in from ' || ip_from || ' then ' || ip_to || "
+    "' within ' || printf('%.2f', hours) || ' hours (required speed: ' || printf('%.0f', 100.0 / hours) || ' km/h)'"
+)
+CTES["travel"] = f"""select {rule_cols('impossible_travel', '100.0 / hours / 1800.0', TRAVEL_TEXT)},
+ ip_from, ip_to, event_from, event_to from travel_base where 100.0 / hours > 900.0"""
+CTES["moves_base"] = f"""select ip, {floor_to(1)} as bucket_ts, cast(null as varchar) as user_name,
+ count(distinct host) as n_hosts, min(ts) as start_ts, max(ts) as end_ts, count(*) as n_events
+ from ev where source in ('network','auth') and ip <> '' and host <> '' group by 1, 2
+ having count(distinct host) >= 3"""
+MOVE_TEXT = (
+    "'Lateral movement detected: ' || ip || ' accessed ' || n_hosts || ' distinct hosts in 10 minutes'"
+)
+CTES["moves"] = f"""select {rule_cols('lateral_movement', 'n_hosts / 6.0', MOVE_TEXT)}, n_hosts, bucket_ts
+ from moves_base"""
+RULE = "rule_id, rule_name, confidence, description, user_name, ip, start_ts, end_ts, n_events"
+CTES["rules"] = " union all ".join(f"select {RULE} from {t}" for t in ("brute", "travel", "moves"))
+BRUTE = "ev brute_frame brute_hit brute_base brute"
+TRAVEL = "logins travel_base travel"
+MOVES = "moves_base moves"
+RULES = f"{BRUTE} {TRAVEL} {MOVES} rules"
+CTES["rule_ev"] = f"""select rule_id, event_id from (select b.rule_id, f.event_id, row_number() over
+  (partition by f.ip order by f.ts, f.event_id) as rn from brute_frame f join brute b
+  on f.ip = b.ip and f.ts <= b.end_ts) where rn <= 20
+ union all select rule_id, event_from from travel union all select rule_id, event_to from travel
+ union all select rule_id, event_id from (select m.rule_id, e.event_id, row_number() over
+  (partition by m.rule_id order by e.ts, e.event_id) as rn from ev e join moves m on e.ip = m.ip
+  and {floor_to(1, 'e.ts')} = m.bucket_ts where source in ('network','auth') and host <> '')
+  where rn <= 20"""
+
+add("rule_brute_force", BRUTE, "select * from brute")
+add("rule_brute_force_sliding", "ev slide_frame slide_base slide", "select * from slide")
+add("rule_impossible_travel", f"ev {TRAVEL}", "select * from travel")
+add("rule_lateral_movement", f"ev {MOVES}", "select * from moves")
+add("all_rules", RULES, "select * from rules")
+add("rule_evidence", f"{RULES} rule_ev", "select * from rule_ev")
+add("lateral_hosts", f"ev {MOVES}", f"""select distinct rule_id, host from ev e join moves m
+ on e.ip = m.ip and {floor_to(1, 'e.ts')} = m.bucket_ts where source in ('network','auth') and host <> ''""")
+
+SESS_ID = "'sess_' || " + sid("user_name", "ip", iso("session_start"))
+CTES["gaps"] = """select *, case when lag(ts) over w is null or ts - lag(ts) over w > interval 30 minutes
+ then 1 else 0 end as opens from ev window w as (partition by user_name, ip order by ts, event_id)"""
+CTES["numbered"] = """select *, sum(opens) over (partition by user_name, ip order by ts, event_id
+ rows unbounded preceding) as session_no from gaps"""
+CTES["started"] = """select *, min(ts) over (partition by user_name, ip, session_no) as session_start
+ from numbered"""
+CTES["sev"] = f"select *, {SESS_ID} as session_id from started"
+SESS = "ev gaps numbered started sev"
+CTES["sess"] = """select session_id, user_name, ip, session_start as start_ts, max(ts) as end_ts,
+ count(*) as n_events from sev group by 1, 2, 3, 4"""
+add("sessions", f"{SESS} sess", "select * from sess")
+add("session_events", SESS, "select session_id, event_id from sev")
+add("sessions_by_key", f"{SESS} sess",
+    "select user_name, ip, string_agg(session_id, ',' order by start_ts) as session_ids from sess group by 1, 2")
+
+TOKEN = """case when source = 'process' and (command like '%curl %' or command like '%wget %') then 'process:download'
+ when source = 'process' and (command like '%useradd%' or command like '%chpasswd%') then 'process:account_create'
+ when source = 'process' and command like '%ssh %' then 'process:ssh'
+ when source = 'network' and dst_port in (4444, 8081, 1337, 9001) then 'network:rare_port'
+ else source || ':' || event_type end"""
+CTES["vocab"] = f"""select token, n, cast(row_number() over (order by n desc, token) + 1 as integer) as token_id
+ from (select {TOKEN} as token, count(*) as n from ev group by 1 having count(*) >= 2)"""
+CTES["tok"] = f"select *, {TOKEN} as token from sev"
+CTES["tail"] = """select session_id, user_name, ip, ts, event_id, coalesce(token_id, 1) as token_id
+ from (select * from tok qualify row_number() over (partition by session_id order by ts desc, event_id desc) <= 64)
+ left join vocab using (token)"""
+TAIL = f"{SESS} vocab tok tail"
+add("token_vocab", "ev vocab", "select * from vocab")
+add("token_sequences", TAIL, """select session_id, cast(count(*) as integer) as length,
+ string_agg(cast(token_id as varchar), ' ' order by ts, event_id) as ids from tail group by 1""")
+CTES["bigram"] = """select *, coalesce(lag(token_id) over (partition by session_id order by ts, event_id), 0)
+ as prev_id from tail"""
+CTES["pairn"] = "select prev_id, token_id, count(*) as n_pair from bigram group by 1, 2"
+CTES["ctxn"] = "select prev_id, count(*) as n_context from bigram group by 1"
+CTES["surp"] = """select session_id, count(*) as length,
+ avg(-ln((n_pair + 1.0) / (n_context + (select count(*) + 1 from vocab)))) as raw_score
+ from bigram join pairn using (prev_id, token_id) join ctxn using (prev_id) group by 1"""
+SURP = f"{TAIL} bigram pairn ctxn surp"
+add("sequence_surprisal", SURP,
+    "select session_id, length, round(raw_score, 6) as raw_score from surp")
+
+FEAT = "ev freq profile feat"
+STATS = f"{FEAT} melt stats"
+CTES["zs"] = """select m.*, abs(x - mean) / std as z, case when x <= p5 then 5.0 when x <= p25 then 15.0
+ when x <= p50 then 37.5 when x <= p75 then 62.5 when x <= p95 then 85.0 when x <= p99 then 97.0
+ else 99.5 end as percentile from melt m join stats s using (feature)"""
+CTES["wraw"] = "select user_name, ip, start_ts, max(z) as raw_score from zs group by 1, 2, 3"
+
+
+def scaled(x: str, table: str) -> str:
+    lo, hi = (f"(select quantile_cont({x}, {q}) from {table})" for q in (0.1, 0.9))
+    return f"greatest(0.0, least(1.0, (({x}) - {lo}) / greatest(1e-6, {hi} - {lo})))"
+
+
+CTES["wscore"] = f"select *, {scaled('raw_score', 'wraw')} as window_score from wraw"
+WSCORE = f"{STATS} zs wraw wscore"
+add("baseline_window_score", WSCORE, """select user_name, ip, start_ts, round(raw_score, 6) as raw_score,
+ round(window_score, 6) as window_score from wscore""")
+add("quantile_scale", FEAT, f"""select user_name, ip, start_ts, bytes_sum,
+ round({scaled('bytes_sum', 'feat')}, 6) as bytes_scaled from feat""")
+CTES["ztop"] = """select *, row_number() over (partition by user_name, ip, start_ts order by z desc, pos) as rank
+ from zs"""
+add("explain_features", f"{STATS} zs ztop", """select user_name, ip, start_ts, cast(rank as integer) as rank, feature,
+ round(x, 6) as value, round(z, 2) as z_score, cast(percentile as double) as percentile,
+ round(z, 2) as attribution from ztop where rank <= 5""")
+CTES["zin"] = """select *, abs(x - avg(x) over w) / (stddev_pop(x) over w + 1e-6) as z from melt
+ window w as (partition by user_name, ip, start_ts)"""
+CTES["zintop"] = """select *, row_number() over (partition by user_name, ip, start_ts order by z desc, pos) as rank
+ from zin"""
+add("explain_features_within", f"{FEAT} melt zin zintop", """select user_name, ip, start_ts,
+ cast(rank as integer) as rank, feature, round(x, 6) as value, round(z, 2) as z_score,
+ 50.0::double as percentile, round(z, 2) as attribution from zintop where rank <= 3""")
