@@ -25,26 +25,33 @@ def feature_stats(windows: DataFrame) -> DataFrame:
 
 
 def stats_row(stats: DataFrame) -> DataFrame:
-    """The 13 statistics rows as one row holding a map feature -> struct."""
+    """The 13 statistics rows as one row with a struct column s_<feature> each."""
     return stats.agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("feature", F.struct(*STAT_NAMES)))
-        ).alias("stats")
+        *[
+            F.first(F.when(F.col("feature") == f, F.struct(*STAT_NAMES)), ignorenulls=True).alias(
+                f"s_{f}"
+            )
+            for f in FEATURES
+        ]
     )
 
 
 def with_stats(windows: DataFrame, stats: DataFrame) -> DataFrame:
-    # One row of 13 entries: the broadcast does not grow with the data.
+    # One row of 13 structs: the broadcast does not grow with the data.
     return windows.crossJoin(F.broadcast(stats_row(stats)))
 
 
 def _z(feature: str) -> Column:
-    s = F.col("stats")[feature]
+    s = F.col(f"s_{feature}")
     return F.when(
         s["std"] > 0, F.abs((F.col(feature).cast("double") - s["mean"]) / s["std"])
     ).otherwise(F.lit(0.0))
 
 
+def _drop_stats(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"s_{f}" for f in FEATURES])
+
+
 def scale_by_batch(df: DataFrame, column: str, out: str, frozen: DataFrame | None = None) -> DataFrame:
     """(x - q10) / (q90 - q10) clipped to [0, 1], with the quantiles of this batch or, for
     streams, frozen ones (a one-row DataFrame with p10 and p90)."""
@@ -60,61 +67,74 @@ def scale_by_batch(df: DataFrame, column: str, out: str, frozen: DataFrame | Non
 def baseline_scores(windows: DataFrame, stats: DataFrame) -> DataFrame:
     """Largest z over the features per window: raw_score."""
     scored = with_stats(windows, stats)
-    return scored.withColumn("raw_score", F.greatest(*[_z(f) for f in FEATURES])).drop("stats")
+    return _drop_stats(scored.withColumn("raw_score", F.greatest(*[_z(f) for f in FEATURES])))
 
 
-def top_features(k: int) -> Column:
-    """The k features of a row (joined with_stats) with the largest z, as an array of
-    structs in order; computed inside the row."""
+def _largest(df: DataFrame, z: dict[str, Column], percentile: dict[str, Column], k: int) -> DataFrame:
+    """Add `top`: the k features of the row with the largest z, in order. Sorted inside the
+    row, so nothing is shuffled."""
     items = F.array(
         *[
             F.struct(
-                (-_z(f)).alias("order_z"),
+                (-z[f]).alias("order_z"),
                 F.lit(pos).alias("pos"),
                 F.lit(f).alias("feature"),
                 F.col(f).cast("double").alias("value"),
-                F.round(_z(f), 2).alias("z_score"),
-                percentile_band(
-                    F.col(f).cast("double"), {p: F.col("stats")[f][p] for p in STAT_NAMES}
-                ).alias("percentile"),
+                percentile[f].alias("percentile"),
             )
             for pos, f in enumerate(FEATURES)
         ]
     )
-    return F.slice(F.array_sort(items), 1, k)
+    return df.withColumn("top", F.slice(F.sort_array(items), 1, k))
 
 
-def top_features_within(k: int) -> Column:
-    """The same without statistics: z of each value inside its own vector."""
+def with_top_features(windows: DataFrame, stats: DataFrame | None, k: int) -> DataFrame:
+    """Add `top`, by z against the statistics or, without any, inside each row's own vector."""
+    if stats is not None:
+        df = with_stats(windows, stats)
+        bands = {
+            f: percentile_band(
+                F.col(f).cast("double"), {p: F.col(f"s_{f}")[p] for p in STAT_NAMES}
+            )
+            for f in FEATURES
+        }
+        return _drop_stats(_largest(df, {f: _z(f) for f in FEATURES}, bands, k))
     xs = F.array(*[F.col(f).cast("double") for f in FEATURES])
-    n = float(len(FEATURES))
-    mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.lit(n)
-    var = F.aggregate(
-        xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)
-    ) / F.lit(n)
-    std = F.sqrt(var) + F.lit(1e-6)
-    items = F.array(
-        *[
-            F.struct(
-                (-F.abs((F.col(f).cast("double") - mean) / std)).alias("order_z"),
-                F.lit(pos).alias("pos"),
-                F.lit(f).alias("feature"),
-                F.col(f).cast("double").alias("value"),
-                F.round(F.abs((F.col(f).cast("double") - mean) / std), 2).alias("z_score"),
-                F.lit(50.0).alias("percentile"),
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    n = F.lit(float(len(FEATURES)))
+    # Lambda variables over one-element arrays bind mean and deviation once per row.
+    means = F.array(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n)
+    spreads = F.transform(
+        means,
+        lambda m: F.struct(
+            m.alias("mean"),
+            (
+                F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n)
+                + F.lit(1e-6)
+            ).alias("std"),
+        ),
+    )
+    ranked = F.transform(
+        spreads,
+        lambda s: F.sort_array(
+            F.transform(
+                xs,
+                lambda x, i: F.struct(
+                    (-F.abs((x - s["mean"]) / s["std"])).alias("order_z"),
+                    i.alias("pos"),
+                    F.get(names, i).alias("feature"),
+                    x.alias("value"),
+                    F.lit(50.0).alias("percentile"),
+                ),
             )
-            for pos, f in enumerate(FEATURES)
-        ]
+        ),
     )
-    return F.slice(F.array_sort(items), 1, k)
+    return windows.withColumn("top", F.slice(F.get(ranked, F.lit(0)), 1, k))
 
 
 def explain_features(windows: DataFrame, stats: DataFrame | None = None, k: int = 5) -> DataFrame:
     """One row per window and contributing feature, rank 1..k."""
-    if stats is None:
-        listed = windows.withColumn("top", top_features_within(k))
-    else:
-        listed = with_stats(windows, stats).withColumn("top", top_features(k))
+    listed = with_top_features(windows, stats, k)
     return listed.select(
         "user_name", "ip", "start_ts", F.posexplode("top").alias("i", "t")
     ).select(
@@ -124,7 +144,7 @@ def explain_features(windows: DataFrame, stats: DataFrame | None = None, k: int
         (F.col("i") + 1).alias("rank"),
         "t.feature",
         "t.value",
-        "t.z_score",
+        F.round(-F.col("t.order_z"), 2).alias("z_score"),
         "t.percentile",
-        F.col("t.z_score").alias("attribution"),
+        F.round(-F.col("t.order_z"), 2).alias("attribution"),
     )

@@ -12,7 +12,7 @@ from ..operators import rules as ru
 from ..operators import scoring as sc
 from ..operators import sequences as sq
 from ..operators import sessions as se
-from ..schema import FEATURES
+from ..operators.staging import stage
 from ..sources.projection import security_alerts, security_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
+def _staged_windows(spark, sf) -> DataFrame:
+    """The feature table, written once: statistics, scaling and scores each read it."""
+    return stage(ft.window_features(security_events(spark, sf)), "windows")
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -75,7 +80,7 @@ def entity_flags(spark, sf):
 
 @query
 def feature_stats(spark, sf):
-    return rounded(sc.feature_stats(ft.window_features(security_events(spark, sf))))
+    return rounded(sc.feature_stats(_staged_windows(spark, sf)))
 
 
 # ---------------------------------------------------------------- rules
@@ -168,7 +173,7 @@ def sequence_surprisal(spark, sf):
 
 @query
 def baseline_window_score(spark, sf):
-    windows = ft.window_features(security_events(spark, sf))
+    windows = _staged_windows(spark, sf)
     scored = sc.baseline_scores(windows, sc.feature_stats(windows))
     scaled = sc.scale_by_batch(scored, "raw_score", "window_score")
     return rounded(scaled.select("user_name", "ip", "start_ts", "raw_score", "window_score"))
@@ -176,17 +181,17 @@ def baseline_window_score(spark, sf):
 
 @query
 def quantile_scale(spark, sf):
-    windows = ft.window_features(security_events(spark, sf))
+    windows = _staged_windows(spark, sf)
     scaled = sc.scale_by_batch(windows, "bytes_sum", "bytes_scaled")
     return rounded(scaled.select("user_name", "ip", "start_ts", "bytes_sum", "bytes_scaled"))
 
 
 @query
 def explain_features(spark, sf):
-    windows = ft.window_features(security_events(spark, sf))
+    windows = _staged_windows(spark, sf)
     return rounded(sc.explain_features(windows, sc.feature_stats(windows)))
 
 
 @query
 def explain_features_within(spark, sf):
-    return rounded(sc.explain_features(ft.window_features(security_events(spark, sf)), None, 3))
+    return rounded(sc.explain_features(_staged_windows(spark, sf), None, 3))
