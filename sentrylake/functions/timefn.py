@@ -95,3 +95,21 @@ def iso_utc(ts: Column) -> Column:
         ),
         F.lit("Z"),
     )
+
+
+def micros_of(ts: Column) -> Column:
+    """Microseconds since year 1 (BIGINT)."""
+    i = ts - F.expr(_ORIGIN)
+    return (
+        (
+            _part("day", i).cast("bigint") * F.lit(86400)
+            + _part("hour", i) * F.lit(3600)
+            + _part("minute", i) * F.lit(60)
+        )
+        * F.lit(1000000)
+        + (_part("second", i) * F.lit(1000000)).cast("bigint")
+    )
+
+
+def utc_now() -> Column:
+    return from_epoch_micros(F.unix_micros(F.current_timestamp()))

@@ -55,17 +55,16 @@ def gap_groups(
     )
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality over keys."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def with_group_start(
     df: DataFrame, groups: DataFrame, keys: Sequence[str], start: str, gap_minutes: int
 ) -> DataFrame:
     """Attach group_start to the rows: an equi-join on (keys, slot), so a busy key spreads
-    over its slots."""
-    left = df.withColumn("slot", time_slot(F.col(start), gap_minutes * 60))
+    over its slots. Rows that already carry a slot column keep it as it is."""
+    left = (
+        df
+        if "slot" in df.columns
+        else df.withColumn("slot", time_slot(F.col(start), gap_minutes * 60))
+    )
     right = groups.select(
         *[F.col(k).alias(f"_g_{k}") for k in keys], F.col("slot").alias("_g_slot"), "group_start"
     )

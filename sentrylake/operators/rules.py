@@ -154,9 +154,14 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
     than max_speed_kmh."""
     # Fixed value: the assumed distance.
     distance_km = 100.0
-    logins = auth_successes(events).select("event_id", "ts", "user_name", "ip")
+    login = ["event_id", "ts", "event_type", "ip", "host"]
     pairs = previous_row(
-        logins, ["user_name"], "ts", ["ts", "event_id"], ["ts", "ip", "event_id"], 60
+        auth_successes(events).select("user_name", *login),
+        ["user_name"],
+        "ts",
+        ["ts", "event_id"],
+        login,
+        60,
     )
     hours = seconds_between(F.col("prev_ts"), F.col("ts")) / F.lit(3600.0)
     speed = F.lit(distance_km) / F.col("hours")
@@ -176,8 +181,8 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
             "user_name",
             F.col("prev_ip").alias("ip_from"),
             F.col("ip").alias("ip_to"),
-            F.col("prev_event_id").alias("event_from"),
-            F.col("event_id").alias("event_to"),
+            F.struct(*[F.col(f"prev_{c}").alias(c) for c in login]).alias("login_from"),
+            F.struct(*login).alias("login_to"),
             F.col("prev_ts").alias("start_ts"),
             F.col("ts").alias("end_ts"),
             "hours",
@@ -198,8 +203,8 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
         *_rule("impossible_travel", F.col("speed") / F.lit(max_speed_kmh * 2), text),
         "ip_from",
         "ip_to",
-        "event_from",
-        "event_to",
+        "login_from",
+        "login_to",
     )
 
 
@@ -257,24 +262,35 @@ def all_rules(events: DataFrame) -> DataFrame:
     return out
 
 
+EVIDENCE_COLUMNS = [
+    "event_id", "ts", "source", "event_type", "user_name", "ip", "host", "dst_ip", "dst_port",
+    "command",
+]
+
+
 def rule_evidence(events: DataFrame) -> DataFrame:
-    """rule_id, event_id: at most 20 events per alert, the first ones in time."""
+    """rule_id and the event columns: at most 20 events per alert, the first ones in time."""
     limit = EVIDENCE_LIMIT
     failures = auth_failures(events)
-    burst = brute_force(events).select("rule_id", F.col("ip").alias("rule_ip"), "end_ts")
-    first = _first_per(failures.select("ip", "ts", "event_id"), ["ip"], limit)
+    burst = brute_force(events).select(
+        "rule_id", F.col("ip").alias("rule_ip"), F.col("end_ts").alias("rule_end")
+    )
+    first = _first_per(failures.select(*EVIDENCE_COLUMNS), ["ip"], limit)
     out = first.join(
-        burst, (F.col("ip") == F.col("rule_ip")) & (F.col("ts") <= F.col("end_ts"))
-    ).select("rule_id", "event_id")
+        burst, (F.col("ip") == F.col("rule_ip")) & (F.col("ts") <= F.col("rule_end"))
+    ).select("rule_id", *EVIDENCE_COLUMNS)
 
     travel = impossible_travel(events)
-    out = out.unionByName(
-        travel.select(
-            "rule_id", F.explode(F.array("event_from", "event_to")).alias("event_id")
-        )
-    )
+    legs = travel.select(
+        "rule_id",
+        F.col("user_name").alias("who"),
+        F.explode(F.array("login_from", "login_to")).alias("e"),
+    ).select("rule_id", F.lit("auth").alias("source"), F.col("who").alias("user_name"), "e.*")
+    out = out.unionByName(legs, allowMissingColumns=True)
 
     moves = lateral_movement(events).select("rule_id", "ip", "bucket_ts")
-    contacts = _host_contacts(events, 1).select("ip", "bucket_ts", "ts", "event_id")
+    contacts = _host_contacts(events, 1).select("bucket_ts", *EVIDENCE_COLUMNS)
     near = _first_per(contacts, ["ip", "bucket_ts"], limit)
-    return out.unionByName(near.join(moves, ["ip", "bucket_ts"]).select("rule_id", "event_id"))
+    return out.unionByName(
+        near.join(moves, ["ip", "bucket_ts"]).select("rule_id", *EVIDENCE_COLUMNS)
+    )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import stable_id
-from ..functions.timefn import iso_utc
+from ..functions.fields import present, stable_id
+from ..functions.timefn import iso_utc, time_slot
 from ..options import DEFAULTS, Options
 from .features import EVIDENCE_FLAGS, evidence_aggregates
 from .ordered import gap_groups, with_group_start
@@ -58,6 +58,18 @@ def session_events(events: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     )
 
 
+def session_hosts(events: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """Distinct (session_id, host). Hosts are made distinct per slot before the join."""
+    slots = session_slots(events.select(*KEYS, "ts"), opts)
+    seen = (
+        events.filter(present(F.col("host")))
+        .select(*KEYS, "host", time_slot(F.col("ts"), opts.session_gap_minutes * 60).alias("slot"))
+        .distinct()
+    )
+    tagged = with_group_start(seen, slots, KEYS, "ts", opts.session_gap_minutes)
+    return tagged.select(session_id(F.col("group_start")).alias("session_id"), "host").distinct()
+
+
 def sessions_by_key(found: DataFrame) -> DataFrame:
     """Session ids per (user, address) in time order. A key has at most one session per gap,
     so the list is bounded by the calendar."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
@@ -13,27 +11,8 @@ from ..operators import scoring as sc
 from ..operators import sequences as sq
 from ..operators import sessions as se
 from ..operators.staging import stage
-from ..sources.projection import security_alerts, security_events
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
-
-
-def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every DOUBLE column, for comparison across engines."""
-    return df.select(
-        *[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    )
-
+from ..sources.projection import security_events
+from .registry import query, rounded
 
 def _staged_windows(spark, sf) -> DataFrame:
     """The feature table, written once: statistics, scaling and scores each read it."""
@@ -102,7 +81,12 @@ def rule_brute_force_sliding(spark, sf):
 
 @query
 def rule_impossible_travel(spark, sf):
-    return rounded(ru.impossible_travel(security_events(spark, sf)))
+    found = ru.impossible_travel(security_events(spark, sf))
+    return rounded(
+        found.withColumn("event_from", F.col("login_from.event_id"))
+        .withColumn("event_to", F.col("login_to.event_id"))
+        .drop("login_from", "login_to")
+    )
 
 
 @query
@@ -117,7 +101,7 @@ def all_rules(spark, sf):
 
 @query
 def rule_evidence(spark, sf):
-    return ru.rule_evidence(security_events(spark, sf))
+    return ru.rule_evidence(security_events(spark, sf)).select("rule_id", "event_id")
 
 
 @query

@@ -54,7 +54,7 @@ CTES["feat"] = f"""select e.user_name, e.ip, {floor_to(5, 'e.ts')} as start_ts,
  from ev e left join freq f on e.command = f.command
  left join profile p on e.user_name = p.user_name
  group by 1, 2, 3, 4"""
-CTES["flags"] = f"""select user_name, ip, {floor_to(5)} as start_ts,
+FLAGS_SQL = """
  bool_or(coalesce(user_name like 'svc\\_%' escape '\\' or user_name like 'service\\_%' escape '\\'
   or user_name ilike '%backup%' or user_name ilike '%deploy%', false)) as service_account,
  bool_or(source = 'network' and coalesce(dst_port in (22,3389,5985,5986,445,135), false))
@@ -71,8 +71,8 @@ CTES["flags"] = f"""select user_name, ip, {floor_to(5)} as start_ts,
   false)) as runs_ssh,
  bool_or(coalesce(source = 'process' and (command like '%curl %' or command like '%wget %'),
   false)) as downloads,
- count(distinct nullif(host, '')) as n_hosts
- from ev group by 1, 2, 3"""
+ count(distinct nullif(host, '')) as n_hosts"""
+CTES["flags"] = f"select user_name, ip, {floor_to(5)} as start_ts, {FLAGS_SQL} from ev group by 1, 2, 3"
 
 ROUNDED_FEATURES = ", ".join(
     f"round({f}, 6) as {f}"
@@ -269,3 +269,304 @@ CTES["zintop"] = """select *, row_number() over (partition by user_name, ip, sta
 add("explain_features_within", f"{FEAT} melt zin zintop", """select user_name, ip, start_ts,
  cast(rank as integer) as rank, feature, round(x, 6) as value, round(z, 2) as z_score,
  50.0::double as percentile, round(z, 2) as attribution from zintop where rank <= 3""")
+
+
+# ---------------------------------------------------------------- signals and correlation
+
+FLAG_NAMES = (
+    "service_account admin_port external_dst has_network has_auth has_process login_events "
+    "makes_accounts runs_ssh downloads n_hosts"
+).split()
+
+
+def detection_case(prefix: str = "") -> str:
+    f = {k: f"coalesce({prefix}{k}, 0)" for k in FEATURES}
+    return f"""case when {f['auth_failures']} >= 15 then 'credential_stuffing'
+ when {f['auth_failures']} >= 10 or ({f['auth_failures']} >= 5 and {f['auth_successes']} >= 1) then 'brute_force_login'
+ when {f['distinct_dst_ports']} >= 5 and {f['bytes_sum']} < 1000000 then 'port_scan'
+ when {f['distinct_dst_ips']} >= 3 and admin_port then 'lateral_movement_attempt'
+ when {f['bytes_sum']} > 10000000 or ({f['bytes_sum']} > 5000000 and external_dst) then 'exfil_spike'
+ when service_account and ({f['rare_command_count']} > 0 or {f['process_exec_count']} > 10) then 'service_acct_abuse'
+ when not (window_score > 0.7 or sequence_score > 0.7) then 'unknown'
+ when has_auth and login_events >= 5 and n_ips <= 2 then 'bruteforce'
+ when n_hosts >= 3 or ({f['distinct_dst_ips']} >= 3 and admin_port) then 'lateral_movement'
+ when {f['bytes_sum']} > 5000000 then 'exfil_spike'
+ when service_account and has_process then 'abnormal_service_usage'
+ when has_network and {f['distinct_dst_ports']} >= 3 and {f['bytes_sum']} < 500000 then 'port_scan'
+ else 'anomalous_behavior' end"""
+
+
+CATEGORY = """case when detection_type in ('credential_stuffing','brute_force_login','bruteforce') then 'authentication'
+ when detection_type = 'port_scan' then 'network_recon'
+ when detection_type in ('lateral_movement_attempt','lateral_movement') then 'lateral_movement'
+ when detection_type = 'exfil_spike' then 'exfiltration'
+ when detection_type in ('service_acct_abuse','abnormal_service_usage') then 'privilege_misuse'
+ when detection_type = 'anomalous_behavior' then 'suspicious_activity' else 'unknown' end"""
+CLASS_KEYS = """case when detection_type in ('credential_stuffing','bruteforce') then ['bruteforce']
+ when detection_type = 'brute_force_login' then case when coalesce(auth_successes, 0) >= 1 then ['bruteforce','valid_accounts'] else ['bruteforce'] end
+ when detection_type = 'port_scan' then ['port_scan']
+ when detection_type in ('lateral_movement_attempt','lateral_movement') then ['remote_services']
+ when detection_type = 'exfil_spike' then ['ingress_tool_transfer']
+ when detection_type = 'service_acct_abuse' then ['valid_accounts','account_manipulation']
+ when detection_type in ('abnormal_service_usage','anomalous_behavior') then ['valid_accounts']
+ else cast([] as varchar[]) end"""
+WINDOW_KEYS = """(case when auth_failures >= 15 and auth_successes >= 1 then ['bruteforce','valid_accounts']
+ when auth_failures >= 20 then ['bruteforce'] else cast([] as varchar[]) end
+ || case when rare_command_count >= 1 then ['ingress_tool_transfer'] else cast([] as varchar[]) end
+ || case when distinct_dst_ports >= 3 and bytes_sum > 250000 then ['command_and_control'] else cast([] as varchar[]) end)"""
+EVIDENCE_KEYS = """(case when makes_accounts then ['account_manipulation'] else cast([] as varchar[]) end
+ || case when runs_ssh then ['remote_services'] else cast([] as varchar[]) end
+ || case when downloads then ['ingress_tool_transfer'] else cast([] as varchar[]) end)"""
+
+
+def sorted_keys(*lists: str) -> str:
+    return f"list_sort(list_distinct({' || '.join(lists)}))"
+
+
+CTES["wfull"] = f"""select f.*, {', '.join('g.' + n for n in FLAG_NAMES)}, s.window_score, 0.0::double as sequence_score,
+ case when f.ip <> '' then 1 else 0 end as n_ips from feat f
+ join flags g on f.user_name is not distinct from g.user_name and f.ip is not distinct from g.ip and f.start_ts = g.start_ts
+ join wscore s on f.user_name is not distinct from s.user_name and f.ip is not distinct from s.ip and f.start_ts = s.start_ts"""
+CTES["wclass0"] = f"select *, {detection_case()} as detection_type from wfull"
+CTES["wclass"] = f"""select *, {CATEGORY} as category, {sorted_keys(WINDOW_KEYS, EVIDENCE_KEYS, CLASS_KEYS)} as mitre_keys
+ from wclass0"""
+WCLASS = f"{WSCORE} flags wfull wclass0 wclass"
+FEATURE_LIST = ", ".join(f"cast({f} as double) as {f}" for f in FEATURES)
+NO_FEATURES = ", ".join(f"cast(null as double) as {f}" for f in FEATURES)
+FLAG_LIST = ", ".join(n for n in FLAG_NAMES if n != "n_hosts")
+CTES["sigw"] = f"""select 'win_' || {sid('user_name', 'ip', iso('start_ts'))} as signal_id, 'window_anomaly' as kind,
+ start_ts, end_ts, user_name, ip, window_score as score, window_score, sequence_score, 0.0::double as final_risk,
+ detection_type, category, mitre_keys, {FLAG_LIST}, {FEATURE_LIST} from wclass where window_score >= 0.25"""
+CTES["sflags"] = f"select session_id, {FLAGS_SQL} from sev group by 1"
+CTES["sscore"] = f"select session_id, {scaled('raw_score', 'surp')} as sequence_score from surp"
+CTES["sfull"] = f"""select s.*, {', '.join('g.' + n for n in FLAG_NAMES)}, q.sequence_score, 0.0::double as window_score,
+ case when s.ip <> '' then 1 else 0 end as n_ips, {NO_FEATURES} from sess s join sflags g using (session_id)
+ join sscore q using (session_id)"""
+CTES["sclass0"] = f"select *, {detection_case()} as detection_type from sfull"
+CTES["sigs"] = f"""select session_id as signal_id, 'sequence_anomaly' as kind, start_ts, end_ts, user_name, ip,
+ sequence_score as score, window_score, sequence_score, 0.0::double as final_risk, detection_type, {CATEGORY} as category,
+ {sorted_keys("case when len(" + EVIDENCE_KEYS + ") > 0 then " + EVIDENCE_KEYS + " else ['valid_accounts'] end", CLASS_KEYS)} as mitre_keys,
+ {FLAG_LIST}, {', '.join(FEATURES)} from sclass0 where sequence_score >= 0.25"""
+CTES["sigm"] = "select * from sigw union all select * from sigs"
+CTES["fused"] = """select r.*, m.model_score, case when m.model_score > 0 then 0.7 * confidence_raw + 0.3 * m.model_score
+  else confidence_raw end as final_score
+ from (select *, case rule_name when 'brute_force' then least(1.0, n_events / 10.0)
+  when 'impossible_travel' then least(1.0, 100.0 / ((epoch_us(end_ts) - epoch_us(start_ts)) / 3600000000.0) / 1800.0)
+  else confidence end as confidence_raw from rules) r
+ join lateral (select coalesce(max(score), 0) as model_score from sigm s
+  where s.ip = r.ip or s.user_name = r.user_name) m on true"""
+CTES["rflags"] = f"""select rule_id, {FLAGS_SQL} from rule_ev join ev using (event_id) group by 1"""
+CTES["sigr"] = f"""select rule_id as signal_id, 'rule_' || rule_name as kind, start_ts, end_ts, user_name, ip,
+ final_score as score, model_score as window_score, 0.0::double as sequence_score, final_score as final_risk,
+ rule_name as detection_type, 'rule_based' as category, [rule_name] as mitre_keys, {FLAG_LIST}, {NO_FEATURES}
+ from fused join rflags using (rule_id)"""
+CTES["sig"] = "select * from sigm union all select * from sigr"
+SIGM = f"{WCLASS} gaps numbered started sev sess vocab tok tail bigram pairn ctxn surp sigw sflags sscore sfull sclass0 sigs sigm"
+SIG = f"{SIGM} {RULES[3:]} rule_ev fused rflags sigr sig"
+
+
+def flat_signal(table: str, where: str = "") -> str:
+    return f"""select signal_id, kind, start_ts, end_ts, user_name, ip, round(score, 6) as score,
+ round(window_score, 6) as window_score, round(sequence_score, 6) as sequence_score, round(final_risk, 6) as final_risk,
+ detection_type, category, array_to_string(mitre_keys, ',') as mitre_keys from {table} {where}"""
+
+
+add("classify_windows", WCLASS, """select user_name, ip, start_ts, round(window_score, 6) as window_score, detection_type,
+ category, array_to_string(mitre_keys, ',') as mitre_keys from wclass""")
+add("signal_filter", WSCORE,
+    "select user_name, ip, start_ts, round(window_score, 6) as window_score from wscore where window_score >= 0.25")
+add("signals_window", f"{WCLASS} sigw", flat_signal("sigw"))
+add("signals_sequence", SIGM, flat_signal("sigs"))
+add("rule_fusion", f"{SIGM} {RULES[3:]} fused", """select rule_id, rule_name, confidence, round(model_score, 6) as model_score,
+ round(final_score, 6) as final_score from fused""")
+add("signals", SIG, flat_signal("sig"))
+CTES["mitre"] = """select * from (values ('bruteforce','Credential Access','Brute Force','T1110'),
+ ('valid_accounts','Defense Evasion','Valid Accounts','T1078'),
+ ('command_and_control','Command and Control','Application Layer Protocol','T1071'),
+ ('ingress_tool_transfer','Command and Control','Ingress Tool Transfer','T1105'),
+ ('account_manipulation','Persistence','Account Manipulation','T1098'),
+ ('remote_services','Lateral Movement','Remote Services','T1021'),
+ ('port_scan','Discovery','Network Service Scanning','T1046'),
+ ('brute_force','Credential Access','Brute Force','T1110'),
+ ('impossible_travel','Defense Evasion','Valid Accounts','T1078'),
+ ('lateral_movement','Lateral Movement','Remote Services','T1021'))
+ as t(mitre_key, tactic, technique, technique_id)"""
+add("mitre_map", f"{SIG} mitre", """select distinct signal_id, technique_id, technique, tactic
+ from (select signal_id, unnest(mitre_keys) as k from sig) join mitre on k = mitre_key""")
+
+CTES["ent"] = """select *, case when user_name <> '' then 'user:' || user_name when ip <> '' then 'ip:' || ip end as entity
+ from sig where user_name <> '' or ip <> ''"""
+CTES["ent1"] = """select *, case when start_ts <= max(end_ts) over (partition by entity order by start_ts, signal_id
+ rows between unbounded preceding and 1 preceding) + interval 20 minute then 0 else 1 end as opens from ent"""
+CTES["ent2"] = """select *, sum(opens) over (partition by entity order by start_ts, signal_id rows unbounded preceding)
+ as no from ent1"""
+CTES["ent3"] = """select *, min(start_ts) over (partition by entity, no) as cluster_start,
+ count(*) over (partition by entity, no) as size, max(no) over (partition by entity) as last_no from ent2"""
+CTES["ent4"] = f"select *, {sid('entity', iso('cluster_start'))} as cluster_id from ent3"
+CTES["clus"] = "select * from ent4 where size >= 2"
+CLUS = f"{SIG} ent ent1 ent2 ent3 ent4 clus"
+add("correlate_clusters", CLUS, "select signal_id, entity, cluster_start, cluster_id from clus")
+add("correlate_latest", CLUS,
+    "select signal_id, entity, cluster_start, cluster_id from clus where no = last_no")
+CTES["sighost"] = f"""select 'win_' || {sid('user_name', 'ip', iso(floor_to(5)))} as signal_id, host from ev where host <> ''
+ union select session_id, host from sev where host <> ''
+ union select rule_id, host from rule_ev join ev using (event_id) where host <> ''"""
+CTES["sigip"] = """select signal_id, ip from sig where ip <> ''
+ union select rule_id, ip from rule_ev join ev using (event_id) where ip <> ''"""
+CTES["chost"] = "select cluster_id, count(distinct host) as n_hosts from clus join sighost using (signal_id) group by 1"
+CTES["cip"] = "select cluster_id, count(distinct i.ip) as n_ips from clus join sigip i using (signal_id) group by 1"
+CORDER = "(start_ts, case kind when 'window_anomaly' then 0 when 'sequence_anomaly' then 1 else 2 end, signal_id)"
+CTES["csum0"] = f"""select cluster_id, entity, count(*) as n_signals, min(start_ts) as start_ts, max(end_ts) as end_ts,
+ avg(window_score) filter (window_score > 0) as aw, avg(sequence_score) filter (sequence_score > 0) as asq,
+ max(greatest(0, least(1, score))) as mx, avg(greatest(0, least(1, score))) as av,
+ nullif(first(user_name order by {CORDER}), '') as primary_user, nullif(first(ip order by {CORDER}), '') as primary_ip,
+ list_sort(list_distinct(list(kind))) as kinds, list_sort(list_distinct(flatten(list(mitre_keys)))) as signal_keys,
+ {', '.join(('cast(sum(login_events) as bigint)' if n == 'login_events' else f'bool_or({n})') + f' as {n}' for n in FLAG_NAMES if n != 'n_hosts')},
+ {', '.join(f"first({f} order by {CORDER}) filter (auth_failures is not null) as {f}" for f in FEATURES)}
+ from clus group by 1, 2"""
+CTES["csum1"] = """select c.* exclude (aw, asq, mx, av), coalesce(aw, 0) as window_score, coalesce(asq, 0) as sequence_score,
+ case when aw is not null or asq is not null then 0.6 * coalesce(aw, 0) + 0.4 * coalesce(asq, 0)
+ else 0.5 * mx + 0.5 * av end as raw_risk, coalesce(n_hosts, 0) as n_hosts, coalesce(n_ips, 0) as n_ips
+ from csum0 c left join chost using (cluster_id) left join cip using (cluster_id)"""
+CTES["csum2"] = f"select *, {detection_case()} as detection_type from csum1"
+CTES["csum"] = f"""select *, {CATEGORY} as category, {sorted_keys('signal_keys', CLASS_KEYS)} as mitre_keys,
+ 'inc_' || substr(cluster_id, 1, 12) as incident_id, 'al_' || substr(cluster_id, 1, 12) as alert_id from csum2"""
+CSUM = f"{CLUS} sighost sigip chost cip csum0 csum1 csum2 csum"
+add("incident_summary", CSUM, """select cluster_id, entity, n_signals, start_ts, end_ts, primary_user, primary_ip,
+ round(window_score, 6) as window_score, round(sequence_score, 6) as sequence_score, round(raw_risk, 6) as raw_risk,
+ array_to_string(kinds, ',') as kinds, service_account, admin_port, external_dst, login_events, n_hosts, n_ips,
+ detection_type, category, array_to_string(mitre_keys, ',') as mitre_keys from csum""")
+
+CTES["cmelt"] = " union all ".join(
+    f"select cluster_id, signal_id, start_ts, kind, '{f}' as feature, {i} as pos, {f} as x from clus where auth_failures is not null"
+    for i, f in enumerate(FEATURES)
+)
+CTES["cz"] = """select c.*, abs(x - mean) / std as z, case when x <= p5 then 5.0 when x <= p25 then 15.0 when x <= p50 then 37.5
+ when x <= p75 then 62.5 when x <= p95 then 85.0 when x <= p99 then 97.0 else 99.5 end as percentile
+ from cmelt c join stats s using (feature)"""
+CTES["ctop3"] = """select *, round(z, 2) as z2, row_number() over (partition by cluster_id, signal_id order by z desc, pos) as i
+ from cz qualify i <= 3"""
+CTES["cbest"] = f"""select * from ctop3 qualify row_number() over (partition by cluster_id, feature
+ order by z2 desc, start_ts, {CORDER}[2], signal_id, i) = 1"""
+CTES["ctop"] = f"""select *, row_number() over (partition by cluster_id order by z2 desc, start_ts, {CORDER}[2], signal_id, i) as rank
+ from cbest qualify rank <= 5"""
+CTOP = "cmelt cz ctop3 cbest ctop"
+add("incident_top_features", f"{CLUS} {CTOP}", """select cluster_id, cast(rank as integer) as rank, feature, round(x, 6) as value,
+ z2 as z_score, cast(percentile as double) as percentile from ctop""")
+
+
+def logistic(x: str) -> str:
+    return f"(0.4 + 0.55 / (1.0 + exp(-4.0 * (({x}) - 0.5))))"
+
+
+def normalized(x: str, table: str) -> str:
+    p5, p95 = (f"(select quantile_cont({x}, {q}) from {table})" for q in (0.05, 0.95))
+    top = f"(select max({x}) from {table})"
+    scaled_x = (
+        f"case when {p95} > {p5} then greatest(0.0, least(1.0, ({x} - {p5}) / ({p95} - {p5}))) "
+        f"when {top} > 0 then {x} / ({top} + 1e-6) else {x} end"
+    )
+    return (
+        f"case when (select count(*) from {table}) >= 3 then {logistic(scaled_x)} "
+        f"else least(0.95, {logistic(x)}) end"
+    )
+
+
+def by_quantile(x: str, table: str) -> str:
+    cut = {
+        q: f"(case when (select count(*) from {table}) < 3 then {fixed} else (select quantile_cont({x}, {q}) from {table}) end)"
+        for q, fixed in ((0.9, 0.75), (0.6, 0.45))
+    }
+    return f"case when {x} >= {cut[0.9]} then 'high' when {x} >= {cut[0.6]} then 'medium' else 'low' end"
+
+
+CTES["risk"] = f"select *, {normalized('raw_risk', 'csum')} as final_risk from csum"
+CTES["rated"] = f"select *, {by_quantile('final_risk', 'risk')} as severity from risk"
+CTES["ctech"] = """select cluster_id, list(t order by k) as mitre from (
+ select cluster_id, min(k) as k, {'id': technique_id, 'technique': technique, 'tactic': tactic} as t
+ from (select cluster_id, unnest(mitre_keys) as k from csum) join mitre on k = mitre_key
+ group by cluster_id, technique_id, technique, tactic) group by 1"""
+CTES["ccat"] = """select cluster_id, string_agg(category || '=' || n, ',' order by category) as categories
+ from (select cluster_id, category, count(*) as n from clus group by 1, 2) group by 1"""
+CTES["inc"] = """select incident_id, start_ts, end_ts, primary_ip, primary_user, n_signals as total_alerts,
+ severity as max_severity, categories, array_to_string(list_transform(string_split(detection_type, '_'),
+  lambda w: upper(w[1]) || w[2:]), ' ') || ' incident affecting ' || coalesce(primary_ip, primary_user, 'unknown entity')
+  as summary, 'open' as status, '' as analyst_notes, '' as resolution_reason, cluster_id
+ from rated join ccat using (cluster_id)"""
+RATED = f"{CSUM} risk rated"
+INC = f"{RATED} ccat inc"
+add("incidents", INC, "select * exclude (cluster_id) from inc")
+add("incident_entities", INC, """select distinct incident_id, t as entity_type, e as entity from (
+ select incident_id, 'ip' as t, ip as e from clus join inc using (cluster_id) where ip <> '' union all
+ select incident_id, 'user', user_name from clus join inc using (cluster_id) where user_name <> '')""")
+
+
+def closure(table: str) -> dict[str, str]:
+    """Components of the naive pair condition, by recursion."""
+    return {
+        "pairs": f"""select a.incident_id as u, b.incident_id as v from {table} a join {table} b
+ on (a.start_ts, a.incident_id) < (b.start_ts, b.incident_id)
+ and (a.primary_ip = b.primary_ip or a.primary_user = b.primary_user)
+ and abs(epoch_us(b.start_ts) - epoch_us(a.end_ts)) < 1200000000""",
+        "sym": "select u, v from pairs union select v, u from pairs",
+        "reach": f"""select incident_id as x, incident_id as y from {table}
+ union select x, v from reach join sym on y = u""",
+        "comp": "select x as incident_id, min(y) as component from reach group by 1",
+    }
+
+
+for _tag, _table in (("", "inc"), ("a", "each")):
+    for _k, _v in closure(_table).items():
+        for _n in ("pairs", "sym", "reach"):
+            _v = _v.replace(f" {_n} ", f" {_n}{_tag} ") if not _v.endswith(f" {_n}") else _v + _tag
+        CTES[_k + _tag] = _v
+CTES["each"] = """select alert_id as incident_id, start_ts, start_ts as end_ts, ip as primary_ip,
+ user_name as primary_user from al"""
+CTES["heads"] = """select component, first(incident_id order by start_ts, incident_id) as merged_id from inc
+ join comp using (incident_id) group by 1"""
+CTES["headsa"] = """select component, first(incident_id order by start_ts, incident_id) as merged_id from each
+ join compa using (incident_id) group by 1"""
+add("merge_alert_groups", "al each pairsa syma reacha compa headsa",
+    "select incident_id, merged_id from compa join headsa using (component)", recursive=True)
+CTES["mcat"] = """select component, string_agg(category || '=' || n, ',' order by category) as categories from (
+ select component, category, count(*) as n from clus join inc using (cluster_id) join comp using (incident_id)
+ group by 1, 2) group by 1"""
+CTES["minc0"] = """select component, count(*) as members, min(start_ts) as start_ts, max(end_ts) as end_ts,
+ cast(sum(total_alerts) as bigint) as total_alerts,
+ max(case max_severity when 'high' then 3 when 'medium' then 2 else 1 end) as r,
+ first(primary_ip order by start_ts, incident_id) as primary_ip, first(primary_user order by start_ts, incident_id) as primary_user,
+ list(summary order by start_ts, incident_id)[1:20] as texts from inc join comp using (incident_id) group by 1"""
+CTES["minc"] = """select merged_id as incident_id, start_ts, end_ts, primary_ip, primary_user, total_alerts,
+ case r when 3 then 'high' when 2 then 'medium' else 'low' end as max_severity, categories,
+ repeat('Merged: ', len(texts) - 1) || array_to_string(texts, ' + ')
+  || case when members > 20 then ' + ' || (members - 20) || ' more' else '' end as summary,
+ 'open' as status, '' as analyst_notes, '' as resolution_reason
+ from minc0 join heads using (component) join mcat using (component)"""
+MERGE = f"{INC} pairs sym reach comp heads"
+add("merge_incidents", f"{MERGE} mcat minc0 minc", "select * from minc", recursive=True)
+add("alerts", f"{MERGE} mitre ctech {CTOP}", """select alert_id, (select max(ts) from ev) as created_ts, r.start_ts, r.end_ts,
+ primary_user as user_name, primary_ip as ip, severity, round(raw_risk, 6) as score, round(window_score, 6) as window_score,
+ round(sequence_score, 6) as sequence_score, round(final_risk, 6) as final_risk, detection_type, category,
+ coalesce(array_to_string(list_transform(mitre, lambda m: m.id), ','), '') as mitre,
+ mitre[1].id as mitre_technique_id, mitre[1].tactic as mitre_tactic,
+ upper(severity) || ' ' || case detection_type when 'bruteforce' then 'Brute Force Attack Detected'
+  when 'port_scan' then 'Port Scanning Activity' when 'lateral_movement' then 'Lateral Movement Attempt'
+  when 'exfil_spike' then 'Data Exfiltration Spike' when 'service_acct_abuse' then 'Service Account Abuse'
+  when 'anomalous_behavior' then 'Anomalous Behavior Detected' else 'Security Alert' end
+  || ' - ' || coalesce(primary_user, primary_ip, 'unknown entity') as title,
+ 'Correlated ' || n_signals || ' anomalous signals into a ' || upper(severity) || ' incident (score='
+  || printf('%.2f', final_risk) || E').\\nTop contributing signals:\\n- ' || array_to_string(kinds[1:3], ', ')
+  || E'\\nMapped to MITRE ATT&CK:\\n' || coalesce(array_to_string(list_transform(mitre[1:3],
+   lambda m: '- ' || m.id || ' ' || m.technique || ' (' || m.tactic || ')'), E'\\n'), '') as explanation,
+ coalesce((select string_agg(feature, ',' order by rank) from ctop t where t.cluster_id = r.cluster_id), '') as top_features,
+ merged_id as incident_id
+ from rated r left join ctech using (cluster_id) join comp using (incident_id) join heads using (component)""",
+    recursive=True)
+
+CTES["araw"] = "select alert_id, final_risk as raw_risk from al"
+add("risk_normalize", "al araw", f"""select alert_id, round(raw_risk, 6) as raw_risk,
+ round({normalized('raw_risk', 'araw')}, 6) as final_risk from araw""")
+add("severity_quantile", "al", f"""select alert_id, round(final_risk, 6) as final_risk,
+ {by_quantile('final_risk', 'al')} as severity from al""")
+add("incident_severity", "al", """select incident_id, case max(case severity when 'high' then 3 when 'medium' then 2 else 1 end)
+ when 3 then 'high' when 2 then 'medium' else 'low' end as max_severity from al where incident_id is not null group by 1""")
