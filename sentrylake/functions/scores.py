@@ -52,17 +52,12 @@ def rule_fusion(confidence: Column, model_score: Column) -> Column:
     ).otherwise(confidence)
 
 
-def percentile_band(value: Column, stats: dict[str, Column]) -> Column:
+def percentile_band(value: str, stats: str) -> str:
+    """SQL text: the percentile band of a value against a statistics struct."""
     # The middle of each percentile band.
-    return (
-        F.when(value <= stats["p5"], 5.0)
-        .when(value <= stats["p25"], 15.0)
-        .when(value <= stats["p50"], 37.5)
-        .when(value <= stats["p75"], 62.5)
-        .when(value <= stats["p95"], 85.0)
-        .when(value <= stats["p99"], 97.0)
-        .otherwise(99.5)
-    )
+    bands = (("p5", 5.0), ("p25", 15.0), ("p50", 37.5), ("p75", 62.5), ("p95", 85.0), ("p99", 97.0))
+    steps = " ".join(f"when {value} <= {stats}.{p} then {mid}D" for p, mid in bands)
+    return f"case {steps} else 99.5D end"
 
 
 def entity_risk(

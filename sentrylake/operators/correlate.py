@@ -149,7 +149,7 @@ def normalized_risk(summary: DataFrame) -> DataFrame:
     """Add final_risk: with three or more rows min-max between the 5 % and 95 % quantiles and
     a logistic curve; with fewer the curve alone, capped."""
     q = exact_quantiles(
-        summary, ["raw_risk"], (0.05, 0.95), extra=(F.max("x").alias("largest"),)
+        summary, ["raw_risk"], (0.05, 0.95), extra=("max(x) as largest",)
     ).select("n", "largest", "p5", "p95")
     x = F.col("raw_risk")
     span = F.col("p95") - F.col("p5")

@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 ACCURACY = 20000
 _SLACK = 4.0 / ACCURACY
+# Up to this many rows every value is kept; beyond, the slack spans at least ten ranks.
+KEEP_ALL = 50_000
 
 
 def quantile_name(q: float) -> str:
@@ -23,66 +24,59 @@ def quantile_name(q: float) -> str:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], qs: Sequence[float], extra: Sequence = ()
+    df: DataFrame, columns: Sequence[str], qs: Sequence[float], extra: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per column name: name, n, the extra aggregates over x, and p<percent> for
+    """One row per column name: name, n, the extra SQL aggregates over x, and p<percent> for
     each q. Null values are left out."""
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x"))
-                    for c in columns
-                ]
-            )
-        ).alias("m")
-    ).select("m.name", "m.x").filter(F.col("x").isNotNull())
+    pairs = ", ".join(f"struct('{c}' as name, cast({c} as double) as x)" for c in columns)
+    long = df.selectExpr(f"inline(array({pairs}))").filter("x is not null")
 
     ends = sorted({e for q in qs for e in (max(q - _SLACK, 0.0), min(q + _SLACK, 1.0))})
     at = {e: i for i, e in enumerate(ends)}
+    marks = ", ".join(f"{e!r}D" for e in ends)
     sketch = long.groupBy("name").agg(
-        F.percentile_approx("x", ends, ACCURACY).alias("marks"),
-        F.count(F.lit(1)).alias("n"),
-        *extra,
+        F.expr(f"percentile_approx(x, array({marks}), {ACCURACY}) as marks"),
+        F.expr("count(1) as n"),
+        *[F.expr(e) for e in extra],
+    )
+    # One row per column, so the broadcasts are bounded by the number of columns asked for.
+    marked = long.join(F.broadcast(sketch.select("name", "marks", "n")), "name")
+    inside = " or ".join(
+        [f"n <= {KEEP_ALL}"]
+        + [
+            f"x between marks[{at[max(q - _SLACK, 0.0)]}] and marks[{at[min(q + _SLACK, 1.0)]}]"
+            for q in qs
+        ]
     )
-    # One row per column, so the broadcast is bounded by the number of columns asked for.
-    marked = long.join(F.broadcast(sketch.select("name", "marks")), "name")
-    inside = F.lit(False)
-    for q in qs:
-        lo = F.col("marks")[at[max(q - _SLACK, 0.0)]]
-        hi = F.col("marks")[at[min(q + _SLACK, 1.0)]]
-        inside = inside | F.col("x").between(lo, hi)
     # Rows between two brackets are told apart by how many marks lie below them.
     counts = marked.groupBy(
         "name",
-        F.when(inside, F.col("x")).alias("kept"),
-        F.when(~inside, F.size(F.filter("marks", lambda m: m < F.col("x")))).alias("gap"),
-    ).agg(F.count(F.lit(1)).alias("cnt"), F.min("x").alias("x"))
-    by_name = Window.partitionBy("name").orderBy("x")
-    ranked = counts.withColumn(
-        "upto", F.sum("cnt").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("before", F.col("upto") - F.col("cnt"))
+        F.expr(f"case when {inside} then x end as kept"),
+        F.expr(f"case when not ({inside}) then size(filter(marks, m -> m < x)) end as gap"),
+    ).agg(F.expr("count(1) as cnt"), F.expr("min(x) as x"))
+    upto = "sum(cnt) over (partition by name order by x rows unbounded preceding)"
+    ranked = counts.selectExpr("name", "kept", f"{upto} - cnt as before", f"{upto} as upto")
 
-    picked = ranked.join(F.broadcast(sketch), "name")
-    aggs = []
-    for q in qs:
-        pos = F.lit(float(q)) * (F.col("n") - 1)
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            here = (F.col("before") <= rank) & (rank < F.col("upto"))
-            aggs.append(F.max(F.when(here, F.col("kept"))).alias(f"{quantile_name(q)}_{side}"))
     passed = [c for c in sketch.columns if c not in ("name", "marks")]
-    wide = picked.groupBy("name").agg(*[F.first(c).alias(c) for c in passed], *aggs)
-    out = [F.col("name"), *[F.col(c) for c in passed]]
+    picked = ranked.join(F.broadcast(sketch.drop("marks")), "name")
+    ranks = {
+        f"{quantile_name(q)}_{side}": f"{rank}({q!r}D * (n - 1))"
+        for q in qs
+        for side, rank in (("lo", "floor"), ("hi", "ceil"))
+    }
+    wide = picked.groupBy("name").agg(
+        *[F.first(c).alias(c) for c in passed],
+        *[
+            F.expr(f"max(case when before <= {r} and {r} < upto then kept end) as {name}")
+            for name, r in ranks.items()
+        ],
+    )
+    out = []
     for q in qs:
-        p = quantile_name(q)
-        pos = F.lit(float(q)) * (F.col("n") - 1)
-        lo, hi = F.col(f"{p}_lo"), F.col(f"{p}_hi")
+        p, pos = quantile_name(q), f"{q!r}D * (n - 1)"
         out.append(
-            F.when(
-                lo.isNull() | hi.isNull(), F.raise_error(F.lit("quantile outside its bracket"))
-            )
-            .otherwise(lo + (hi - lo) * (pos - F.floor(pos)))
-            .cast("double")
-            .alias(p)
+            f"case when {p}_lo is null or {p}_hi is null "
+            f"then cast(raise_error('quantile outside its bracket') as double) "
+            f"else {p}_lo + ({p}_hi - {p}_lo) * ({pos} - floor({pos})) end as {p}"
         )
-    return wide.select(*out)
+    return wide.selectExpr("name", *passed, *out)

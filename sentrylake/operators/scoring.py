@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import percentile_band, quantile_scaled
@@ -19,20 +19,17 @@ def feature_stats(windows: DataFrame) -> DataFrame:
         windows,
         FEATURES,
         STAT_QUANTILES,
-        extra=(F.avg("x").alias("mean"), (F.stddev_pop("x") + F.lit(1e-6)).alias("std")),
+        extra=("avg(x) as mean", "stddev_pop(x) + 1e-6D as std"),
     )
     return stats.withColumnRenamed("name", "feature").select("feature", "n", *STAT_NAMES)
 
 
 def stats_row(stats: DataFrame) -> DataFrame:
     """The 13 statistics rows as one row with a struct column s_<feature> each."""
+    packed = f"struct({', '.join(STAT_NAMES)})"
     return stats.agg(
-        *[
-            F.first(F.when(F.col("feature") == f, F.struct(*STAT_NAMES)), ignorenulls=True).alias(
-                f"s_{f}"
-            )
-            for f in FEATURES
-        ]
+        *[F.expr(f"first(case when feature = '{f}' then {packed} end, true) as s_{f}")
+          for f in FEATURES]
     )
 
 
@@ -41,11 +38,12 @@ def with_stats(windows: DataFrame, stats: DataFrame) -> DataFrame:
     return windows.crossJoin(F.broadcast(stats_row(stats)))
 
 
-def _z(feature: str) -> Column:
-    s = F.col(f"s_{feature}")
-    return F.when(
-        s["std"] > 0, F.abs((F.col(feature).cast("double") - s["mean"]) / s["std"])
-    ).otherwise(F.lit(0.0))
+def _z(feature: str) -> str:
+    s = f"s_{feature}"
+    return (
+        f"case when {s}.std > 0 then abs((cast({feature} as double) - {s}.mean) / {s}.std) "
+        "else 0D end"
+    )
 
 
 def _drop_stats(df: DataFrame) -> DataFrame:
@@ -66,39 +64,30 @@ def scale_by_batch(df: DataFrame, column: str, out: str, frozen: DataFrame | Non
 
 def baseline_scores(windows: DataFrame, stats: DataFrame) -> DataFrame:
     """Largest z over the features per window: raw_score."""
-    scored = with_stats(windows, stats)
-    return _drop_stats(scored.withColumn("raw_score", F.greatest(*[_z(f) for f in FEATURES])))
-
-
-def _largest(df: DataFrame, z: dict[str, Column], percentile: dict[str, Column], k: int) -> DataFrame:
-    """Add `top`: the k features of the row with the largest z, in order. Sorted inside the
-    row, so nothing is shuffled."""
-    items = F.array(
-        *[
-            F.struct(
-                (-z[f]).alias("order_z"),
-                F.lit(pos).alias("pos"),
-                F.lit(f).alias("feature"),
-                F.col(f).cast("double").alias("value"),
-                percentile[f].alias("percentile"),
-            )
-            for pos, f in enumerate(FEATURES)
-        ]
+    largest = f"greatest({', '.join(_z(f) for f in FEATURES)})"
+    return _drop_stats(with_stats(windows, stats).withColumn("raw_score", F.expr(largest)))
+
+
+def _entry(z: str, pos: int, feature: str, percentile: str) -> str:
+    return (
+        f"struct(-({z}) as order_z, {pos} as pos, '{feature}' as feature, "
+        f"cast({feature} as double) as value, {percentile} as percentile)"
     )
-    return df.withColumn("top", F.slice(F.sort_array(items), 1, k))
 
 
 def with_top_features(windows: DataFrame, stats: DataFrame | None, k: int) -> DataFrame:
     """Add `top`, by z against the statistics or, without any, inside each row's own vector."""
     if stats is not None:
-        df = with_stats(windows, stats)
-        bands = {
-            f: percentile_band(
-                F.col(f).cast("double"), {p: F.col(f"s_{f}")[p] for p in STAT_NAMES}
+        # Sorted inside the row, so nothing is shuffled.
+        items = ", ".join(
+            _entry(_z(f), i, f, percentile_band(f"cast({f} as double)", f"s_{f}"))
+            for i, f in enumerate(FEATURES)
+        )
+        return _drop_stats(
+            with_stats(windows, stats).withColumn(
+                "top", F.expr(f"slice(sort_array(array({items})), 1, {k})")
             )
-            for f in FEATURES
-        }
-        return _drop_stats(_largest(df, {f: _z(f) for f in FEATURES}, bands, k))
+        )
     xs = F.array(*[F.col(f).cast("double") for f in FEATURES])
     names = F.array(*[F.lit(f) for f in FEATURES])
     n = F.lit(float(len(FEATURES)))

@@ -28,3 +28,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/sentrylake/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of fewer pieces than cores (one small file). Larger inputs
+    are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import severity_rank
 from ..operators import classify as cl
 from ..operators import correlate as co
 from ..operators import features as ft
 from ..operators import merge as mg
 from ..operators import rules as ru
 from ..operators import signals as sg
-from ..operators.scoring import feature_stats
-from ..operators.staging import stage
-from ..schema import FEATURES, mitre_dimension
+from ..operators.staging import spread, stage
+from ..schema import mitre_dimension
 from ..sources.projection import security_alerts, security_events
 from . import detect as dt
 from .registry import query, rounded
@@ -31,7 +29,7 @@ def _signals(spark, sf) -> DataFrame:
 
 def _events(spark, sf) -> DataFrame:
     """The events stored once in columnar form, as every detection run reads them."""
-    return stage(security_events(spark, sf), "events")
+    return stage(spread(security_events(spark, sf)), "events")
 
 
 def _flat(signals: DataFrame) -> DataFrame:

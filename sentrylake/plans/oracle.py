@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..sources.projection import ALERTS_SQL, EVENTS_SQL
 
 ORACLE: dict[str, str] = {}
@@ -517,8 +519,7 @@ def closure(table: str) -> dict[str, str]:
 
 for _tag, _table in (("", "inc"), ("a", "each")):
     for _k, _v in closure(_table).items():
-        for _n in ("pairs", "sym", "reach"):
-            _v = _v.replace(f" {_n} ", f" {_n}{_tag} ") if not _v.endswith(f" {_n}") else _v + _tag
+        _v = re.sub(r"\b(pairs|sym|reach)\b", r"\1" + _tag, _v)
         CTES[_k + _tag] = _v
 CTES["each"] = """select alert_id as incident_id, start_ts, start_ts as end_ts, ip as primary_ip,
  user_name as primary_user from al"""
