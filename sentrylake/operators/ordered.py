@@ -110,7 +110,12 @@ def previous_row(
 
 
 def running_totals(
-    df: DataFrame, value: str, sums: Sequence[str], descending: bool = False, chunks: int = 128
+    df: DataFrame,
+    value: str,
+    sums: Sequence[str],
+    descending: bool = False,
+    chunks: int = 128,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Running sums over all distinct values in order, without a single-task window.
 
@@ -139,4 +144,4 @@ def running_totals(
     out = cut.join(F.broadcast(offsets), "chunk")
     for s in sums:
         out = out.withColumn(f"run_{s}", F.col(f"off_{s}") + F.sum(s).over(within))
-    return out.drop("chunk", *[f"off_{s}" for s in sums])
+    return out.drop(*[f"off_{s}" for s in sums], *([] if keep_chunk else ["chunk"]))

