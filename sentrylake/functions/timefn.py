@@ -68,33 +68,21 @@ def from_epoch_seconds(secs: Column) -> Column:
 
 
 def parse_utc(text: Column) -> Column:
-    """ISO-8601 text to UTC; text without an offset is taken as UTC; null when unreadable."""
-    has_offset = text.rlike(r"[T ]\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)$")
-    full = (
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z")))
-        .when(has_offset, text)
-        .otherwise(F.concat(text, F.lit("Z")))
+    """ISO-8601 text, extended or compact, to UTC; text without an offset is taken as UTC;
+    null when unreadable."""
+    spaced = F.regexp_replace(
+        text, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6"
     )
-    # The leading-digit test keeps words such as "now" from being read as a date.
-    iso = F.when(text.rlike(r"^\d{4}-"), full).try_cast("timestamp")
-    compact = F.try_to_timestamp(
-        F.when(text.rlike(r"^\d{8}T\d{6}"), F.regexp_replace(text, r"(\d)$", "$1Z")),
-        F.lit("yyyyMMdd'T'HHmmssX"),
-    )
-    return from_epoch_micros(F.unix_micros(F.coalesce(iso, compact)))
+    timed = F.regexp_replace(spaced, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    zoned = F.regexp_replace(timed, r"^(\d{4}-\d{2}-\d{2}[T ][^Z+-]*)$", "$1Z")
+    return from_epoch_micros(F.unix_micros(zoned.try_cast("timestamp")))
 
 
 def iso_utc(ts: Column) -> Column:
     """ISO text with Z; six fraction digits only when the fraction is not zero."""
-    text = ts.cast("string")
-    frac = _part("second", ts)
-    return F.concat(
-        F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T")),
-        F.when(frac == F.floor(frac), F.lit("")).otherwise(
-            F.rpad(F.substring(text, 20, 7), 7, "0")
-        ),
-        F.lit("Z"),
-    )
+    text = F.replace(ts.cast("string"), F.lit(" "), F.lit("T"))
+    padded = F.regexp_replace(text, r"(\.\d+)$", "$100000")
+    return F.concat(F.regexp_replace(padded, r"(\.\d{6})\d+$", "$1"), F.lit("Z"))
 
 
 def micros_of(ts: Column) -> Column:

@@ -654,3 +654,56 @@ add("incident_updates", "al ainc", """select * replace (case when total_alerts >
  from ainc""")
 add("validate_events", "ev", """select event_id, case when host = 'host3' then 'dns' else source end as source,
  case when host = 'host3' then 'unsupported source' when action = 'deny' then 'missing ts' end as reject_reason from ev""")
+
+
+# ---------------------------------------------------------------- readers
+
+CTES["evn"] = "select *, cast(event_id as bigint) as no from ev"
+GOOD_TS = "no % 50 <> 7"
+CANON = "event_id, ts, source, event_type, user_name, ip, host, app, dst_ip, dst_port, bytes, action, command"
+CTES["nauth"] = f"""select {sid("'auth'", iso('ts'), 'event_type', 'user_name', 'ip', 'host', "'vpn'")} as event_id, ts,
+ source, event_type, user_name, ip, host, 'vpn' as app, dst_ip, dst_port, bytes, action, command from evn
+ where source = 'auth' and {GOOD_TS}"""
+CTES["nnet"] = f"""select {sid("'network'", iso('ts'), 'event_type', 'ip', 'dst_ip', 'dst_port', "'tcp'")} as event_id, ts,
+ source, event_type, user_name, ip, host, cast(null as varchar) as app, dst_ip, dst_port,
+ case when no % 4 = 1 then 0 else bytes end as bytes, action, command from evn
+ where source = 'network' and {GOOD_TS} and no % 40 <> 3"""
+CTES["nproc"] = f"""select {sid("'process'", iso('ts'), 'event_type', 'user_name', 'ip', 'host', 'command')} as event_id, ts,
+ source, event_type, user_name, ip, host, cast(null as varchar) as app, dst_ip, dst_port, bytes, action, command from evn
+ where source = 'process' and {GOOD_TS}"""
+add("normalize_auth", "ev evn nauth", "select * from nauth")
+add("normalize_network", "ev evn nnet", "select * from nnet")
+add("normalize_process", "ev evn nproc", "select * from nproc")
+add("load_events", "ev evn nauth nnet nproc",
+    "select * from nauth union all select * from nnet union all select * from nproc")
+RAW_TS = f"""case when no % 50 = 7 then 'not a time' when no % 3 = 0 then {iso('ts')}
+ when no % 3 = 1 then replace({iso('(ts + interval 2 hour)')}, 'Z', '+02:00') else replace({iso('ts')}, 'Z', '') end"""
+CTES["rej"] = f"""select source, {RAW_TS} as raw_ts, event_type, case when no % 50 = 7 then 'bad ts'
+ when source = 'network' and no % 40 = 3 then 'bad dst_port' end as reject_reason from evn"""
+add("rejects", "ev evn rej", "select * from rej where reject_reason is not null")
+add("ingest_summary", "ev evn rej", """select source, count(*) filter (reject_reason is null) as ingested,
+ count(*) filter (reject_reason is not null) as rejected from rej group by 1""")
+add("src_ndjson", "ev evn", f"""select {RAW_TS} as ts, event_type as event, ' ' || ip as src_ip,
+ case when no % 40 = 3 then 'http' else cast(dst_port as varchar) end as dst_port,
+ case when no % 4 = 1 then null else cast(bytes as varchar) end as bytes from evn where source = 'network'""")
+EPOCH = """regexp_replace(regexp_replace(cast(epoch_us(ts) // 1000000 as varchar) || '.' ||
+ lpad(cast(epoch_us(ts) % 1000000 as varchar), 6, '0'), '0+$', ''), '\\.$', '.0')"""
+add("src_zeek_tsv", "ev evn", f"""select 'zeek_' || {EPOCH} || '_' || ip || '_' || dst_ip as event_id, ts,
+ 'connection' as event_type, ip, dst_ip, dst_port, 'tcp' as proto, bytes + 100 as bytes from evn
+ where source = 'network' and no % 10 <> 0""")
+add("src_zeek_json", "ev evn", f"""select 'zeek_' || {EPOCH} || '_' || ip || '_' || dst_ip as event_id, ts,
+ case when no % 3 = 0 then 'dns' else 'connection' end as event_type, ip, dst_ip, dst_port, 'udp' as proto,
+ 'C' || no as uid from evn where source = 'network' and no % 20 <> 1""")
+add("src_windows_csv", "ev evn", f"""select 'win_' || case when no % 7 = 0 then '4672' when event_type = 'login_success' then '4624'
+  else '4625' end || '_' || {iso('ts')} || '_' || case when no % 2 = 1 then user_name else upper(user_name) end as event_id, ts,
+ case when no % 7 = 0 then 'event_4672' else event_type end as event_type, user_name,
+ case when no % 2 = 1 or no % 4 = 0 then ip end as ip, host, '3' as logon_type from evn
+ where source = 'auth' and no % 30 <> 0""")
+add("src_ssh_auth", "ev evn", """select 'ssh_' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || '_' || coalesce(user_name, 'None') || '_'
+ || coalesce(ip, 'None') as event_id, t as ts, event_type, user_name, ip, host, 'sshd[77]' as process from (
+ select date_trunc('second', ts) as t, host, case when no % 11 = 0 then 'authentication' else event_type end as event_type,
+ case when no % 11 = 0 then null else user_name end as user_name, case when no % 11 = 0 then null else ip end as ip
+ from evn where source = 'auth')""")
+add("detect_format", "ev", """select '/logs/' || n as file, f as format from (values ('zeek_a.log', 'zeek_json'), ('conn.log', 'zeek_tsv'),
+ ('windows.csv', 'windows_event'), ('export.csv', 'unknown'), ('auth.log', 'ssh_auth'), ('app.txt', 'unknown')) as t(n, f)
+ where exists (select 1 from ev)""")
