@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,3 +214,49 @@ def incident_severity(spark, sf):
     a = security_alerts(spark, sf).filter(F.col("incident_id").isNotNull())
     i = a.select("incident_id").distinct().withColumn("max_severity", F.lit("low"))
     return co.incident_severity(i, a)
+
+
+@query
+def alert_evidence(spark, sf):
+    return _detected(spark, sf).evidence.select("alert_id", "signal_id", "kind", "event_id")
+
+
+# ---------------------------------------------------------------- trained models
+
+
+def _forest_windows(spark, sf) -> DataFrame:
+    return stage(ft.window_features(_events(spark, sf)), "windows")
+
+
+@query
+def isolation_forest(spark, sf):
+    """Scores of a forest grown on the same windows."""
+    from ..operators.iforest import forest_scores, train_forest
+
+    windows = _forest_windows(spark, sf)
+    nodes = stage(train_forest(windows), "trees")
+    return rounded(
+        forest_scores(windows, nodes).select("user_name", "ip", "start_ts", "forest_raw")
+    )
+
+
+@query
+def reconstruction_error(spark, sf):
+    from ..operators.reconstruction import fit_reconstruction, reconstruction_errors
+
+    windows = _forest_windows(spark, sf)
+    scored = reconstruction_errors(windows, fit_reconstruction(windows))
+    return rounded(scored.select("user_name", "ip", "start_ts", "reconstruction_raw"))
+
+
+@query
+def detect_with_models(spark, sf):
+    """Full detection with trained models instead of the baseline score."""
+    from ..operators.staging import checkpoint_root
+    from .train import fit
+
+    ev = _events(spark, sf)
+    models = fit(ev, f"{checkpoint_root(spark)}/sentrylake/models-{uuid.uuid4().hex}")
+    found = dt.detect(ev, models, created_ts=ev.agg(F.max("ts")).scalar()).alerts
+    return rounded(found.select("alert_id", "start_ts", "end_ts", "severity", "final_risk",
+                                "window_score", "sequence_score", "detection_type"))

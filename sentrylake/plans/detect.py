@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import noisy_or
 from ..operators import features as ft
 from ..operators import rules as ru
 from ..operators import scoring as sc
@@ -14,7 +15,10 @@ from ..operators import sequences as sq
 from ..operators import sessions as se
 from ..operators import signals as sg
 from ..operators.correlate import Correlation, correlate
+from ..operators.evidence import alert_evidence
+from ..operators.iforest import forest_scores
 from ..operators.merge import merge_incidents, remap_incident
+from ..operators.reconstruction import reconstruction_errors
 from ..operators.staging import stage
 from ..options import DEFAULTS, Options
 
@@ -27,7 +31,12 @@ class Models:
     vocab: DataFrame | None = None
     transitions: DataFrame | None = None
     trees: DataFrame | None = None
-    reconstruction: object | None = None
+    reconstruction: DataFrame | None = None
+    # name, p10, p90 of the training scores; absent: each batch is scaled by its own quantiles
+    quantiles: DataFrame | None = None
+
+    def frozen(self, name: str) -> DataFrame | None:
+        return None if self.quantiles is None else self.quantiles.filter(F.col("name") == name)
 
 
 @dataclass(frozen=True)
@@ -38,6 +47,7 @@ class Detection:
     entities: DataFrame
     members: DataFrame
     correlation: Correlation
+    evidence: DataFrame
 
 
 def recent_events(
@@ -57,14 +67,12 @@ def score_windows(windows: DataFrame, models: Models) -> DataFrame:
     """Add window_score. With trained trees and reconstruction the noisy OR of both; without,
     the baseline: largest z of the row, scaled over the batch."""
     if models.trees is not None and models.reconstruction is not None:
-        from ..operators.iforest import forest_scores
-        from ..operators.reconstruction import reconstruction_errors
-        from ..functions.scores import noisy_or
-
         raw = reconstruction_errors(forest_scores(windows, models.trees), models.reconstruction)
         raw = stage(raw, "raw-scores")
-        both = sc.scale_by_batch(raw, "forest_raw", "forest_score")
-        both = sc.scale_by_batch(both, "reconstruction_raw", "reconstruction_score")
+        both = sc.scale_by_batch(raw, "forest_raw", "forest_score", models.frozen("forest_raw"))
+        both = sc.scale_by_batch(
+            both, "reconstruction_raw", "reconstruction_score", models.frozen("reconstruction_raw")
+        )
         return both.withColumn(
             "window_score", noisy_or(F.col("forest_score"), F.col("reconstruction_score"))
         )
@@ -80,7 +88,8 @@ def score_sessions(events: DataFrame, models: Models, opts: Options = DEFAULTS)
     pairs = stage(sq.session_transitions(sq.session_tail(events, vocab, opts)), "pairs")
     table = models.transitions if models.transitions is not None else sq.fit_transitions(pairs)
     raw = stage(sq.surprisal(pairs, table, vocab), "surprisal")
-    return sc.scale_by_batch(raw, "raw_score", "sequence_score").select(
+    frozen = models.frozen("sequence_raw")
+    return sc.scale_by_batch(raw, "raw_score", "sequence_score", frozen).select(
         "session_id", "sequence_score"
     )
 
@@ -91,7 +100,7 @@ def build_signals(
     """(signals, rule evidence, feature statistics), the first two staged."""
     windows = stage(ft.window_features(events, opts, with_evidence=True), "windows")
     stats = models.stats if models.stats is not None else stage(sc.feature_stats(windows), "stats")
-    known = Models(stats, models.vocab, models.transitions, models.trees, models.reconstruction)
+    known = replace(models, stats=stats)
     by_window = sg.window_signals(score_windows(windows, known), opts)
 
     hosts = (
@@ -139,6 +148,7 @@ def detect(
         entities=remap_incident(found.entities, merged.members).distinct(),
         members=merged.members,
         correlation=found,
+        evidence=alert_evidence(events, found.clustered, found.rated, evidence, opts),
     )
 
 

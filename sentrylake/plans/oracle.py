@@ -707,3 +707,7 @@ add("src_ssh_auth", "ev evn", """select 'ssh_' || strftime(t, '%Y-%m-%dT%H:%M:%S
 add("detect_format", "ev", """select '/logs/' || n as file, f as format from (values ('zeek_a.log', 'zeek_json'), ('conn.log', 'zeek_tsv'),
  ('windows.csv', 'windows_event'), ('export.csv', 'unknown'), ('auth.log', 'ssh_auth'), ('app.txt', 'unknown')) as t(n, f)
  where exists (select 1 from ev)""")
+
+add("alert_evidence", CLUS, f"""select 'al_' || substr(cluster_id, 1, 12) as alert_id, signal_id, kind, event_id from clus join (
+ select 'win_' || {sid('user_name', 'ip', iso(floor_to(5)))} as signal_id, event_id from ev union all
+ select session_id, event_id from sev union all select rule_id, event_id from rule_ev) using (signal_id)""")
