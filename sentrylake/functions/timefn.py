@@ -70,8 +70,10 @@ def from_epoch_seconds(secs: Column) -> Column:
 def parse_utc(text: Column) -> Column:
     """ISO-8601 text, extended or compact, to UTC; text without an offset is taken as UTC;
     null when unreadable."""
+    # Words the parser knows, such as "now", are no timestamps here.
+    digits = F.regexp_replace(text, r"(?s)^\D.*$", "")
     spaced = F.regexp_replace(
-        text, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6"
+        digits, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6"
     )
     timed = F.regexp_replace(spaced, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
     zoned = F.regexp_replace(timed, r"^(\d{4}-\d{2}-\d{2}[T ][^Z+-]*)$", "$1Z")
@@ -100,4 +102,13 @@ def micros_of(ts: Column) -> Column:
 
 
 def utc_now() -> Column:
-    return from_epoch_micros(F.unix_micros(F.current_timestamp()))
+    return from_instant(F.current_timestamp())
+
+
+def to_instant(ts: Column) -> Column:
+    """TIMESTAMP of a UTC value (watermarks need one)."""
+    return F.timestamp_micros(micros_of(ts) - micros_of(F.expr(_EPOCH)))
+
+
+def from_instant(instant: Column) -> Column:
+    return from_epoch_micros(F.unix_micros(instant))
