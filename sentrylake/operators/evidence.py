@@ -19,6 +19,7 @@ def alert_evidence(
     alerts: DataFrame,
     rule_evidence: DataFrame,
     opts: Options = DEFAULTS,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """alert_id, signal_id, kind and the event: once per signal it belongs to. alerts must
     carry alert_id and cluster_id. Rows rather than a nested list per alert, since an alert may
@@ -30,7 +31,7 @@ def alert_evidence(
     by_window = window_bounds(lean, opts).select(
         window_signal_id().alias("signal_id"), *COLUMNS
     )
-    by_session = session_events(lean, opts).select(F.col("session_id").alias("signal_id"), *COLUMNS)
+    by_session = session_events(lean, opts, slots).select(F.col("session_id").alias("signal_id"), *COLUMNS)
     by_rule = rule_evidence.select(F.col("rule_id").alias("signal_id"), *COLUMNS)
     found = by_window.unionByName(by_session).unionByName(by_rule)
     return found.join(owners, "signal_id").select("alert_id", "signal_id", "kind", *COLUMNS)

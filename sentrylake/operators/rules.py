@@ -254,12 +254,17 @@ def lateral_hosts(events: DataFrame, threshold: int = 3, bucket_minutes: int = 1
     )
 
 
-def all_rules(events: DataFrame) -> DataFrame:
+def rule_alerts(events: DataFrame) -> DataFrame:
+    """All three rules with the columns their evidence is found by (login_from, login_to,
+    bucket_ts), for storing once."""
     parts = [brute_force(events), impossible_travel(events), lateral_movement(events)]
-    out = parts[0].select(*RULE_COLUMNS)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*RULE_COLUMNS))
-    return out
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    out = out.unionByName(parts[2], allowMissingColumns=True)
+    return out.select(*RULE_COLUMNS, "login_from", "login_to", "bucket_ts")
+
+
+def all_rules(events: DataFrame) -> DataFrame:
+    return rule_alerts(events).select(*RULE_COLUMNS)
 
 
 EVIDENCE_COLUMNS = [
@@ -268,27 +273,28 @@ EVIDENCE_COLUMNS = [
 ]
 
 
-def rule_evidence(events: DataFrame) -> DataFrame:
-    """rule_id and the event columns: at most 20 events per alert, the first ones in time."""
+def rule_evidence(events: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
+    """rule_id and the event columns: at most 20 events per alert, the first ones in time.
+    alerts: rule_alerts of the same events, when stored."""
+    if alerts is None:
+        alerts = rule_alerts(events)
     limit = EVIDENCE_LIMIT
-    failures = auth_failures(events)
-    burst = brute_force(events).select(
+    of = {n: alerts.filter(F.col("rule_name") == n) for n in
+          ("brute_force", "impossible_travel", "lateral_movement")}
+    burst = of["brute_force"].select(
         "rule_id", F.col("ip").alias("rule_ip"), F.col("end_ts").alias("rule_end")
     )
-    first = _first_per(failures.select(*EVIDENCE_COLUMNS), ["ip"], limit)
+    first = _first_per(auth_failures(events).select(*EVIDENCE_COLUMNS), ["ip"], limit)
     out = first.join(
         burst, (F.col("ip") == F.col("rule_ip")) & (F.col("ts") <= F.col("rule_end"))
     ).select("rule_id", *EVIDENCE_COLUMNS)
 
-    travel = impossible_travel(events)
-    legs = travel.select(
-        "rule_id",
-        F.col("user_name").alias("who"),
-        F.explode(F.array("login_from", "login_to")).alias("e"),
-    ).select("rule_id", F.lit("auth").alias("source"), F.col("who").alias("user_name"), "e.*")
+    legs = of["impossible_travel"].select(
+        "rule_id", "user_name", F.explode(F.array("login_from", "login_to")).alias("e")
+    ).select("rule_id", F.lit("auth").alias("source"), "user_name", "e.*")
     out = out.unionByName(legs, allowMissingColumns=True)
 
-    moves = lateral_movement(events).select("rule_id", "ip", "bucket_ts")
+    moves = of["lateral_movement"].select("rule_id", "ip", "bucket_ts")
     contacts = _host_contacts(events, 1).select("bucket_ts", *EVIDENCE_COLUMNS)
     near = _first_per(contacts, ["ip", "bucket_ts"], limit)
     return out.unionByName(

@@ -43,7 +43,10 @@ def token_vocab(events: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 
 
 def session_tail(
-    events: DataFrame, vocab: DataFrame, opts: Options = DEFAULTS
+    events: DataFrame,
+    vocab: DataFrame,
+    opts: Options = DEFAULTS,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """The last max_sequence_len tokens of each session, one row each, newest first by rn.
 
@@ -53,6 +56,7 @@ def session_tail(
         events.select("event_id", "ts", "source", "event_type", "user_name", "ip", "dst_port",
                       "command"),
         opts,
+        slots,
     )
     newest = Window.partitionBy(*SESSION).orderBy(F.desc("ts"), F.desc("event_id"))
     tail = (

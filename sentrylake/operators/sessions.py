@@ -24,15 +24,23 @@ def session_slots(events: DataFrame, opts: Options = DEFAULTS, aggs: list[Column
     return gap_groups(events, KEYS, "ts", "ts", opts.session_gap_minutes, aggs)
 
 
+def evidence_slots(events: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """session_slots with the evidence flags, worth storing when several steps need slots."""
+    return session_slots(events, opts, evidence_aggregates(opts))
+
+
 def sessions(
-    events: DataFrame, opts: Options = DEFAULTS, with_evidence: bool = False
+    events: DataFrame,
+    opts: Options = DEFAULTS,
+    with_evidence: bool = False,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """session_id, user_name, ip, start_ts, end_ts, n_events; optionally the evidence flags.
 
     Events are aggregated per gap-wide slot before anything is ordered, so a session of any
     size costs one small row per half hour."""
-    aggs = evidence_aggregates(opts) if with_evidence else []
-    slots = session_slots(events, opts, aggs)
+    if slots is None:
+        slots = evidence_slots(events, opts) if with_evidence else session_slots(events, opts)
     flags = EVIDENCE_FLAGS if with_evidence else []
     grouped = slots.groupBy(*KEYS, "group_start").agg(
         F.max("slot_end").alias("end_ts"),
@@ -49,18 +57,24 @@ def sessions(
     )
 
 
-def session_events(events: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+def session_events(
+    events: DataFrame, opts: Options = DEFAULTS, slots: DataFrame | None = None
+) -> DataFrame:
     """The events with the session_id and session_start each belongs to."""
-    slots = session_slots(events.select(*KEYS, "ts"), opts)
+    if slots is None:
+        slots = session_slots(events.select(*KEYS, "ts"), opts)
     tagged = with_group_start(events, slots, KEYS, "ts", opts.session_gap_minutes)
     return tagged.withColumnRenamed("group_start", "session_start").withColumn(
         "session_id", session_id(F.col("session_start"))
     )
 
 
-def session_hosts(events: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+def session_hosts(
+    events: DataFrame, opts: Options = DEFAULTS, slots: DataFrame | None = None
+) -> DataFrame:
     """Distinct (session_id, host). Hosts are made distinct per slot before the join."""
-    slots = session_slots(events.select(*KEYS, "ts"), opts)
+    if slots is None:
+        slots = session_slots(events.select(*KEYS, "ts"), opts)
     seen = (
         events.filter(present(F.col("host")))
         .select(*KEYS, "host", time_slot(F.col("ts"), opts.session_gap_minutes * 60).alias("slot"))

@@ -12,7 +12,6 @@ from ..options import DEFAULTS, Options
 from ..schema import FEATURES
 from .classify import classified, evidence_keys, sorted_keys, window_keys
 from .features import EVIDENCE_FLAGS, evidence_aggregates, window_bounds
-from .sessions import session_hosts
 
 SIGNAL_COLUMNS = [
     "signal_id", "kind", "start_ts", "end_ts", "user_name", "ip", "score", "window_score",
@@ -117,10 +116,11 @@ def rule_signals(
 
 
 def signal_hosts(
-    events: DataFrame, evidence: DataFrame, opts: Options = DEFAULTS
+    events: DataFrame, by_session: DataFrame, evidence: DataFrame, opts: Options = DEFAULTS
 ) -> DataFrame:
-    """Distinct (signal_id, host) over the evidence of every possible signal. Host counts do
-    not add up over overlapping evidence, so clusters count them from here."""
+    """Distinct (signal_id, host) over the evidence of every possible signal, from the events,
+    their session_hosts and rule_evidence. Host counts do not add up over overlapping evidence,
+    so clusters count them from here."""
     seen = events.filter(present(F.col("host")))
     by_window = (
         window_bounds(seen, opts)
@@ -128,7 +128,7 @@ def signal_hosts(
         .distinct()
         .select(window_signal_id().alias("signal_id"), "host")
     )
-    by_session = session_hosts(events, opts).select(F.col("session_id").alias("signal_id"), "host")
+    by_session = by_session.select(F.col("session_id").alias("signal_id"), "host")
     by_rule = (
         evidence.filter(present(F.col("host")))
         .select(F.col("rule_id").alias("signal_id"), "host")

@@ -26,7 +26,7 @@ FLAT_SIGNAL = [
 
 
 def _signals(spark, sf) -> DataFrame:
-    return dt.build_signals(_events(spark, sf))[0]
+    return dt.build_signals(_events(spark, sf)).signals
 
 
 def _events(spark, sf) -> DataFrame:
@@ -78,7 +78,7 @@ def signals_sequence(spark, sf):
 @query
 def rule_fusion(spark, sf):
     ev = _events(spark, sf)
-    signals = dt.build_signals(ev)[0].filter(~F.col("kind").startswith("rule_"))
+    signals = dt.build_signals(ev).signals.filter(~F.col("kind").startswith("rule_"))
     fused = sg.fused_rules(ru.all_rules(ev), signals)
     return rounded(
         fused.select("rule_id", "rule_name", "confidence", "model_score", "final_score")
@@ -129,10 +129,10 @@ def _detected(spark, sf) -> dt.Detection:
 @query
 def incident_summary(spark, sf):
     ev = _events(spark, sf)
-    signals, evidence, _ = dt.build_signals(ev)
-    clustered = stage(co.signal_clusters(signals), "clustered")
-    hosts, ips = sg.signal_hosts(ev, evidence), sg.signal_ips(signals, evidence)
-    s = co.cluster_summary(clustered, hosts, ips)
+    found = dt.build_signals(ev)
+    clustered = stage(co.signal_clusters(found.signals), "clustered")
+    hosts = sg.signal_hosts(ev, found.session_hosts, found.evidence)
+    s = co.cluster_summary(clustered, hosts, sg.signal_ips(found.signals, found.evidence))
     return rounded(
         s.select(
             "cluster_id", "entity", "n_signals", "start_ts", "end_ts", "primary_user",
@@ -146,8 +146,9 @@ def incident_summary(spark, sf):
 
 @query
 def incident_top_features(spark, sf):
-    signals, _, stats = dt.build_signals(_events(spark, sf))
-    return rounded(co.incident_top_features(co.signal_clusters(signals), stats))
+    found = dt.build_signals(_events(spark, sf))
+    clustered = stage(co.signal_clusters(found.signals), "clustered")
+    return rounded(co.incident_top_features(clustered, found.stats))
 
 
 @query

@@ -82,10 +82,15 @@ def score_windows(windows: DataFrame, models: Models) -> DataFrame:
     )
 
 
-def score_sessions(events: DataFrame, models: Models, opts: Options = DEFAULTS) -> DataFrame:
+def score_sessions(
+    events: DataFrame,
+    models: Models,
+    opts: Options = DEFAULTS,
+    slots: DataFrame | None = None,
+) -> DataFrame:
     """session_id, sequence_score."""
     vocab = models.vocab if models.vocab is not None else stage(sq.token_vocab(events, opts), "vocab")
-    pairs = stage(sq.session_transitions(sq.session_tail(events, vocab, opts)), "pairs")
+    pairs = stage(sq.session_transitions(sq.session_tail(events, vocab, opts, slots)), "pairs")
     table = models.transitions if models.transitions is not None else sq.fit_transitions(pairs)
     raw = stage(sq.surprisal(pairs, table, vocab), "surprisal")
     frozen = models.frozen("sequence_raw")
@@ -94,32 +99,42 @@ def score_sessions(events: DataFrame, models: Models, opts: Options = DEFAULTS)
     )
 
 
+@dataclass(frozen=True)
+class Signals:
+    """All signals and the stored tables later steps share."""
+
+    signals: DataFrame
+    evidence: DataFrame
+    session_hosts: DataFrame
+    slots: DataFrame
+    stats: DataFrame
+
+
 def build_signals(
     events: DataFrame, models: Models = Models(), opts: Options = DEFAULTS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signals, rule evidence, feature statistics), the first two staged."""
+) -> Signals:
     windows = stage(ft.window_features(events, opts, with_evidence=True), "windows")
     stats = models.stats if models.stats is not None else stage(sc.feature_stats(windows), "stats")
     known = replace(models, stats=stats)
     by_window = sg.window_signals(score_windows(windows, known), opts)
 
-    hosts = (
-        se.session_hosts(events, opts)
-        .groupBy("session_id")
-        .agg(F.count(F.lit(1)).alias("n_hosts"))
-    )
+    slots = stage(se.evidence_slots(events, opts), "slots")
+    hosts = stage(se.session_hosts(events, opts, slots), "session-hosts")
+    per_session = hosts.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_hosts"))
     found = (
-        se.sessions(events, opts, with_evidence=True)
-        .join(score_sessions(events, known, opts), "session_id")
-        .join(hosts, "session_id", "left")
+        se.sessions(events, opts, with_evidence=True, slots=slots)
+        .join(score_sessions(events, known, opts, slots), "session_id")
+        .join(per_session, "session_id", "left")
         .withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0)))
     )
     by_session = sg.sequence_signals(found, opts)
     model_signals = stage(by_window.unionByName(by_session), "model-signals")
 
-    evidence = stage(ru.rule_evidence(events), "evidence")
-    by_rule = sg.rule_signals(ru.all_rules(events), evidence, model_signals, opts)
-    return stage(model_signals.unionByName(by_rule), "signals"), evidence, stats
+    rules = stage(ru.rule_alerts(events), "rules")
+    evidence = stage(ru.rule_evidence(events, rules), "evidence")
+    by_rule = sg.rule_signals(rules.select(*ru.RULE_COLUMNS), evidence, model_signals, opts)
+    signals = stage(model_signals.unionByName(by_rule), "signals")
+    return Signals(signals, evidence, hosts, slots, stats)
 
 
 def detect(
@@ -129,26 +144,26 @@ def detect(
     created_ts: Column | None = None,
     latest_only: bool = False,
 ) -> Detection:
-    """All three outputs. events should be a stored table: it is read several times."""
-    signals, evidence, stats = build_signals(events, models, opts)
+    """All outputs. events should be a stored table: it is read several times."""
+    s = build_signals(events, models, opts)
     found = correlate(
-        signals,
-        sg.signal_hosts(events, evidence, opts),
-        sg.signal_ips(signals, evidence),
-        stats,
+        s.signals,
+        sg.signal_hosts(events, s.session_hosts, s.evidence, opts),
+        sg.signal_ips(s.signals, s.evidence),
+        s.stats,
         opts,
         created_ts,
         latest_only,
     )
     merged = merge_incidents(found.incidents, opts)
     return Detection(
-        signals=signals,
+        signals=s.signals,
         alerts=remap_incident(found.alerts, merged.members),
         incidents=merged.incidents,
         entities=remap_incident(found.entities, merged.members).distinct(),
         members=merged.members,
         correlation=found,
-        evidence=alert_evidence(events, found.clustered, found.rated, evidence, opts),
+        evidence=alert_evidence(events, found.clustered, found.rated, s.evidence, opts, s.slots),
     )
 
 
