@@ -189,7 +189,7 @@ def window_features(
     if with_evidence:
         aggs += evidence_aggregates(opts)
         aggs.append(F.count_distinct(F.when(present(F.col("host")), F.col("host"))).alias("n_hosts"))
-    windows = rows.groupBy("user_name", "ip", "start_ts", "end_ts").agg(*aggs)
+    windows = rows.groupBy("user_name", "ip", "start_ts").agg(*aggs)
 
     profile = user_hour_profile(events, opts).select("user_name", "mean_hour", "std_hour")
     z = F.abs((F.hour("start_ts") - F.col("mean_hour")) / F.col("std_hour"))
@@ -198,7 +198,8 @@ def window_features(
         F.when(F.col("auth_successes") > 0, F.coalesce(z, F.lit(0.0))).otherwise(F.lit(0.0)),
     )
     extra = [*EVIDENCE_FLAGS, "n_hosts"] if with_evidence else []
-    return joined.select("user_name", "ip", "start_ts", "end_ts", *FEATURES, *extra)
+    end = (F.col("start_ts") + minutes(opts.window_minutes)).alias("end_ts")
+    return joined.select("user_name", "ip", "start_ts", end, *FEATURES, *extra)
 
 
 def entity_flags(events: DataFrame, opts: Options = DEFAULTS) -> DataFrame:

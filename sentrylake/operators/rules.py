@@ -154,21 +154,24 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
     than max_speed_kmh."""
     # Fixed value: the assumed distance.
     distance_km = 100.0
-    login = ["event_id", "ts", "event_type", "ip", "host"]
-    pairs = previous_row(
-        auth_successes(events).select("user_name", *login),
-        ["user_name"],
-        "ts",
-        ["ts", "event_id"],
-        login,
-        60,
+    # Logins of one user at the same instant never fire against each other, so each instant
+    # keeps its first and last one only.
+    login = F.struct("event_id", "ts", "event_type", "ip", "host")
+    moments = (
+        auth_successes(events)
+        .groupBy("user_name", "ts")
+        .agg(F.min(login).alias("first"), F.max(login).alias("last"))
+    )
+    pairs = (
+        previous_row(moments, ["user_name"], "ts", ["ts"], ["ts", "last"], 60)
+        .withColumn("ip", F.col("first.ip"))
+        .withColumn("prev_ip", F.col("prev_last.ip"))
     )
     hours = seconds_between(F.col("prev_ts"), F.col("ts")) / F.lit(3600.0)
     speed = F.lit(distance_km) / F.col("hours")
     hits = (
         pairs.filter(
             (F.col("prev_ip") != F.col("ip"))
-            & (F.col("ts") > F.col("prev_ts"))
             # Coarse bound first, on the interval; the exact speed decides below.
             & (
                 F.col("ts") - F.col("prev_ts")
@@ -181,8 +184,8 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
             "user_name",
             F.col("prev_ip").alias("ip_from"),
             F.col("ip").alias("ip_to"),
-            F.struct(*[F.col(f"prev_{c}").alias(c) for c in login]).alias("login_from"),
-            F.struct(*login).alias("login_to"),
+            F.col("prev_last").alias("login_from"),
+            F.col("first").alias("login_to"),
             F.col("prev_ts").alias("start_ts"),
             F.col("ts").alias("end_ts"),
             "hours",

@@ -53,32 +53,37 @@ def upsert_alerts(alerts: DataFrame, incidents: DataFrame, root: str) -> int:
     return insert_absent(alerts, f"{root}/alerts", "alert_id")
 
 
-def incident_updates(incidents: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def incident_updates(
+    incidents: DataFrame, updates: DataFrame, order: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Apply partial updates (incident_id, status, analyst_notes, resolution_reason; null means
     unchanged). Returns the new table and the rejected updates: unknown status or incident.
 
-    A blank status leaves it unchanged; blank notes and reasons are written."""
+    A blank status leaves it unchanged; blank notes and reasons are written. Several updates of
+    one incident apply per column, the latest by `order` winning."""
     status = F.col("status")
     known = incidents.select("incident_id")
-    valid = updates.filter(~present(status) | status.isin(*INCIDENT_STATUSES))
+    valid = updates.filter(~F.coalesce(present(status), F.lit(False)) | status.isin(*INCIDENT_STATUSES))
     bad_status = updates.filter(present(status) & ~status.isin(*INCIDENT_STATUSES)).withColumn(
         "reject_reason", F.lit("unknown status")
     )
     bad_id = valid.join(known, "incident_id", "left_anti").withColumn(
         "reject_reason", F.lit("unknown incident")
     )
-    changes = valid.select(
-        "incident_id",
-        F.nullif("status", F.lit("")).alias("new_status"),
-        F.col("analyst_notes").alias("new_notes"),
-        F.col("resolution_reason").alias("new_reason"),
+    seq = F.lit(0) if order is None else F.col(order)
+    fields = {
+        "status": F.nullif("status", F.lit("")),
+        "analyst_notes": F.col("analyst_notes"),
+        "resolution_reason": F.col("resolution_reason"),
+    }
+    changes = valid.groupBy("incident_id").agg(
+        *[F.max_by(v, F.when(v.isNotNull(), seq)).alias(f"new_{c}") for c, v in fields.items()]
     )
-    out = (
-        incidents.join(changes, "incident_id", "left")
-        .withColumn("status", F.coalesce("new_status", "status"))
-        .withColumn("analyst_notes", F.coalesce("new_notes", "analyst_notes"))
-        .withColumn("resolution_reason", F.coalesce("new_reason", "resolution_reason"))
-        .select(*incidents.columns)
+    out = incidents.join(changes, "incident_id", "left").select(
+        *[
+            F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c)
+            for c in incidents.columns
+        ]
     )
     return out, bad_status.unionByName(bad_id)
 

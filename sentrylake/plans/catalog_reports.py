@@ -177,7 +177,7 @@ def upsert_new_alerts(spark, sf):
 
 @query
 def incident_updates(spark, sf):
-    """Close incidents of fewer than half the average alerts' size; one bad status is rejected."""
+    """Notes on every incident, a new status on large ones; an unknown status is rejected."""
     a = security_alerts(spark, sf)
     i = _incidents(a)
     updates = i.select(

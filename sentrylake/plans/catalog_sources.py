@@ -214,4 +214,4 @@ def detect_format(spark, sf):
         .otherwise(F.coalesce("command", "ip"))
         .alias("value"),
     )
-    return fo.detect_formats(fo.first_lines(lines))
+    return fo.detect_formats(fo.first_lines(lines)).select("file", "format")

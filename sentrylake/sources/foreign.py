@@ -261,7 +261,7 @@ def parse_ssh_lines(lines: DataFrame, year: int) -> DataFrame:
 
 
 def detect_formats(first_lines: DataFrame) -> DataFrame:
-    """file, format from (file, value) holding the first line of each file."""
+    """Add format to (file, value) holding the first line of each file."""
     name = F.lower(F.element_at(F.split("file", "/"), -1))
     line = F.col("value")
     zeek = name.contains("zeek") | name.contains("conn.log")
@@ -270,7 +270,7 @@ def detect_formats(first_lines: DataFrame) -> DataFrame:
     ) & (line.contains("TimeGenerated") | line.contains("EventID"))
     ssh = name.contains("ssh") | name.contains("auth.log") | name.contains("secure")
     return first_lines.select(
-        "file",
+        *first_lines.columns,
         F.when(zeek & strip(line).startswith("{"), "zeek_json")
         .when(zeek, "zeek_tsv")
         .when(windows, "windows_event")
@@ -305,8 +305,11 @@ def read_logs(
 
     The list of files is driver metadata, as in any file scan; the lines are not."""
     found: dict[str, list[str]] = {}
+    headers: dict[str, list[str]] = {}
     for row in detect_formats(read_first_lines(spark, path)).toLocalIterator():
         found.setdefault(row["format"], []).append(row["file"])
+        if row["format"] == "windows_event":
+            headers.setdefault(row["value"], []).append(row["file"])
     unknown = found.pop("unknown", [])
     if unknown and strict:
         raise ValueError(f"unknown log format: {unknown[:5]}")
@@ -315,9 +318,8 @@ def read_logs(
         parts.append(parse_zeek_tsv(read_lines(spark, found["zeek_tsv"])))
     if "zeek_json" in found:
         parts.append(parse_zeek_json(read_lines(spark, found["zeek_json"])))
-    if "windows_event" in found:
-        # Header rows differ between exports, so each file is read with its own.
-        parts += [parse_windows_rows(read_windows_csv(spark, f)) for f in found["windows_event"]]
+    # Header rows differ between exports: files are read together by header.
+    parts += [parse_windows_rows(read_windows_csv(spark, files)) for files in headers.values()]
     if "ssh_auth" in found:
         parts.append(parse_ssh_lines(read_lines(spark, found["ssh_auth"]), year))
     if unknown:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.staging import spread
 from ..schema import conform
 
 _EVENT_TEXT = {
@@ -78,12 +79,12 @@ def _filled(text: str, words: dict[str, str]) -> str:
 
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return conform(raw.selectExpr(*[f"{_filled(t, _SPARK)} as {c}" for c, t in _EVENT_TEXT.items()]))
 
 
 def security_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 5 = 0")
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 5 = 0"))
     return raw.selectExpr(*[f"{_filled(t, _SPARK)} as {c}" for c, t in _ALERT_TEXT.items()])
 
 

@@ -116,7 +116,12 @@ def test_previous_row_equals_lag(spark):
     rows = [(rng.choice("ab"), t0 + timedelta(seconds=rng.randint(0, 4000)), f"e{i:03d}")
             for i in range(300)]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id string")
-    got = {r.id: r.prev_id for r in od.previous_row(df, ["k"], "ts", ["ts", "id"], ["id"], 60).collect()}
+    got, fine = (
+        {r.id: r.prev_id
+         for r in od.previous_row(df, ["k"], "ts", ["ts", "id"], ["id"], 60, limit).collect()}
+        for limit in (1_000_000, 2)
+    )
+    assert got == fine
     expected = {}
     for k in "ab":
         before = None
@@ -305,3 +310,40 @@ def test_window_lengths_add_up(spark, sf):
     e = security_events(spark, sf)
     total = ft.window_features(e).agg(F.sum("event_sequence_len")).first()[0]
     assert total == e.count()
+
+
+def test_hot_key_is_split_before_any_window(spark):
+    """One user holding every row: no piece of the ordered work grows with the user."""
+    df = spark.range(200_000).select(
+        F.lit("u").alias("k"),
+        (F.lit("2024-01-01").cast("timestamp_ntz")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") / 5000).cast("decimal(18,6)"))
+         ).alias("ts"),
+        "id",
+    )
+    pieces = od.fine_slots(df, ["k"], "ts", 60, 10_000).groupBy("slot").count()
+    assert pieces.agg(F.max("count")).first()[0] <= 20_000
+    # 200,000 rows make 20 spans of 3 s; the rows fill 40 s of the minute.
+    assert pieces.count() == 14
+    slots = od.gap_groups(df, ["k"], "ts", "ts", 30)
+    assert slots.count() == 1 and slots.first().slot_rows == 200_000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_limits_apply_before_the_shuffle(spark, sf):
+    e = security_events(spark, sf)
+    for df in (ft.rare_commands(e), ru.brute_force(e), sq.session_tail(e, sq.token_vocab(e))):
+        assert "Partial" in plan_of(df) and "WindowGroupLimit" in plan_of(df)
+
+
+def test_no_plan_pairs_rows_without_a_key(spark, sf):
+    e, a = security_events(spark, sf), security_alerts(spark, sf)
+    from sentrylake.operators import reports as rp
+
+    for df in (ft.window_features(e), se.session_events(e), ru.all_rules(e), rp.related_alerts(a),
+               ev.detection_metrics(a, a)):
+        assert "CartesianProduct" not in plan_of(df)
+        assert "NestedLoop" not in plan_of(df)
