@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.timefn import micros_of, minutes, time_slot
+from ..functions.timefn import minutes, time_slot
 
 
 def gap_groups(
@@ -76,41 +76,6 @@ def with_group_start(
     return left.join(right, cond).drop("slot", "_g_slot", *[f"_g_{k}" for k in keys])
 
 
-def fine_slots(
-    df: DataFrame, keys: Sequence[str], ts: str, slot_seconds: int, limit: int
-) -> DataFrame:
-    """Add slot (a struct ordered like ts). A (keys, slot) holding more than `limit` rows is
-    cut further, into as many equal spans of time as it holds multiples of the limit."""
-    width = slot_seconds * 1_000_000
-    coarse = df.withColumn("_at", micros_of(F.col(ts))).withColumn(
-        "_no", F.floor(F.col("_at") / F.lit(width)).cast("bigint")
-    )
-    busy = (
-        coarse.groupBy(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_no").alias("_b_no"))
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_pieces"))
-        .filter(F.col("_pieces") > 1)
-    )
-    cond = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys],
-        F.col("_no") == F.col("_b_no"),
-    )
-    # One row per busy slot on the right: an ordinary equi-join whose crowded keys can be split.
-    part = F.floor(
-        (F.col("_at") - F.col("_no") * F.lit(width)) / F.lit(float(width)) * F.col("_pieces")
-    )
-    return (
-        coarse.join(busy, cond, "left")
-        .withColumn(
-            "slot",
-            F.struct(
-                F.col("_no").alias("no"), F.coalesce(part, F.lit(0)).cast("bigint").alias("part")
-            ),
-        )
-        .drop("_at", "_no", "_b_no", "_pieces", *[f"_b_{k}" for k in keys])
-    )
-
-
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -118,15 +83,15 @@ def previous_row(
     order: Sequence[str],
     values: Sequence[str],
     slot_seconds: int,
-    limit: int = 1_000_000,
 ) -> DataFrame:
     """Add prev_<value> columns: the values of the preceding row of the same key.
 
     Rows are ordered inside (keys, slot); the last row of the preceding slot that has any is
-    carried into each slot. order must start with ts and be unique within a key.
+    carried into each slot. order must start with ts and be unique within a key. With one row
+    per key and instant, a slot of n seconds holds at most n million rows, whatever the key.
     """
     cols = list(dict.fromkeys([*order, *values]))
-    slotted = fine_slots(df, keys, ts, slot_seconds, limit)
+    slotted = df.withColumn("slot", time_slot(F.col(ts), slot_seconds))
     last = slotted.groupBy(*keys, "slot").agg(
         F.max_by(F.struct(*cols), F.struct(*order)).alias("last_row")
     )

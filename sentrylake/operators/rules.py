@@ -163,7 +163,7 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
         .agg(F.min(login).alias("first"), F.max(login).alias("last"))
     )
     pairs = (
-        previous_row(moments, ["user_name"], "ts", ["ts"], ["ts", "last"], 60)
+        previous_row(moments, ["user_name"], "ts", ["ts"], ["ts", "last"], 10)
         .withColumn("ip", F.col("first.ip"))
         .withColumn("prev_ip", F.col("prev_last.ip"))
     )
