@@ -1,37 +1,72 @@
-"""Intermediate tables in the shared checkpoint folder of the cluster."""
+"""Intermediate tables on storage that every executor and the driver can reach."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: list[str] = []
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder only where none is set (tests)."""
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else the checkpoint folder of the context, else the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    local = tempfile.mkdtemp(prefix="sentrylake-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark._jsc.sc().getCheckpointDir().get()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_runs"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the Hadoop file system that it is on."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def _drop_session_folder(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        delete_folder(spark, path)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where stage() writes now: the innermost run_scope, else one folder for this session,
+    which goes when the Python process ends."""
+    if _folders:
+        return _folders[-1]
+    app = spark.sparkContext.applicationId
+    path = f"{shared_root(spark)}/sentrylake-{app}"
+    if path not in _sessions:
+        _sessions.add(path)
+        atexit.register(_drop_session_folder, spark, path)
+    return path
+
+
+_sessions: set[str] = set()
+
+
+@contextlib.contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside live in one folder that is deleted on leaving; whatever is read
+    from them has to be written out before."""
+    path = f"{shared_root(spark)}/sentrylake-run-{uuid.uuid4().hex}"
+    _folders.append(path)
+    try:
+        yield path
+    finally:
+        _folders.remove(path)
+        delete_folder(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once as parquet and read it back, so that later steps neither recompute it
     nor depend on the executors that produced it."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/sentrylake/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input of fewer pieces than cores (one small file). Larger inputs
-    are left as they are, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

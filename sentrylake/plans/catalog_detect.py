@@ -253,11 +253,11 @@ def reconstruction_error(spark, sf):
 @query
 def detect_with_models(spark, sf):
     """Full detection with trained models instead of the baseline score."""
-    from ..operators.staging import checkpoint_root
+    from ..operators.staging import run_folder
     from .train import fit
 
     ev = _events(spark, sf)
-    models = fit(ev, f"{checkpoint_root(spark)}/sentrylake/models-{uuid.uuid4().hex}")
+    models = fit(ev, f"{run_folder(spark)}/models-{uuid.uuid4().hex}")
     found = dt.detect(ev, models, created_ts=ev.agg(F.max("ts")).scalar()).alerts
     return rounded(found.select("alert_id", "start_ts", "end_ts", "severity", "final_risk",
                                 "window_score", "sequence_score", "detection_type"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.staging import spread
 from ..schema import conform
 
 _EVENT_TEXT = {
@@ -79,19 +78,19 @@ def _filled(text: str, words: dict[str, str]) -> str:
 
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     return conform(raw.selectExpr(*[f"{_filled(t, _SPARK)} as {c}" for c, t in _EVENT_TEXT.items()]))
 
 
 def security_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 5 = 0"))
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     return raw.selectExpr(*[f"{_filled(t, _SPARK)} as {c}" for c, t in _ALERT_TEXT.items()])
 
 
-def _sql(texts: dict[str, str], where: str) -> str:
+def _sql(texts: dict[str, str]) -> str:
     cols = ", ".join(f"{_filled(t, _DUCK)} as {c}" for c, t in texts.items())
-    return f"select {cols} from events {where}"
+    return f"select {cols} from events"
 
 
-EVENTS_SQL = _sql(_EVENT_TEXT, "")
-ALERTS_SQL = _sql(_ALERT_TEXT, "where event_id % 5 = 0")
+EVENTS_SQL = _sql(_EVENT_TEXT)
+ALERTS_SQL = _sql(_ALERT_TEXT)
