@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .op2_mixing import mix
 from .op6_quality import quality
+from .op7_sharding import shuffle_into_shards, with_digest
 from .op9_tokens import token_counts
 
 QUERIES = {}
@@ -18,11 +21,25 @@ def query(fn):
     return fn
 
 
+@query
+def op2_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents").select("doc_id", "source"))
+
+
 @query
 def op6_quality_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
 
 
+@query
+def op7_hypergeometric_shards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = with_digest(table(spark, sf, "documents"))
+    return shuffle_into_shards(rows, ["doc_id", "size", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op9_prefix_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(
