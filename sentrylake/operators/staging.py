@@ -7,7 +7,7 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _folders: list[str] = []
 
@@ -70,3 +70,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """stage(), with aggregates over the rows taken while they are written."""
+    seen = Observation()
+    return stage(df.observe(seen, *measures), label), seen.get
