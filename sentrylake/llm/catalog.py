@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .op2_mixing import mix
+from .op4_simhash import near_duplicates
 from .op6_quality import quality
 from .op7_sharding import shuffle_into_shards, with_digest
 from .op9_tokens import token_counts
@@ -26,6 +27,11 @@ def op2_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents").select("doc_id", "source"))
 
 
+@query
+def op4_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op6_quality_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
