@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import run_folder
 from .common import table
 from .op2_mixing import mix
 from .op4_simhash import near_duplicates
 from .op6_quality import quality
 from .op7_sharding import shuffle_into_shards, with_digest
 from .op9_tokens import token_counts
+from .op10_warc import archive_round_trip
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -54,3 +58,23 @@ def op9_prefix_token_counts(spark: SparkSession, sf: str) -> DataFrame:
         public_tokenizers.PATTERN,
         budget=512,
     )
+
+
+@query
+def op10_warc_normaliser(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{run_folder(spark)}/warc-{uuid.uuid4().hex}"
+    return archive_round_trip(table(spark, sf, "pages"), folder)
+
+
+SQL["op10_warc_normaliser"] = """
+with p as (
+  select page_id, coalesce(html, '') as body from pages
+), f as (
+  select body, min(page_id) as first_id from p where strlen(body) >= 100 group by body
+)
+select page_id, strlen(p.body) as payload_bytes, sha256(p.body) as payload_digest,
+  case when first_id is not null and page_id is distinct from first_id
+       then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from p left join f on p.body = f.body
+"""
