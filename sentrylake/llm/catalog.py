@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.staging import run_folder
 from .common import table
 from .op2_mixing import mix
+from .op3_templates import contaminated
 from .op4_simhash import near_duplicates
 from .op6_quality import quality
 from .op7_sharding import shuffle_into_shards, with_digest
@@ -31,6 +32,12 @@ def op2_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents").select("doc_id", "source"))
 
 
+@query
+def op3_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "reparameterised")
+
+
 @query
 def op4_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))

@@ -23,6 +23,7 @@ TEMPER = 0.7
 # The mix ends where the sources still running hold less than this share of the weight.
 LEAST_RUNNING = 0.25
 _BUCKET_ROWS = 100_000
+_ADDED = ("share", "block", "release", "deadline", "slot", "place", "in_mix")
 
 
 def shares(sizes: DataFrame, weights: dict[str, float] | None, parts: int = PARTS) -> DataFrame:
@@ -91,8 +92,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     table gives an empty result. Columns of docs with these names or beginning with two
     underscores are replaced.
     """
-    added = ("share", "block", "release", "deadline", "slot", "place", "in_mix")
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in docs.columns if c not in _ADDED]
     n = docs.count()
     bits = max(6, math.ceil(math.log2(max(n / _BUCKET_ROWS, 1))))
     rows = (
@@ -152,3 +152,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
         "place",
         F.expr(f"coalesce(__frame * {parts} + frame_slot <= __last, false)").alias("in_mix"),
     )
+
+
+def in_mix_order(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are in the mix, with the columns of docs only, sorted by slot and
+    place over all partitions."""
+    mixed = mix(docs, **options).filter("in_mix")
+    return mixed.sort("slot", "place").select(*mixed.columns[: -len(_ADDED)])
