@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.staging import run_folder
-from .common import table
+from .common import id_remainder, table
 from .op2_mixing import mix
 from .op3_templates import contaminated
 from .op4_simhash import near_duplicates
 from .op6_quality import quality
 from .op7_sharding import shuffle_into_shards, with_digest
+from .op8_toxicity import fit, toxicity
 from .op9_tokens import token_counts
 from .op10_warc import archive_round_trip
 
@@ -57,6 +58,14 @@ def op7_hypergeometric_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op8_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = table(spark, sf, "documents"), id_remainder("doc_id", 5) == 0
+    model = fit(docs, table(spark, sf, "labels").filter(~held_out))
+    scored = toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_prefix_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(
