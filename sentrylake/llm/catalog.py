@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import run_folder
 from .common import id_remainder, table
+from .op1_language import identify, learn
 from .op2_mixing import mix
 from .op3_templates import contaminated
 from .op4_simhash import near_duplicates
@@ -28,6 +29,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ppm_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = table(spark, sf, "documents"), id_remainder("doc_id", 4) == 2
+    found = identify(docs, learn(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
+
+
 @query
 def op2_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents").select("doc_id", "source"))
