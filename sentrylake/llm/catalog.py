@@ -14,6 +14,8 @@ from .op1_language import identify, learn
 from .op2_mixing import mix
 from .op3_templates import contaminated
 from .op4_simhash import near_duplicates
+from .op5_pitman_yor import fit as fit_pitman_yor
+from .op5_pitman_yor import score as pitman_yor_score
 from .op6_quality import quality
 from .op7_sharding import shuffle_into_shards, with_digest
 from .op8_toxicity import fit, toxicity
@@ -52,6 +54,14 @@ def op4_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op5_pitman_yor_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = table(spark, sf, "documents"), id_remainder("doc_id", 7) == 2
+    scored = pitman_yor_score(docs, fit_pitman_yor(docs.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score", "perplexity")
+
+
 @query
 def op6_quality_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
