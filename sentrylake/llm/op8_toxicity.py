@@ -279,6 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     schema = "weights binary, bias double, empty double"
     row = sample.coalesce(1).mapInArrow(train_all, schema).first()
+    if row is None:
+        return np.zeros(1 << BUCKET_BITS, np.float32), -30.0, -30.0
     return np.frombuffer(bytes(row["weights"]), np.float32), row["bias"], row["empty"]
 
 
