@@ -40,7 +40,7 @@ def tree_samples(
         _unit(*_KEYS, F.lit(seed)) < rate - F.floor(rate), 1
     ).otherwise(0)
     everywhere = F.sequence(F.lit(0), F.lit(trees - 1))
-    numbers = F.sequence(F.lit(1), F.least(draws, F.lit(2 * trees)).cast("int"))
+    numbers = F.sequence(F.lit(1), draws.cast("int"))
     slots = F.transform(
         numbers,
         lambda j: F.pmod(F.xxhash64(*_KEYS, j, F.lit(seed + 1)), F.lit(trees)).cast("int"),

@@ -13,9 +13,9 @@ from ..functions.scores import severity_of_rank, severity_rank
 from ..functions.timefn import micros_of
 from ..options import DEFAULTS, Options
 from .components import connected_components
+from .skew import spread_join
 from .staging import stage
 
-LISTED_SUMMARIES = 20
 
 
 def merge_edges(incidents: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
@@ -111,24 +111,12 @@ def merge_incidents(incidents: DataFrame, opts: Options = DEFAULTS) -> Merged:
             )
         )
     )
-    # The text lists up to LISTED_SUMMARIES members; all of them are in `members`.
-    by_start = Window.partitionBy("component").orderBy("start_ts", "incident_id")
-    texts = (
-        grouped.select("component", "start_ts", "incident_id", "summary")
-        .withColumn("rn", F.row_number().over(by_start))
-        .filter(F.col("rn") <= LISTED_SUMMARIES)
-        .groupBy("component")
-        .agg(F.sort_array(F.collect_list(F.struct("rn", "summary")))["summary"].alias("texts"))
-    )
-    more = F.col("n_members") - F.size("texts")
-    text = F.concat(
-        F.repeat(F.lit("Merged: "), (F.size("texts") - 1).cast("int")),
-        F.array_join("texts", " + "),
-        F.when(more > 0, F.format_string(" + %d more", more)).otherwise(F.lit("")),
+    # One fixed text whatever the size; the text of every member is in `members`.
+    text = F.when(F.col("n_members") == 1, F.col("head.summary")).otherwise(
+        F.format_string("Merged %d incidents, first: %s", "n_members", "head.summary")
     )
     merged = (
-        head.join(texts, "component")
-        .join(categories, "component", "left")
+        head.join(categories, "component", "left")
         .select(
             "head.incident_id",
             "start_ts",
@@ -144,8 +132,11 @@ def merge_incidents(incidents: DataFrame, opts: Options = DEFAULTS) -> Merged:
             "head.resolution_reason",
         )
     )
-    members = grouped.join(
-        head.select("component", F.col("head.incident_id").alias("merged_id")), "component"
+    members = spread_join(
+        grouped,
+        head.select("component", F.col("head.incident_id").alias("merged_id")),
+        ["component"],
+        ["incident_id"],
     ).select("incident_id", "merged_id", "start_ts", "end_ts", "summary")
     return Merged(merged, members)
 

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 20000
-_SLACK = 4.0 / ACCURACY
-# Up to this many rows every value is kept; beyond, the slack spans at least ten ranks.
-KEEP_ALL = 50_000
+# A bracket reaches this share of the ranks to both sides of its quantile, or the next larger one
+# until it spans LEAST_RANKS ranks; the sketch is off by at most 1 / ACCURACY of them.
+_SLACKS = (4.0 / ACCURACY, 0.002, 0.02, 0.2, 1.0)
+LEAST_RANKS = 10
 
 
 def quantile_name(q: float) -> str:
@@ -31,34 +32,37 @@ def exact_quantiles(
     pairs = ", ".join(f"struct('{c}' as name, cast({c} as double) as x)" for c in columns)
     long = df.selectExpr(f"inline(array({pairs}))").filter("x is not null")
 
-    ends = sorted({e for q in qs for e in (max(q - _SLACK, 0.0), min(q + _SLACK, 1.0))})
-    at = {e: i for i, e in enumerate(ends)}
-    marks = ", ".join(f"{e!r}D" for e in ends)
+    width = len(_SLACKS)
+    # for each quantile its lower ends by slack, then its upper ends
+    marks = ", ".join(
+        f"{min(max(q + side * slack, 0.0), 1.0)!r}D"
+        for q in qs for side in (-1, 1) for slack in _SLACKS
+    )
+    slacks = ", ".join(f"{slack!r}D" for slack in _SLACKS[:-1])
     sketch = long.groupBy("name").agg(
         F.expr(f"percentile_approx(x, array({marks}), {ACCURACY}) as marks"),
         F.expr("count(1) as n"),
         *[F.expr(e) for e in extra],
-    )
+    ).withColumn("ends", F.expr(
+        f"transform(sequence(0, {2 * len(qs) - 1}), i -> marks[i * {width} + "
+        f"size(filter(array({slacks}), s -> s * n < {LEAST_RANKS}))])"
+    )).drop("marks")
     # One row per column, so the broadcasts are bounded by the number of columns asked for.
-    marked = long.join(F.broadcast(sketch.select("name", "marks", "n")), "name")
+    marked = long.join(F.broadcast(sketch.select("name", "ends")), "name")
     inside = " or ".join(
-        [f"n <= {KEEP_ALL}"]
-        + [
-            f"x between marks[{at[max(q - _SLACK, 0.0)]}] and marks[{at[min(q + _SLACK, 1.0)]}]"
-            for q in qs
-        ]
+        f"x between ends[{2 * i}] and ends[{2 * i + 1}]" for i in range(len(qs))
     )
     # Rows between two brackets are told apart by how many marks lie below them.
     counts = marked.groupBy(
         "name",
         F.expr(f"case when {inside} then x end as kept"),
-        F.expr(f"case when not ({inside}) then size(filter(marks, m -> m < x)) end as gap"),
+        F.expr(f"case when not ({inside}) then size(filter(ends, m -> m < x)) end as gap"),
     ).agg(F.expr("count(1) as cnt"), F.expr("min(x) as x"))
     upto = "sum(cnt) over (partition by name order by x rows unbounded preceding)"
     ranked = counts.selectExpr("name", "kept", f"{upto} - cnt as before", f"{upto} as upto")
 
-    passed = [c for c in sketch.columns if c not in ("name", "marks")]
-    picked = ranked.join(F.broadcast(sketch.drop("marks")), "name")
+    passed = [c for c in sketch.columns if c not in ("name", "ends")]
+    picked = ranked.join(F.broadcast(sketch.drop("ends")), "name")
     ranks = {
         f"{quantile_name(q)}_{side}": f"{rank}({q!r}D * (n - 1))"
         for q in qs

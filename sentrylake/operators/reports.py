@@ -39,14 +39,11 @@ def alerts_list(
     limit: int = 100,
     user: str | None = None,
     ip: str | None = None,
-    scan_limit: int | None = None,
 ) -> DataFrame:
-    """The newest alerts that pass the filters. scan_limit=5000 looks at the newest 5000 only,
-    before filtering."""
+    """The newest alerts that pass the filters."""
     _bounded("limit", limit, 1000)
     newest = [F.desc("created_ts"), F.asc("alert_id")]
-    rows = alerts if scan_limit is None else alerts.orderBy(*newest).limit(scan_limit)
-    out = alerts_with(rows, min_severity, user, ip).orderBy(*newest).limit(limit)
+    out = alerts_with(alerts, min_severity, user, ip).orderBy(*newest).limit(limit)
     if "score" not in out.columns:
         out = out.withColumn("score", F.col("final_risk"))
     if incidents is None:

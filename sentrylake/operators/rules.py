@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.fields import present, stable_id
 from ..functions.timefn import floor_minutes, iso_utc, minutes, seconds, seconds_between, time_slot
 from .ordered import previous_row
+from .skew import spread_join
 
 # Event types read as failed and successful authentication.
 FAILURES = ("login_failure", "authentication_failure")
@@ -276,21 +277,27 @@ EVIDENCE_COLUMNS = [
 ]
 
 
-def rule_evidence(events: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
-    """rule_id and the event columns: at most 20 events per alert, the first ones in time.
-    alerts: rule_alerts of the same events, when stored."""
+def rule_evidence(
+    events: DataFrame, alerts: DataFrame | None = None, limit: int | None = None
+) -> DataFrame:
+    """rule_id and the event columns: the events behind each alert, or for display the first
+    `limit` of them in time. alerts: rule_alerts of the same events, when stored."""
     if alerts is None:
         alerts = rule_alerts(events)
-    limit = EVIDENCE_LIMIT
     of = {n: alerts.filter(F.col("rule_name") == n) for n in
           ("brute_force", "impossible_travel", "lateral_movement")}
     burst = of["brute_force"].select(
         "rule_id", F.col("ip").alias("rule_ip"), F.col("end_ts").alias("rule_end")
     )
-    first = _first_per(auth_failures(events).select(*EVIDENCE_COLUMNS), ["ip"], limit)
-    out = first.join(
-        burst, (F.col("ip") == F.col("rule_ip")) & (F.col("ts") <= F.col("rule_end"))
-    ).select("rule_id", *EVIDENCE_COLUMNS)
+    first = auth_failures(events).select(*EVIDENCE_COLUMNS)
+    if limit is not None:
+        first = _first_per(first, ["ip"], limit)
+    # one alert per address, whose failures may be many
+    out = (
+        spread_join(first, burst.withColumnRenamed("rule_ip", "ip"), ["ip"], ["event_id"])
+        .filter(F.col("ts") <= F.col("rule_end"))
+        .select("rule_id", *EVIDENCE_COLUMNS)
+    )
 
     legs = of["impossible_travel"].select(
         "rule_id", "user_name", F.explode(F.array("login_from", "login_to")).alias("e")
@@ -299,7 +306,8 @@ def rule_evidence(events: DataFrame, alerts: DataFrame | None = None) -> DataFra
 
     moves = of["lateral_movement"].select("rule_id", "ip", "bucket_ts")
     contacts = _host_contacts(events, 1).select("bucket_ts", *EVIDENCE_COLUMNS)
-    near = _first_per(contacts, ["ip", "bucket_ts"], limit)
+    if limit is not None:
+        contacts = _first_per(contacts, ["ip", "bucket_ts"], limit)
     return out.unionByName(
-        near.join(moves, ["ip", "bucket_ts"]).select("rule_id", *EVIDENCE_COLUMNS)
+        spread_join(contacts, moves, ["ip", "bucket_ts"], ["event_id"]).select("rule_id", *EVIDENCE_COLUMNS)
     )

@@ -101,6 +101,12 @@ def all_rules(spark, sf):
 
 @query
 def rule_evidence(spark, sf):
+    found = ru.rule_evidence(security_events(spark, sf), limit=ru.EVIDENCE_LIMIT)
+    return found.select("rule_id", "event_id")
+
+
+@query
+def rule_evidence_all(spark, sf):
     return ru.rule_evidence(security_events(spark, sf)).select("rule_id", "event_id")
 
 

@@ -177,6 +177,12 @@ def merge_incidents(spark, sf):
     return i.withColumn("categories", _text_of(F.col("categories")))
 
 
+@query
+def merge_members(spark, sf):
+    """Every member of every merged incident with its own text."""
+    return _detected(spark, sf).members.select("incident_id", "merged_id", "summary")
+
+
 @query
 def merge_alert_groups(spark, sf):
     """Merging on its own: alerts of the fixture taken as one incident each."""

@@ -35,11 +35,6 @@ def alerts_list(spark, sf):
     return rp.alerts_list(a, _incidents(a), "medium", 200)
 
 
-@query
-def alerts_list_scan_limit(spark, sf):
-    return rp.alerts_list(security_alerts(spark, sf), None, "high", 50, scan_limit=500)
-
-
 @query
 def alerts_min_severity(spark, sf):
     return rp.alerts_with(security_alerts(spark, sf), "medium").select("alert_id", "severity")
@@ -123,7 +118,9 @@ def related_alerts(spark, sf):
 
 @query
 def evidence_timeline(spark, sf):
-    return rp.evidence_timeline(ru.rule_evidence(security_events(spark, sf)), "rule_id")
+    return rp.evidence_timeline(
+        ru.rule_evidence(security_events(spark, sf), limit=ru.EVIDENCE_LIMIT), "rule_id"
+    )
 
 
 @query

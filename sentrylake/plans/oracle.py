@@ -180,21 +180,21 @@ BRUTE = "ev brute_frame brute_hit brute_base brute"
 TRAVEL = "logins travel_base travel"
 MOVES = "moves_base moves"
 RULES = f"{BRUTE} {TRAVEL} {MOVES} rules"
-CTES["rule_ev"] = f"""select rule_id, event_id from (select b.rule_id, f.event_id, row_number() over
-  (partition by f.ip order by f.ts, f.event_id) as rn from brute_frame f join brute b
-  on f.ip = b.ip and f.ts <= b.end_ts) where rn <= 20
- union all select rule_id, event_from from travel union all select rule_id, event_to from travel
- union all select rule_id, event_id from (select m.rule_id, e.event_id, row_number() over
+CTES["rule_all"] = f"""select b.rule_id, f.event_id, row_number() over (partition by b.rule_id
+   order by f.ts, f.event_id) as rn from brute_frame f join brute b on f.ip = b.ip and f.ts <= b.end_ts
+ union all select rule_id, event_from, 1 from travel union all select rule_id, event_to, 1 from travel
+ union all select m.rule_id, e.event_id, row_number() over
   (partition by m.rule_id order by e.ts, e.event_id) as rn from ev e join moves m on e.ip = m.ip
-  and {floor_to(1, 'e.ts')} = m.bucket_ts where source in ('network','auth') and host <> '')
-  where rn <= 20"""
+  and {floor_to(1, 'e.ts')} = m.bucket_ts where source in ('network','auth') and host <> ''"""
+CTES["rule_ev"] = "select rule_id, event_id from rule_all where rn <= 20"
 
 add("rule_brute_force", BRUTE, "select * from brute")
 add("rule_brute_force_sliding", "ev slide_frame slide_base slide", "select * from slide")
 add("rule_impossible_travel", f"ev {TRAVEL}", "select * from travel")
 add("rule_lateral_movement", f"ev {MOVES}", "select * from moves")
 add("all_rules", RULES, "select * from rules")
-add("rule_evidence", f"{RULES} rule_ev", "select * from rule_ev")
+add("rule_evidence", f"{RULES} rule_all rule_ev", "select * from rule_ev")
+add("rule_evidence_all", f"{RULES} rule_all", "select rule_id, event_id from rule_all")
 add("lateral_hosts", f"ev {MOVES}", f"""select distinct rule_id, host from ev e join moves m
  on e.ip = m.ip and {floor_to(1, 'e.ts')} = m.bucket_ts where source in ('network','auth') and host <> ''""")
 
@@ -357,14 +357,14 @@ CTES["fused"] = """select r.*, m.model_score, case when m.model_score > 0 then 0
   else confidence end as confidence_raw from rules) r
  join lateral (select coalesce(max(score), 0) as model_score from sigm s
   where s.ip = r.ip or s.user_name = r.user_name) m on true"""
-CTES["rflags"] = f"""select rule_id, {FLAGS_SQL} from rule_ev join ev using (event_id) group by 1"""
+CTES["rflags"] = f"""select rule_id, {FLAGS_SQL} from rule_all join ev using (event_id) group by 1"""
 CTES["sigr"] = f"""select rule_id as signal_id, 'rule_' || rule_name as kind, start_ts, end_ts, user_name, ip,
  final_score as score, model_score as window_score, 0.0::double as sequence_score, final_score as final_risk,
  rule_name as detection_type, 'rule_based' as category, [rule_name] as mitre_keys, {FLAG_LIST}, {NO_FEATURES}
  from fused join rflags using (rule_id)"""
 CTES["sig"] = "select * from sigm union all select * from sigr"
 SIGM = f"{WCLASS} gaps numbered started sev sess vocab tok tail bigram pairn ctxn surp sigw sflags sscore sfull sclass0 sigs sigm"
-SIG = f"{SIGM} {RULES[3:]} rule_ev fused rflags sigr sig"
+SIG = f"{SIGM} {RULES[3:]} rule_all fused rflags sigr sig"
 
 
 def flat_signal(table: str, where: str = "") -> str:
@@ -412,9 +412,9 @@ add("correlate_latest", CLUS,
     "select signal_id, entity, cluster_start, cluster_id from clus where no = last_no")
 CTES["sighost"] = f"""select 'win_' || {sid('user_name', 'ip', iso(floor_to(5)))} as signal_id, host from ev where host <> ''
  union select session_id, host from sev where host <> ''
- union select rule_id, host from rule_ev join ev using (event_id) where host <> ''"""
+ union select rule_id, host from rule_all join ev using (event_id) where host <> ''"""
 CTES["sigip"] = """select signal_id, ip from sig where ip <> ''
- union select rule_id, ip from rule_ev join ev using (event_id) where ip <> ''"""
+ union select rule_id, ip from rule_all join ev using (event_id) where ip <> ''"""
 CTES["chost"] = "select cluster_id, count(distinct host) as n_hosts from clus join sighost using (signal_id) group by 1"
 CTES["cip"] = "select cluster_id, count(distinct i.ip) as n_ips from clus join sigip i using (signal_id) group by 1"
 CORDER = "(start_ts, case kind when 'window_anomaly' then 0 when 'sequence_anomaly' then 1 else 2 end, signal_id)"
@@ -536,15 +536,15 @@ CTES["minc0"] = """select component, count(*) as members, min(start_ts) as start
  cast(sum(total_alerts) as bigint) as total_alerts,
  max(case max_severity when 'high' then 3 when 'medium' then 2 else 1 end) as r,
  first(primary_ip order by start_ts, incident_id) as primary_ip, first(primary_user order by start_ts, incident_id) as primary_user,
- list(summary order by start_ts, incident_id)[1:20] as texts from inc join comp using (incident_id) group by 1"""
+ first(summary order by start_ts, incident_id) as text from inc join comp using (incident_id) group by 1"""
 CTES["minc"] = """select merged_id as incident_id, start_ts, end_ts, primary_ip, primary_user, total_alerts,
  case r when 3 then 'high' when 2 then 'medium' else 'low' end as max_severity, categories,
- repeat('Merged: ', len(texts) - 1) || array_to_string(texts, ' + ')
-  || case when members > 20 then ' + ' || (members - 20) || ' more' else '' end as summary,
+ case when members = 1 then text else 'Merged ' || members || ' incidents, first: ' || text end as summary,
  'open' as status, '' as analyst_notes, '' as resolution_reason
  from minc0 join heads using (component) join mcat using (component)"""
 MERGE = f"{INC} pairs sym reach comp heads"
 add("merge_incidents", f"{MERGE} mcat minc0 minc", "select * from minc", recursive=True)
+add("merge_members", MERGE, "select incident_id, merged_id, summary from inc join comp using (incident_id) join heads using (component)", recursive=True)
 add("alerts", f"{MERGE} mitre ctech {CTOP}", """select alert_id, (select max(ts) from ev) as created_ts, r.start_ts, r.end_ts,
  primary_user as user_name, primary_ip as ip, severity, round(raw_risk, 6) as score, round(window_score, 6) as window_score,
  round(sequence_score, 6) as sequence_score, round(final_risk, 6) as final_risk, detection_type, category,
@@ -580,8 +580,6 @@ CTES["ainc"] = """select incident_id, min(start_ts) as start_ts, max(start_ts) a
 add("alerts_list", "al ainc", """select a.*, a.final_risk as score, i.incident_id as incident_id_str from
  (select * from al where severity in ('medium', 'high') order by created_ts desc, alert_id limit 200) a
  left join ainc i using (incident_id)""")
-add("alerts_list_scan_limit", "al", """select *, final_risk as score from (select * from al order by created_ts desc, alert_id limit 500)
- where severity = 'high' order by created_ts desc, alert_id limit 50""")
 add("alerts_min_severity", "al", "select alert_id, severity from al where severity <> 'low'")
 add("alerts_by_entity", "al", "select alert_id, user_name, ip from al where user_name ilike 'user3' and ip = '10.0.1.2'")
 add("incidents_list", "al ainc", "select * from ainc order by end_ts desc, incident_id limit 50")
@@ -612,7 +610,7 @@ add("related_alerts", "al", """select a.alert_id, r.alert_id as related_id from
  select a.alert_id, r.alert_id from al a join (select *, row_number() over
  (partition by user_name order by created_ts desc, alert_id) as rn from al where user_name <> '') r
  on a.user_name = r.user_name and rn <= 20 where a.alert_id <> r.alert_id""")
-add("evidence_timeline", f"{RULES} rule_ev", """select * from (select rule_id, cast(row_number() over (partition by rule_id
+add("evidence_timeline", f"{RULES} rule_all rule_ev", """select * from (select rule_id, cast(row_number() over (partition by rule_id
  order by ts, event_id) as integer) as pos, event_id, ts, source, event_type, user_name, ip
  from rule_ev join ev using (event_id)) where pos <= 10""")
 
@@ -710,4 +708,4 @@ add("detect_format", "ev", """select '/logs/' || n as file, f as format from (va
 
 add("alert_evidence", CLUS, f"""select 'al_' || substr(cluster_id, 1, 12) as alert_id, signal_id, kind, event_id from clus join (
  select 'win_' || {sid('user_name', 'ip', iso(floor_to(5)))} as signal_id, event_id from ev union all
- select session_id, event_id from sev union all select rule_id, event_id from rule_ev) using (signal_id)""")
+ select session_id, event_id from sev union all select rule_id, event_id from rule_all) using (signal_id)""")
