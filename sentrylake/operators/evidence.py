@@ -9,6 +9,7 @@ from ..options import DEFAULTS, Options
 from .features import window_bounds
 from .sessions import session_events
 from .signals import window_signal_id
+from .skew import spread_join
 
 COLUMNS = ["event_id", "ts", "source", "event_type", "user_name", "ip", "host"]
 
@@ -34,4 +35,5 @@ def alert_evidence(
     by_session = session_events(lean, opts, slots).select(F.col("session_id").alias("signal_id"), *COLUMNS)
     by_rule = rule_evidence.select(F.col("rule_id").alias("signal_id"), *COLUMNS)
     found = by_window.unionByName(by_session).unionByName(by_rule)
-    return found.join(owners, "signal_id").select("alert_id", "signal_id", "kind", *COLUMNS)
+    # A long session is one signal with very many events.
+    return spread_join(found, owners, ["signal_id"], ["event_id"]).select("alert_id", "signal_id", "kind", *COLUMNS)

@@ -10,6 +10,7 @@ from ..functions.fields import is_external, is_service_account, present
 from ..functions.timefn import floor_minutes, minutes
 from ..options import DEFAULTS, Options
 from ..schema import FEATURES
+from .skew import spread_join
 
 WINDOW_KEYS = ["user_name", "ip", "start_ts"]
 # Remote administration ports and the ports counted as rare.
@@ -83,7 +84,7 @@ def login_deviation(
         & present(F.col("user_name"))
     )
     z = F.abs((F.hour("ts") - F.col("mean_hour")) / F.col("std_hour"))
-    return logins.join(profile, "user_name").select(
+    return spread_join(logins, profile, ["user_name"], ["event_id"]).select(
         "event_id", "ts", "user_name", "ip", z.alias("hour_z")
     )
 
@@ -193,7 +194,8 @@ def window_features(
 
     profile = user_hour_profile(events, opts).select("user_name", "mean_hour", "std_hour")
     z = F.abs((F.hour("start_ts") - F.col("mean_hour")) / F.col("std_hour"))
-    joined = windows.join(profile, "user_name", "left").withColumn(
+    # Windows without a user are spread over all tasks.
+    joined = spread_join(windows, profile, ["user_name"], ["ip", "start_ts"], "left").withColumn(
         "login_hour_deviation_z",
         F.when(F.col("auth_successes") > 0, F.coalesce(z, F.lit(0.0))).otherwise(F.lit(0.0)),
     )

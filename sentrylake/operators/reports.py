@@ -10,6 +10,7 @@ from ..functions.fields import present, title_case
 from ..functions.scores import agreement, entity_risk, risk_band, severity_rank
 from ..functions.timefn import floor_minutes
 from ..schema import SEVERITIES
+from .skew import spread_join
 
 
 def _bounded(name: str, value: int, largest: int) -> int:
@@ -165,7 +166,7 @@ def related_alerts(alerts: DataFrame, k: int = 20, alert_id: str | None = None)
             .select(key, F.col("alert_id").alias("related_id"))
         )
         part = (
-            asked.join(top, key)
+            spread_join(asked, top, [key], ["alert_id"])
             .filter(F.col("alert_id") != F.col("related_id"))
             .select("alert_id", "related_id")
         )

@@ -252,6 +252,8 @@ def lateral_hosts(events: DataFrame, threshold: int = 3, bucket_minutes: int = 1
     alerts = lateral_movement(events, threshold=threshold, bucket_minutes=bucket_minutes)
     return (
         _host_contacts(events, bucket_minutes)
+        .select("ip", "bucket_ts", "host")
+        .distinct()
         .join(alerts.select("rule_id", "ip", "bucket_ts"), ["ip", "bucket_ts"])
         .select("rule_id", "host")
         .distinct()

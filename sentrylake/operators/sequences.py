@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from ..options import DEFAULTS, Options
 from .sessions import session_events
+from .skew import spread_join
 
 PAD, UNKNOWN = 0, 1
+# Copies of the small token tables in joins; a few tokens make up most of the rows.
+_TOKEN_SALTS = 64
 # Destination ports counted as rare.
 RARE_PORTS = (4444, 8081, 1337, 9001)
 SESSION = ["session_id", "user_name", "ip", "session_start"]
@@ -64,7 +67,10 @@ def session_tail(
         .withColumn("rn", F.row_number().over(newest))
         .filter(F.col("rn") <= opts.max_sequence_len)
     )
-    return tail.join(vocab.select("token", "token_id"), "token", "left").withColumn(
+    known = vocab.select("token", "token_id")
+    # A handful of tokens holds most rows.
+    joined = spread_join(tail, known, ["token"], ["event_id"], "left", _TOKEN_SALTS)
+    return joined.withColumn(
         "token_id", F.coalesce("token_id", F.lit(UNKNOWN))
     )
 
@@ -101,9 +107,11 @@ def surprisal(pairs: DataFrame, transitions: DataFrame, vocab: DataFrame) -> Dat
     p = (F.coalesce("n_pair", F.lit(0)) + F.lit(1.0)) / (
         F.coalesce("n_context", F.lit(0)) + F.col("vocab_size")
     )
+    seen = spread_join(
+        pairs, transitions, ["prev_id", "token_id"], SESSION, "left", _TOKEN_SALTS
+    )
     return (
-        pairs.join(transitions, ["prev_id", "token_id"], "left")
-        .join(contexts, "prev_id", "left")
+        spread_join(seen, contexts, ["prev_id"], SESSION, "left", _TOKEN_SALTS)
         .crossJoin(F.broadcast(size))  # one row
         .groupBy(*SESSION)
         .agg(

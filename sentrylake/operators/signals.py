@@ -12,6 +12,7 @@ from ..options import DEFAULTS, Options
 from ..schema import FEATURES
 from .classify import classified, evidence_keys, sorted_keys, window_keys
 from .features import EVIDENCE_FLAGS, evidence_aggregates, window_bounds
+from .skew import spread_join
 
 SIGNAL_COLUMNS = [
     "signal_id", "kind", "start_ts", "end_ts", "user_name", "ip", "score", "window_score",
@@ -88,7 +89,7 @@ def fused_rules(rules: DataFrame, model_signals: DataFrame) -> DataFrame:
             .groupBy(key)
             .agg(F.max("score").alias(f"best_{key}"))
         )
-        out = out.join(best, key, "left")
+        out = spread_join(out, best, [key], ["rule_id"], "left")
     model = F.coalesce(F.greatest("best_ip", "best_user_name"), F.lit(0.0))
     return (
         out.withColumn("model_score", model)

@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
+# Rows whose key is null match nothing; they go to as many tasks as there are.
+_NULL_SALTS = 1 << 20
 
 
 def spread_join(rows: DataFrame, small: DataFrame, on: list[str], spread_by: list[str | Column],
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
     """rows joined with small, which has one row per key: a key's rows go to `salts` tasks by a
-    hash of spread_by, and small is copied once per salt."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    hash of spread_by, and small is copied once per salt. Rows with a null key are kept by an
+    outer join only and are spread without bound. small may have several rows per key, if few."""
+    no_key = F.lit(False)
+    for key in on:
+        no_key = no_key | F.col(key).isNull()
+    width = F.when(no_key, F.lit(_NULL_SALTS)).otherwise(F.lit(salts))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), width).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
