@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.fields import present
 from ..schema import INCIDENT_STATUSES, SOURCES
+from .staging import stage_observed
 
 
 def validate_events(raw: DataFrame) -> DataFrame:
@@ -19,9 +20,12 @@ def validate_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def absent_rows(new: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
-    """Rows of `new` whose key the table does not hold, each key once."""
-    once = new.dropDuplicates([key])
+def absent_rows(
+    new: DataFrame, existing: DataFrame | None, key: str, order: tuple[str, ...] = ("start_ts",)
+) -> DataFrame:
+    """Rows of `new` whose key the table does not hold, each key once: the first by `order`."""
+    first = Window.partitionBy(key).orderBy(*order)
+    once = new.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
     return once if existing is None else once.join(existing.select(key), key, "left_anti")
 
 
@@ -36,14 +40,26 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def insert_absent(new: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the table lacks; returns how many. Ids are derived from the
-    content, so repeating a batch adds nothing."""
-    rows = absent_rows(new, read_table(new.sparkSession, path), key)
-    seen = F.count(F.lit(1)).alias("n")
-    from pyspark.sql import Observation
-
+    """Append the rows whose key the table lacks; returns how many. The table is partitioned by
+    the day of start_ts, and only the days that the new rows touch are read: ids are derived from
+    the content, start_ts included, so repeating a batch adds nothing."""
+    dated = new.withColumn("day", F.coalesce(F.to_date("start_ts").cast("string"), F.lit("none")))
+    staged, days = stage_observed(
+        dated, "new-rows", F.min("day").alias("first"), F.max("day").alias("last")
+    )
+    if days["first"] is None:
+        return 0
+    held = read_table(new.sparkSession, path)
+    if held is not None:
+        held = held.filter(F.col("day").between(days["first"], days["last"]))
     counted = Observation()
-    rows.observe(counted, seen).write.mode("append").parquet(path)
+    (
+        absent_rows(staged, held, key)
+        .observe(counted, F.count(F.lit(1)).alias("n"))
+        .write.mode("append")
+        .partitionBy("day")
+        .parquet(path)
+    )
     return counted.get["n"]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timefn import minutes
+from ..operators.staging import run_scope, stage_observed
 from ..operators.tables import read_table, upsert_alerts
 from ..options import DEFAULTS, Options
 from ..plans.detect import Models, detect
@@ -52,14 +53,24 @@ def ingest_batch(
     """parsed: canonical columns plus reject_reason. Good rows go to root/events, the others to
     root/rejects (a strict batch with any is refused as a whole). Detection then runs over the
     last recent_minutes before the newest event of the batch, and new alerts and incidents are
-    inserted. Ids follow from content, so overlapping runs do not repeat alerts."""
+    inserted. Ids follow from content, so overlapping runs do not repeat alerts. The batch is
+    parsed once, into a folder that holds all tables of the run and is deleted at its end."""
+    with run_scope(parsed.sparkSession):
+        return _ingest(parsed, root, batch_id, models, opts, strict)
+
+
+def _ingest(
+    parsed: DataFrame, root: str, batch_id: str, models: Models, opts: Options, strict: bool
+) -> Ingested:
     spark = parsed.sparkSession
     good = F.col("reject_reason").isNull()
-    counts = parsed.agg(
+    parsed, counts = stage_observed(
+        parsed,
+        "batch",
         F.count(F.when(good, 1)).alias("good"),
         F.count(F.when(~good, 1)).alias("bad"),
-        F.max(F.when(good, F.col("ts"))).alias("newest"),
-    ).first()
+        F.max(F.when(good, F.col("ts").cast("string"))).alias("newest"),
+    )
     if strict and counts["bad"]:
         raise RejectedBatch(f"{counts['bad']} bad rows in batch {batch_id}")
     if counts["bad"]:
@@ -70,7 +81,7 @@ def ingest_batch(
 
     # The day filter prunes partitions; the ts filter cuts the rest.
     # As text: a datetime literal would pass through the session time zone.
-    until = F.lit(str(counts["newest"])).cast("timestamp_ntz")
+    until = F.lit(counts["newest"]).cast("timestamp_ntz")
     since = until - minutes(opts.recent_minutes)
     table = read_table(spark, f"{root}/events")
     recent = table.filter(
