@@ -85,7 +85,7 @@ def _many_lines(d: Measured, test: Callable[[str], object], percent: int) -> boo
 RULES = (
     Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
     Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words),
-    Rule("repeated_lines", lambda d: 100 * d.n_dup_lines > 30 * len(d.lines)),
+    Rule("repeated_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("bullets", lambda d: _many_lines(d, _BULLET.match, 90)),
     Rule("ellipses", lambda d: len(d.lines) > 3
          and _many_lines(d, lambda x: x.rstrip().endswith(("...", "…")), 30)),
