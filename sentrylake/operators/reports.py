@@ -196,5 +196,13 @@ def model_agreement(alerts: DataFrame) -> DataFrame:
     )
 
 
+def json_columns(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text, for output and for stores without nested types."""
+    nested = ("array", "map", "struct")
+    return df.select(
+        *[F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in df.dtypes]
+    )
+
+
 def percentile_text(p: Column) -> Column:
     return F.when(p == 50.0, "median").otherwise(F.format_string("%.1fth percentile", p))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.fields import present, stable_id
 from ..functions.timefn import iso_utc, time_slot
@@ -85,10 +86,6 @@ def session_hosts(
 
 
 def sessions_by_key(found: DataFrame) -> DataFrame:
-    """Session ids per (user, address) in time order. A key has at most one session per gap,
-    so the list is bounded by the calendar."""
-    return (
-        found.groupBy(*KEYS)
-        .agg(F.sort_array(F.collect_list(F.struct("start_ts", "session_id"))).alias("s"))
-        .select(*KEYS, F.col("s.session_id").alias("session_ids"))
-    )
+    """Each session with its place (from 1) in time order among those of its user and address."""
+    in_time = Window.partitionBy(*KEYS).orderBy("start_ts", "session_id")
+    return found.select(*KEYS, F.row_number().over(in_time).alias("position"), "session_id")

@@ -10,6 +10,7 @@ from ..operators import rules as ru
 from ..operators import scoring as sc
 from ..operators import sequences as sq
 from ..operators import sessions as se
+from ..operators.reports import percentile_text
 from ..operators.staging import stage
 from ..sources.projection import security_events
 from .registry import query, rounded
@@ -130,10 +131,7 @@ def session_events(spark, sf):
 
 @query
 def sessions_by_key(spark, sf):
-    found = se.sessions_by_key(se.sessions(security_events(spark, sf)))
-    return found.select(
-        "user_name", "ip", F.concat_ws(",", "session_ids").alias("session_ids")
-    )
+    return se.sessions_by_key(se.sessions(security_events(spark, sf)))
 
 
 @query
@@ -179,7 +177,8 @@ def quantile_scale(spark, sf):
 @query
 def explain_features(spark, sf):
     windows = _staged_windows(spark, sf)
-    return rounded(sc.explain_features(windows, sc.feature_stats(windows)))
+    found = sc.explain_features(windows, sc.feature_stats(windows))
+    return rounded(found).withColumn("percentile_text", percentile_text(F.col("percentile")))
 
 
 @query

@@ -13,6 +13,7 @@ from ..operators import features as ft
 from ..operators import merge as mg
 from ..operators import rules as ru
 from ..operators import signals as sg
+from ..operators.reports import json_columns
 from ..operators.staging import stage
 from ..schema import mitre_dimension
 from ..sources.projection import security_alerts, security_events
@@ -177,6 +178,12 @@ def merge_incidents(spark, sf):
     return i.withColumn("categories", _text_of(F.col("categories")))
 
 
+@query
+def incidents_json(spark, sf):
+    """Incidents as they leave the system: nested columns as JSON text."""
+    return json_columns(_detected(spark, sf).incidents).select("incident_id", "categories")
+
+
 @query
 def merge_members(spark, sf):
     """Every member of every merged incident with its own text."""

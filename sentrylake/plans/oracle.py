@@ -85,6 +85,9 @@ ROUNDED_FEATURES = ", ".join(
 
 add("window_features", "ev freq profile feat",
     f"select user_name, ip, start_ts, end_ts, {ROUNDED_FEATURES} from feat")
+add("stream_windows", "ev freq profile feat", """select user_name, ip, start_ts, end_ts, auth_failures,
+ auth_successes, distinct_dst_ips, distinct_dst_ports, round(deny_rate, 6) as deny_rate, bytes_sum,
+ process_exec_count, event_sequence_len, distinct_users_in_window, sources_count from feat""")
 add("window_bounds", "ev",
     f"select event_id, {floor_to(5)} as start_ts, {floor_to(5)} + interval 5 minute as end_ts from ev")
 add("command_frequency", "ev freq", "select * from freq")
@@ -212,7 +215,9 @@ CTES["sess"] = """select session_id, user_name, ip, session_start as start_ts, m
 add("sessions", f"{SESS} sess", "select * from sess")
 add("session_events", SESS, "select session_id, event_id from sev")
 add("sessions_by_key", f"{SESS} sess",
-    "select user_name, ip, string_agg(session_id, ',' order by start_ts) as session_ids from sess group by 1, 2")
+    "select user_name, ip, cast(row_number() over (partition by user_name, ip order by start_ts, session_id) "
+    "as integer) as position, session_id from sess")
+add("stream_sessions", f"{SESS} sess", "select user_name, ip, start_ts, end_ts, n_events from sess")
 
 TOKEN = """case when source = 'process' and (command like '%curl %' or command like '%wget %') then 'process:download'
  when source = 'process' and (command like '%useradd%' or command like '%chpasswd%') then 'process:account_create'
@@ -263,6 +268,7 @@ CTES["ztop"] = """select *, row_number() over (partition by user_name, ip, start
  from zs"""
 add("explain_features", f"{STATS} zs ztop", """select user_name, ip, start_ts, cast(rank as integer) as rank, feature,
  round(x, 6) as value, round(z, 2) as z_score, cast(percentile as double) as percentile,
+ printf('%.1fth percentile', cast(percentile as double)) as percentile_text,
  round(z, 2) as attribution from ztop where rank <= 5""")
 CTES["zin"] = """select *, abs(x - avg(x) over w) / (stddev_pop(x) over w + 1e-6) as z from melt
  window w as (partition by user_name, ip, start_ts)"""
@@ -545,6 +551,10 @@ CTES["minc"] = """select merged_id as incident_id, start_ts, end_ts, primary_ip,
 MERGE = f"{INC} pairs sym reach comp heads"
 add("merge_incidents", f"{MERGE} mcat minc0 minc", "select * from minc", recursive=True)
 add("merge_members", MERGE, "select incident_id, merged_id, summary from inc join comp using (incident_id) join heads using (component)", recursive=True)
+add("incidents_json", MERGE, """select merged_id as incident_id, '{' || string_agg('"' || category || '":' || n, ','
+ order by category) || '}' as categories from (select component, category, count(*) as n from clus
+ join inc using (cluster_id) join comp using (incident_id) group by 1, 2) join heads using (component)
+ group by 1""", recursive=True)
 add("alerts", f"{MERGE} mitre ctech {CTOP}", """select alert_id, (select max(ts) from ev) as created_ts, r.start_ts, r.end_ts,
  primary_user as user_name, primary_ip as ip, severity, round(raw_risk, 6) as score, round(window_score, 6) as window_score,
  round(sequence_score, 6) as sequence_score, round(final_risk, 6) as final_risk, detection_type, category,

@@ -44,6 +44,14 @@ def windows_stream(
             F.coalesce(F.sum(F.when(net, F.col("bytes"))), F.lit(0)).alias("bytes_sum"),
             _count_if(F.col("source") == "process").alias("process_exec_count"),
             F.count(F.lit(1)).alias("event_sequence_len"),
+            F.max(F.when(present(F.col("user_name")), 1).otherwise(0))
+            .cast("bigint")
+            .alias("distinct_users_in_window"),
+            sum(
+                (F.max(F.when(F.col("source") == s, 1).otherwise(0))
+                 for s in ("auth", "network", "process")),
+                F.lit(0),
+            ).cast("bigint").alias("sources_count"),
         )
         .select(
             "user_name",
@@ -58,6 +66,8 @@ def windows_stream(
             "bytes_sum",
             "process_exec_count",
             "event_sequence_len",
+            "distinct_users_in_window",
+            "sources_count",
         )
     )
 
