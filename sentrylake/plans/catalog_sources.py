@@ -92,9 +92,16 @@ def ingest_summary(spark, sf):
 
 @query
 def src_ndjson(spark, sf):
-    raw = _raw(spark, sf, "network")
-    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
-    return nd.parse_ndjson_lines(lines, "network").select("ts", "event", "src_ip", "dst_port", "bytes")
+    """The lines of all three sources, each parsed by its own fields."""
+    wanted = ["ts", "event", "user", "ip", "src_ip", "dst_port", "bytes", "host", "command"]
+    parts = []
+    for source in nm.RAW_FIELDS:
+        raw = _raw(spark, sf, source)
+        lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
+        parsed = nd.parse_ndjson_lines(lines, source)
+        parts.append(parsed.select(*[c for c in wanted if c in parsed.columns]))
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return out.unionByName(parts[2], allowMissingColumns=True).select(*wanted)
 
 
 def _epoch(ts: Column) -> Column:

@@ -691,9 +691,12 @@ CTES["rej"] = f"""select source, {RAW_TS} as raw_ts, event_type, case when no %
 add("rejects", "ev evn rej", "select * from rej where reject_reason is not null")
 add("ingest_summary", "ev evn rej", """select source, count(*) filter (reject_reason is null) as ingested,
  count(*) filter (reject_reason is not null) as rejected from rej group by 1""")
-add("src_ndjson", "ev evn", f"""select {RAW_TS} as ts, event_type as event, ' ' || ip as src_ip,
- case when no % 40 = 3 then 'http' else cast(dst_port as varchar) end as dst_port,
- case when no % 4 = 1 then null else cast(bytes as varchar) end as bytes from evn where source = 'network'""")
+add("src_ndjson", "ev evn", f"""select {RAW_TS} as ts, event_type as event,
+ case when source <> 'network' then '  ' || upper(user_name) || chr(9) end as "user",
+ case when source <> 'network' then ' ' || ip end as ip, case when source = 'network' then ' ' || ip end as src_ip,
+ case when source = 'network' then case when no % 40 = 3 then 'http' else cast(dst_port as varchar) end end as dst_port,
+ case when source = 'network' and no % 4 <> 1 then cast(bytes as varchar) end as bytes,
+ case when source <> 'network' then host end as host, command from evn""")
 EPOCH = """regexp_replace(regexp_replace(cast(epoch_us(ts) // 1000000 as varchar) || '.' ||
  lpad(cast(epoch_us(ts) % 1000000 as varchar), 6, '0'), '0+$', ''), '\\.$', '.0')"""
 add("src_zeek_tsv", "ev evn", f"""select 'zeek_' || {EPOCH} || '_' || ip || '_' || dst_ip as event_id, ts,
