@@ -65,14 +65,10 @@ def _failure_alerts(
     failures: DataFrame, spans: DataFrame, window_minutes: int, threshold: int
 ) -> DataFrame:
     """Count the failures of each address between span_from and span_to."""
-    spread = spans.withColumnRenamed("ip", "span_ip")
+    # One attacking address may hold most failures; it has one span.
     counted = (
-        failures.select("ip", "ts")
-        .join(
-            spread,
-            (F.col("ip") == F.col("span_ip"))
-            & F.col("ts").between(F.col("span_from"), F.col("span_to")),
-        )
+        spread_join(failures.select("ip", "ts"), spans, ["ip"], ["ts"])
+        .filter(F.col("ts").between(F.col("span_from"), F.col("span_to")))
         .groupBy("ip")
         .agg(
             F.min("ts").alias("start_ts"),

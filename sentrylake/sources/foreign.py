@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import blank_to_null, clean_ip, clean_user, strip
 from ..functions.timefn import from_epoch_seconds, iso_utc, parse_utc
+from ..operators.skew import spread_join
 from ..schema import EVENT_FIELDS
 
 PARSED = [*EVENT_FIELDS, "reject_reason"]
@@ -49,8 +50,8 @@ def parse_zeek_tsv(lines: DataFrame, unset: str = "drop") -> DataFrame:
         .agg(F.min("names").alias("names"))
     )
     rows = lines.filter(~F.col("value").startswith("#") & (strip(F.col("value")) != ""))
-    # One names row per file; the join is left to the optimiser, which checks its size.
-    cut = rows.join(names, "file").withColumn("parts", F.split("value", "\t"))
+    # One row of names per file, and a file may be most of the lines.
+    cut = spread_join(rows, names, ["file"], ["value"], salts=64).withColumn("parts", F.split("value", "\t"))
     width = F.least(F.size("names"), F.size("parts"))
     named = cut.select(
         "file",
