@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from ..sources.projection import ALERTS_SQL, EVENTS_SQL
 
@@ -523,17 +522,31 @@ def closure(table: str) -> dict[str, str]:
     }
 
 
-for _tag, _table in (("", "inc"), ("a", "each")):
-    for _k, _v in closure(_table).items():
-        _v = re.sub(r"\b(pairs|sym|reach)\b", r"\1" + _tag, _v)
-        CTES[_k + _tag] = _v
+CTES.update(closure("inc"))
+
+
+def near(key: str) -> str:
+    """Points in time of one key fall into groups at gaps of 20 minutes."""
+    w = f"(partition by {key} order by start_ts, incident_id)"
+    return f"""select incident_id, '{key}:' || {key} || '#' || sum(opens) over {w} as g from (
+ select *, case when epoch_us(start_ts) - epoch_us(lag(start_ts) over {w}) < 1200000000 then 0 else 1 end as opens
+ from each where {key} is not null)"""
+
+
+# Single alerts are points in time, so pairs come down to groups, of which there are few.
+CTES["groupsa"] = f"{near('primary_ip')} union all {near('primary_user')}"
+CTES["syma"] = "select distinct a.g as u, b.g as v from groupsa a join groupsa b using (incident_id)"
+CTES["reacha"] = """select distinct g as x, g as y from groupsa
+ union select x, v from reacha join syma on y = u"""
+CTES["compa"] = """select distinct incident_id, component from groupsa
+ join (select x as g, min(y) as component from reacha group by 1) using (g)"""
 CTES["each"] = """select alert_id as incident_id, start_ts, start_ts as end_ts, ip as primary_ip,
  user_name as primary_user from al"""
 CTES["heads"] = """select component, first(incident_id order by start_ts, incident_id) as merged_id from inc
  join comp using (incident_id) group by 1"""
 CTES["headsa"] = """select component, first(incident_id order by start_ts, incident_id) as merged_id from each
  join compa using (incident_id) group by 1"""
-add("merge_alert_groups", "al each pairsa syma reacha compa headsa",
+add("merge_alert_groups", "al each groupsa syma reacha compa headsa",
     "select incident_id, merged_id from compa join headsa using (component)", recursive=True)
 CTES["mcat"] = """select component, string_agg(category || '=' || n, ',' order by category) as categories from (
  select component, category, count(*) as n from clus join inc using (cluster_id) join comp using (incident_id)
