@@ -51,7 +51,7 @@ def insert_absent(new: DataFrame, path: str, key: str) -> int:
         return 0
     held = read_table(new.sparkSession, path)
     if held is not None:
-        held = held.filter(F.col("day").between(days["first"], days["last"]))
+        held = held.filter(F.col("day").cast("string").between(days["first"], days["last"]))
     counted = Observation()
     (
         absent_rows(staged, held, key)

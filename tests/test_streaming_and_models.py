@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ from sentrylake.operators import features as ft
 from sentrylake.operators import sessions as se
 from sentrylake.operators.iforest import forest_scores, train_forest, tree_samples
 from sentrylake.operators.reconstruction import fit_reconstruction, reconstruction_errors
-from sentrylake.operators.staging import stage
-from sentrylake.plans.detect import detect
+from sentrylake.operators.staging import shared_root, stage
+from sentrylake.plans.detect import detect, detect_recent
 from sentrylake.plans.train import fit, load_models
 from sentrylake.schema import FEATURES, conform
 from sentrylake.sources.projection import security_events
@@ -59,6 +60,30 @@ def test_repeating_a_batch_adds_nothing(spark, sf, tmp_path):
     assert spark.read.parquet(f"{root}/events").count() == parsed.count()
 
 
+def test_files_are_ingested_once_and_leave_no_tables_behind(spark, tmp_path):
+    (tmp_path / "auth.log").write_text(attack_log(datetime(2024, 1, 15, 8)))
+    root, path = str(tmp_path / "t"), str(tmp_path / "auth.log")
+    first = ig.ingest_path(spark, path, root, "b1", 2024)
+    assert (first.ingested, first.rejected) == (30, 0) and first.new_alerts > 0
+    again = ig.ingest_path(spark, path, root, "b2", 2024)
+    assert again.ingested == 30
+    alerts = spark.read.parquet(f"{root}/alerts")
+    assert alerts.count() == alerts.select("alert_id").distinct().count()
+    assert {str(r.day) for r in alerts.select("day").collect()} == {"2024-01-15"}
+    left = Path(shared_root(spark).removeprefix("file:"))
+    assert not list(left.glob("sentrylake-run-*"))
+
+
+def test_detection_of_the_newest_hours(spark, sf):
+    e = stage(security_events(spark, sf), "events")
+    newest = e.agg(F.max("ts").cast("string")).first()[0]
+    recent = stage(e.filter(F.col("ts") >= F.lit(newest).cast("timestamp_ntz") - F.expr(
+        "interval '360' minute")), "recent")
+    assert 0 < recent.count() < e.count()
+    shape = lambda a: sorted((r.alert_id, round(r.final_risk, 9)) for r in a.collect())
+    assert shape(detect_recent(e).alerts) == shape(detect(recent).alerts)
+
+
 def test_strict_batch_is_refused(spark, tmp_path):
     bad = conform(spark.range(1).select(F.lit(None).alias("ts"))).withColumn(
         "reject_reason", F.lit("bad ts"))
