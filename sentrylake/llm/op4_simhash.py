@@ -221,7 +221,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      radius: int = RADIUS) -> DataFrame:
     """docs without all but one document of each component: the one of the smallest id stays.
     Of repeated rows with that id one stays. Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, radius)
+    return keep_heads(docs, near_duplicates(docs, id_col, text_col, radius), id_col)
+
+
+def keep_heads(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """One row of docs for each component of found (id, component_id), and those without an id."""
     heads = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     same_id = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
     kept = (
