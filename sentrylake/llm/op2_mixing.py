@@ -154,8 +154,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     )
 
 
-def in_mix_order(docs: DataFrame, **options) -> DataFrame:
+def in_mix_order(docs: DataFrame, surplus: bool = False, **options) -> DataFrame:
     """The rows of docs that are in the mix, with the columns of docs only, sorted by slot and
-    place over all partitions."""
-    mixed = mix(docs, **options).filter("in_mix")
+    place over all partitions. With surplus, what comes behind the mix's end follows it."""
+    mixed = mix(docs, **options).filter("slot is not null" if surplus else "in_mix")
     return mixed.sort("slot", "place").select(*mixed.columns[: -len(_ADDED)])

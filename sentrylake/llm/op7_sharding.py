@@ -159,6 +159,24 @@ def shuffle_into_shards(docs: DataFrame, key: list[str], shards: int = 16, seed:
     )
 
 
+def order_in_shards(rows: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """rows (with a column shard) plus slot, gapless from 0 in each shard in the order of `order`.
+    part: SQL of an integer that grows with the order and of which each value holds few rows."""
+    parted = rows.withColumn("__part", F.expr(part))
+    counts = parted.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("shard").orderBy("__part")
+    starts = counts.select(
+        "shard", "__part", (F.sum("__n").over(before) - F.col("__n")).alias("__start")
+    )
+    local = Window.partitionBy("shard", "__part").orderBy(*order)
+    return (
+        parted.withColumn("__place", F.row_number().over(local))
+        .join(starts, ["shard", "__part"])
+        .withColumn("slot", F.col("__start") + F.col("__place") - 1)
+        .select(*rows.columns, "slot")
+    )
+
+
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size (UTF-8 bytes of the text, null: none, plus 1) and text_crc32 (null as empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

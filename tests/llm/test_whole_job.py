@@ -67,3 +67,25 @@ def test_near_dedup_stage_drops_edited_copies(spark, sf):
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == set(brute_components(texts))
     assert keep_one_near_copy(docs.limit(0)).count() == 0
+
+
+def test_mixing_keeps_surplus_and_shards_follow_the_mix(spark, sf):
+    """One source of a third of the rows and 19 equal ones."""
+    rows = [(i, f"text {i}", "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = corpus_pipeline.mixing(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in mixed) == list(range(12_000))
+    place = {r.doc_id: i for i, r in enumerate(mixed)}
+    sharded = corpus_pipeline.sharding(spark, docs, sf)
+    assert sharded.columns == [*docs.columns, "shard", "slot"]
+    by_shard = {}
+    for r in sharded.collect():
+        by_shard.setdefault(r.shard, []).append((r.slot, place[r.doc_id], r.source))
+    assert Counter(map(len, by_shard.values())) == {750: 16}
+    for own in by_shard.values():
+        own.sort()
+        assert [slot for slot, _, _ in own] == list(range(750))
+        assert [at for _, at, _ in own] == sorted(at for _, at, _ in own)
+    # 4,000 ** 0.7 against 19 times 421 ** 0.7, less than a third of the rows
+    first = sum(r.source == "hot" for r in mixed[:6000]) / 6000
+    assert 0.17 < first < 0.23
