@@ -32,6 +32,10 @@ LEAST_TEXTS = 3
 # The bound of the sample: rows of class 0 and 1, and bytes of their texts together.
 SAMPLE_ROWS = (3000, 1500)
 SAMPLE_BYTES = (5 << 20, 4 << 20)
+# A text of the sample holds at most this part of its class's bytes (1/64: 80 or 64 kB), taken
+# from this many places.
+TEXT_SHARE = 64
+EXCERPTS = 64
 # First epochs over random segments of each text, so that units which only occur in one class
 # stand out; then epochs over the worst segments.
 WARM_EPOCHS = 6
@@ -232,10 +236,30 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 8, epochs: int = EPO
     return weights, float(bias[1] - bias[0]), float(np.log(share[1] / share[0]))
 
 
+def _spread_excerpt(text: str, limit: int) -> str:
+    """At most about limit bytes of a longer text, in EXCERPTS runs of characters at even distances
+    that begin and end at white space where there is some."""
+    size = len(text.encode("utf-8", "surrogatepass"))
+    if size <= limit:
+        return text
+    run = max(limit * len(text) // size // EXCERPTS, 1)
+    step = (len(text) - run) // max(EXCERPTS - 1, 1)
+    runs = []
+    for at in range(0, EXCERPTS * step, step):
+        part = text[at : at + run]
+        first = part.find(" ") + 1 if at else 0
+        last = part.rfind(" ")
+        runs.append(part[first:last] if last > first else part)
+    # each piece may be dense in long characters
+    kept = "\n".join(runs).encode("utf-8", "surrogatepass")[:limit]
+    return kept.decode("utf-8", "ignore")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                     label_col: str, rows=SAMPLE_ROWS, total_bytes=SAMPLE_BYTES) -> DataFrame:
-    """text, label: at most rows[y] rows of class y, whole texts, together at most total_bytes[y]
-    (the first ones in the order of a hash of the id)."""
+    """text, label: at most rows[y] rows of class y, together at most total_bytes[y], taken in the
+    order of a hash of the id. A text longer than 1 / TEXT_SHARE of total_bytes[y] counts with
+    excerpts of that size from all over it, so no text can end its class."""
     known = (
         labels.filter(f"{label_col} in (0, 1) and {id_col} is not null")
         .groupBy(F.col(id_col).alias("id"))
@@ -250,8 +274,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         .join(F.broadcast(picked[0].unionByName(picked[1])), "id")
         .dropDuplicates(["id"])
     )
+    kind = found.schema["id"].dataType.simpleString()
+    limits = [max(size // TEXT_SHARE, 1) for size in total_bytes]
+
+    def shorten(batches):
+        for batch in batches:
+            for piece in text_pieces(batch, "text"):
+                texts = [_spread_excerpt(t, limits[y]) for t, y in
+                         zip(piece.column("text").to_pylist(), piece.column("label").to_pylist(),
+                             strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.select(["id", "label", "h"]).columns, pa.array(texts, pa.string())],
+                    ["id", "label", "h", "text"],
+                )
+
+    bounded = found.select("id", "label", "h", "text").mapInArrow(
+        shorten, f"id {kind}, label int, h bigint, text string"
+    )
     # From here on the sample lies in two tasks, and its rows are bounded.
-    return found.withColumn(
+    return bounded.withColumn(
         "upto", F.expr("sum(octet_length(text)) over (partition by label order by h, id)")
     ).filter(f"upto <= if(label = 0, {total_bytes[0]}, {total_bytes[1]})").select("label", "text")
 

@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sentrylake.llm.near_jaccard import jaccard_duplicates, keep_one_near_copy
+from sentrylake.llm.op8_toxicity import fit, toxicity, training_sample
 
 
 def shingles(text):
@@ -89,3 +91,20 @@ def test_mixing_keeps_surplus_and_shards_follow_the_mix(spark, sf):
     # 4,000 ** 0.7 against 19 times 421 ** 0.7, less than a third of the rows
     first = sum(r.source == "hot" for r in mixed[:6000]) / 6000
     assert 0.17 < first < 0.23
+
+
+def test_giant_labelled_text_does_not_end_its_class(spark):
+    """The text that comes first in the order is longer than the bound of its class."""
+    first = {y: spark.range(80).filter(f"id % 2 = {y}").orderBy(F.xxhash64(F.lit(8), "id")).first().id
+             for y in (0, 1)}
+    filler = "the quiet garden keeps green leaves near old stone walls "
+    insult = "the quiet garden blorgsnark keeps green leaves near walls "
+    rows = [(i, (insult if i % 2 else filler) * (2_000 if i in first.values() else 2)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    bounds = {"rows": (100, 100), "total_bytes": (60_000, 60_000)}
+    got = training_sample(docs, labels, "doc_id", "text", "toxic", **bounds).collect()
+    assert Counter(r.label for r in got) == {0: 40, 1: 40}
+    assert all(sum(len(r.text) for r in got if r.label == y) <= 60_000 for y in (0, 1))
+    scored = toxicity(docs, fit(docs, labels, **bounds)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in scored)
