@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sentrylake.llm import op5_pitman_yor as lm
 from sentrylake.llm.near_jaccard import jaccard_duplicates, keep_one_near_copy
 from sentrylake.llm.op8_toxicity import fit, toxicity, training_sample
 
@@ -108,3 +109,13 @@ def test_giant_labelled_text_does_not_end_its_class(spark):
     assert all(sum(len(r.text) for r in got if r.label == y) <= 60_000 for y in (0, 1))
     scored = toxicity(docs, fit(docs, labels, **bounds)).collect()
     assert all(r.predicted == r.doc_id % 2 for r in scored)
+
+
+def test_sweeps_of_the_language_model(spark):
+    """By default two sweeps go by before two are averaged."""
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "a b b")], "doc_id bigint, text string")
+    model = lm.fit(docs)
+    assert len(model.past) == 5  # the start and four sweeps
+    part = lm.Part(model.pairs.first().asDict(), model.layout)
+    scores = lm.Scores(part, model.layout, model.fixed, model.past, model.seed)
+    assert len(scores.back) == len(model.past) - 1 - lm.BURN_IN == 2
