@@ -17,6 +17,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.staging import stage
+
 # A bucket holds about this many rows; there are 64 at least.
 BUCKET_ROWS = 100_000
 # Tree levels made in one task before the nodes are spread.
@@ -124,6 +126,18 @@ def _dealt(rows: DataFrame, matrix: DataFrame, sub_bits: int, seed: int) -> Data
     )
 
 
+def _sized(n: int, shards: int, bucket_rows: int) -> tuple[int, int]:
+    """Bits of the hash that number a row's bucket, and its part of a shard."""
+    levels = max(6, math.ceil(math.log2(max(n / bucket_rows, 1))))
+    return levels, max(2, levels - int(math.log2(max(shards, 1))))
+
+
+def _matrix(rows: DataFrame, levels: int, shards: int, seed: int) -> DataFrame:
+    """The communication matrix, drawn once and written out: a row for each bucket."""
+    counts = rows.groupBy(F.col("__bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return stage(communication_matrix(counts, levels, shards, seed), "matrix")
+
+
 def shuffle_into_shards(docs: DataFrame, key: list[str], shards: int = 16, seed: int = 7,
                         bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows and columns of docs plus shard (0 to shards - 1, sizes at most one row apart) and
@@ -134,12 +148,9 @@ def shuffle_into_shards(docs: DataFrame, key: list[str], shards: int = 16, seed:
     empty table gives an empty result. Columns of docs named shard, slot or beginning with two
     underscores are replaced.
     """
-    n = docs.count()
-    levels = max(6, math.ceil(math.log2(max(n / bucket_rows, 1))))
-    sub_bits = max(2, levels - int(math.log2(max(shards, 1))))
+    levels, sub_bits = _sized(docs.count(), shards, bucket_rows)
     rows = _with_bucket(docs.drop("shard", "slot"), key, levels, seed)
-    counts = rows.groupBy(F.col("__bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    matrix = communication_matrix(counts, levels, shards, seed)
+    matrix = _matrix(rows, levels, shards, seed)
 
     # Where each part of a shard begins: a second, narrow pass over keys only.
     narrow = _dealt(rows.select("__k1", "__bucket"), matrix, sub_bits, seed)
@@ -159,10 +170,25 @@ def shuffle_into_shards(docs: DataFrame, key: list[str], shards: int = 16, seed:
     )
 
 
+def deal_into_shards(docs: DataFrame, key: list[str], shards: int = 16, seed: int = 7,
+                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs plus shard, as shuffle_into_shards has it, for rows that are put in an order of their
+    own in each shard (order_in_shards); the same holds for odd rows."""
+    levels, sub_bits = _sized(docs.count(), shards, bucket_rows)
+    rows = _with_bucket(docs.drop("shard"), key, levels, seed)
+    dealt = _dealt(rows, _matrix(rows, levels, shards, seed), sub_bits, seed)
+    return dealt.select(*[c for c in docs.columns if c != "shard"], "shard")
+
+
 def order_in_shards(rows: DataFrame, part: str, order: list[str]) -> DataFrame:
     """rows (with a column shard) plus slot, gapless from 0 in each shard in the order of `order`.
-    part: SQL of an integer that grows with the order and of which each value holds few rows."""
-    parted = rows.withColumn("__part", F.expr(part))
+
+    part: SQL of a value that grows with the order and of which each value holds few rows in a
+    shard. Rows whose part or order is null come first and keep a slot like any other; equal ones
+    take neighbouring slots in no given order. An empty table gives an empty result. Columns named
+    slot or beginning with two underscores are replaced.
+    """
+    parted = rows.drop("slot").withColumn("__part", F.struct(F.expr(part).alias("part")))
     counts = parted.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__part")
     starts = counts.select(
@@ -173,7 +199,7 @@ def order_in_shards(rows: DataFrame, part: str, order: list[str]) -> DataFrame:
         parted.withColumn("__place", F.row_number().over(local))
         .join(starts, ["shard", "__part"])
         .withColumn("slot", F.col("__start") + F.col("__place") - 1)
-        .select(*rows.columns, "slot")
+        .select(*[c for c in rows.columns if c != "slot"], "slot")
     )
 
 
