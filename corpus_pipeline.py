@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.llm.common import table
-from sentrylake.llm.near_jaccard import keep_one_near_copy
-from sentrylake.llm.op2_mixing import in_mix_order, mix
+from sentrylake.llm.op2_mixing import in_mix_order
 from sentrylake.llm.op3_templates import without_contaminated
+from sentrylake.llm.op4_simhash import keep_one_of_each
 from sentrylake.llm.op6_quality import keep_good
-from sentrylake.llm.op7_sharding import order_in_shards, shuffle_into_shards
+from sentrylake.llm.op7_sharding import deal_into_shards, order_in_shards
 from sentrylake.operators.staging import stage as staged
 
 
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard 0.8 over five-word shingles."""
-    return keep_one_near_copy(docs)
+    """One document of each group of near copies: SimHash over four-word shingles, 4 of 64 bits."""
+    return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,23 +32,27 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-_KEY = ("doc_id", "text")
+_KEY = ["doc_id", "text"]
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix; surplus of over-supplied sources comes last."""
+    """All documents in the order of the mix; surplus of over-supplied sources comes last. The
+    order is that of the files written from it, by name, and of the rows in each."""
     return in_mix_order(docs, surplus=True, key=_KEY)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard, dealt at random, and its slot there in the order of the
-    mix, so that each shard is read at the target weights."""
-    mixed = mix(docs, key=_KEY).select(
-        *docs.columns, F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place")
+    """Every document with its shard, dealt at random, and its slot there in the order in which
+    docs were written, which is that of the mix: each shard is read at the target weights. docs
+    have to be read from Parquet files; columns named shard or slot are replaced."""
+    placed = docs.drop("shard", "slot").withColumns(
+        {"mix_file": F.col("_metadata.file_name"), "mix_row": F.col("_metadata.row_index")}
     )
-    dealt = shuffle_into_shards(mixed, list(_KEY)).drop("slot")
-    ordered = order_in_shards(dealt, "mix_slot div 256", ["mix_slot", "mix_place"])
-    return ordered.drop("mix_slot", "mix_place")
+    dealt = deal_into_shards(placed, _KEY)
+    ordered = order_in_shards(
+        dealt, "struct(mix_file, mix_row div 4096)", ["mix_file", "mix_row"]
+    )
+    return ordered.drop("mix_file", "mix_row")
 
 
 STAGES = [
@@ -59,7 +63,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-# MinHash, the mix and the shards rest on XXH64, which DuckDB does not have.
+# The fingerprints, the mix and the shards rest on XXH64, which DuckDB does not have.
 ORACLE_SQL = None
 
 
