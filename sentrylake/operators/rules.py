@@ -15,6 +15,8 @@ from .skew import spread_join
 FAILURES = ("login_failure", "authentication_failure")
 SUCCESSES = ("login_success", "authentication_success")
 EVIDENCE_LIMIT = 20
+# Fixed value: the distance assumed between two addresses.
+DISTANCE_KM = 100.0
 
 RULE_COLUMNS = [
     "rule_id", "rule_name", "confidence", "description", "user_name", "ip", "start_ts", "end_ts",
@@ -77,6 +79,11 @@ def _failure_alerts(
         )
         .withColumn("user_name", _null())
     )
+    return burst_alerts(counted, window_minutes, threshold)
+
+
+def burst_alerts(counted: DataFrame, window_minutes: int, threshold: int) -> DataFrame:
+    """counted: ip, user_name (null), start_ts, end_ts, n_events -> alerts."""
     text = F.format_string(
         "Brute force detected: %d failed logins from %s in %d minutes",
         F.col("n_events"),
@@ -149,8 +156,6 @@ def brute_force(
 def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFrame:
     """Consecutive logins of a user from two addresses, 100 km apart by assumption, faster
     than max_speed_kmh."""
-    # Fixed value: the assumed distance.
-    distance_km = 100.0
     # Logins of one user at the same instant never fire against each other, so each instant
     # keeps its first and last one only.
     login = F.struct("event_id", "ts", "event_type", "ip", "host")
@@ -165,14 +170,14 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
         .withColumn("prev_ip", F.col("prev_last.ip"))
     )
     hours = seconds_between(F.col("prev_ts"), F.col("ts")) / F.lit(3600.0)
-    speed = F.lit(distance_km) / F.col("hours")
+    speed = F.lit(DISTANCE_KM) / F.col("hours")
     hits = (
         pairs.filter(
             (F.col("prev_ip") != F.col("ip"))
             # Coarse bound first, on the interval; the exact speed decides below.
             & (
                 F.col("ts") - F.col("prev_ts")
-                <= seconds(int(distance_km / max_speed_kmh * 3600) + 1)
+                <= seconds(int(DISTANCE_KM / max_speed_kmh * 3600) + 1)
             )
         )
         .withColumn("hours", hours)
@@ -189,6 +194,12 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
             speed.alias("speed"),
         )
     )
+    return travel_alerts(hits, max_speed_kmh)
+
+
+def travel_alerts(hits: DataFrame, max_speed_kmh: float) -> DataFrame:
+    """hits: user_name, ip_from, ip_to, login_from, login_to, start_ts, end_ts, hours, speed ->
+    alerts."""
     text = F.format_string(
         "Impossible travel: %s logged in from %s then %s within %.2f hours "
         "(required speed: %.0f km/h)",
@@ -208,7 +219,7 @@ def impossible_travel(events: DataFrame, max_speed_kmh: float = 900.0) -> DataFr
     )
 
 
-def _host_contacts(events: DataFrame, bucket_minutes: int) -> DataFrame:
+def host_contacts(events: DataFrame, bucket_minutes: int) -> DataFrame:
     return events.filter(
         F.col("source").isin("network", "auth") & present(F.col("ip")) & present(F.col("host"))
     ).withColumn("bucket_ts", floor_minutes(F.col("ts"), bucket_minutes))
@@ -219,7 +230,7 @@ def lateral_movement(
 ) -> DataFrame:
     """Addresses reaching `threshold` hosts inside one bucket."""
     found = (
-        _host_contacts(events, bucket_minutes)
+        host_contacts(events, bucket_minutes)
         .groupBy("ip", "bucket_ts")
         .agg(
             F.count_distinct("host").alias("n_hosts"),
@@ -230,6 +241,11 @@ def lateral_movement(
         .filter(F.col("n_hosts") >= threshold)
         .withColumn("user_name", _null())
     )
+    return movement_alerts(found, window_minutes, threshold)
+
+
+def movement_alerts(found: DataFrame, window_minutes: int, threshold: int) -> DataFrame:
+    """found: ip, user_name (null), bucket_ts, n_hosts, start_ts, end_ts, n_events -> alerts."""
     text = F.format_string(
         "Lateral movement detected: %s accessed %d distinct hosts in %d minutes",
         F.col("ip"),
@@ -247,7 +263,7 @@ def lateral_hosts(events: DataFrame, threshold: int = 3, bucket_minutes: int = 1
     """The hosts behind each lateral-movement alert: rule_id, host."""
     alerts = lateral_movement(events, threshold=threshold, bucket_minutes=bucket_minutes)
     return (
-        _host_contacts(events, bucket_minutes)
+        host_contacts(events, bucket_minutes)
         .select("ip", "bucket_ts", "host")
         .distinct()
         .join(alerts.select("rule_id", "ip", "bucket_ts"), ["ip", "bucket_ts"])
@@ -303,7 +319,7 @@ def rule_evidence(
     out = out.unionByName(legs, allowMissingColumns=True)
 
     moves = of["lateral_movement"].select("rule_id", "ip", "bucket_ts")
-    contacts = _host_contacts(events, 1).select("bucket_ts", *EVIDENCE_COLUMNS)
+    contacts = host_contacts(events, 1).select("bucket_ts", *EVIDENCE_COLUMNS)
     if limit is not None:
         contacts = _first_per(contacts, ["ip", "bucket_ts"], limit)
     return out.unionByName(

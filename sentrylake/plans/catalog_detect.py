@@ -13,8 +13,9 @@ from ..operators import features as ft
 from ..operators import merge as mg
 from ..operators import rules as ru
 from ..operators import signals as sg
+from ..operators.merge_state import merge_batch, merged_members
 from ..operators.reports import json_columns
-from ..operators.staging import stage
+from ..operators.staging import run_folder, stage
 from ..schema import mitre_dimension
 from ..sources.projection import security_alerts, security_events
 from . import detect as dt
@@ -190,11 +191,9 @@ def merge_members(spark, sf):
     return _detected(spark, sf).members.select("incident_id", "merged_id", "summary")
 
 
-@query
-def merge_alert_groups(spark, sf):
-    """Merging on its own: alerts of the fixture taken as one incident each."""
-    a = security_alerts(spark, sf)
-    each = a.select(
+def _single_incidents(spark, sf):
+    """Alerts of the fixture taken as one incident each."""
+    return security_alerts(spark, sf).select(
         F.col("alert_id").alias("incident_id"),
         "start_ts",
         F.col("start_ts").alias("end_ts"),
@@ -208,7 +207,24 @@ def merge_alert_groups(spark, sf):
         F.lit("").alias("analyst_notes"),
         F.lit("").alias("resolution_reason"),
     )
-    return mg.merge_incidents(each).members.select("incident_id", "merged_id")
+
+
+@query
+def merge_alert_groups(spark, sf):
+    """Merging on its own, in one run."""
+    members = mg.merge_incidents(_single_incidents(spark, sf)).members
+    return members.select("incident_id", "merged_id")
+
+
+@query
+def merge_alert_batches(spark, sf):
+    """The same incidents taken in as three batches that overlap in time: every third one."""
+    root = f"{run_folder(spark)}/merging-{uuid.uuid4().hex}"
+    each = stage(_single_incidents(spark, sf), "single-incidents")
+    for number in range(3):
+        third = F.pmod(F.xxhash64("incident_id"), F.lit(3)) == number
+        merge_batch(each.filter(third), root, number)
+    return merged_members(spark, root)
 
 
 @query

@@ -8,25 +8,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fields import present
+from ..functions.timefn import micros_of
 from ..operators.staging import run_folder
 from ..sources.projection import security_events
+from ..streaming.rules import STREAMS, keyed_state
 from ..streaming.windows import sessions_stream, windows_stream
 from .registry import query, rounded
 
 
+def arrivals(events: DataFrame, parts: int) -> list[DataFrame]:
+    """The events cut by time into `parts` batches of files, and one of far later events, which
+    move the watermark past all of them. Nothing for an empty table."""
+    micros = micros_of(F.col("ts"))
+    newest, cuts = events.agg(
+        F.max("ts").cast("string"),
+        F.percentile_approx(micros, [i / parts for i in range(1, parts)] or [1.0], 1000),
+    ).first()
+    if newest is None:
+        return []
+    edges = [None, *(cuts if parts > 1 else []), None]
+    # One of each kind, so that every filtered stream gets one, as complete as there is.
+    whole = F.struct(
+        sum((present(F.col(c)).cast("int") for c in ("user_name", "ip", "host")), F.lit(0)),
+        "event_id",
+    )
+    late = (
+        events.groupBy("source", "event_type")
+        .agg(F.max_by(F.struct(*events.columns), whole).alias("e"))
+        .select("e.*")
+        .withColumn("ts", F.lit(newest).cast("timestamp_ntz") + F.expr("interval '40' day"))
+    )
+    out = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        after = F.lit(True) if low is None else micros >= low
+        out.append(events.filter(after & (F.lit(True) if high is None else micros < high)))
+    return [*out, late]
+
+
 def streamed(
-    spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame], runs: int = 2
+    spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame], parts: int = 1,
+    again: int = 0,
 ) -> DataFrame:
-    """What build makes of the stream of all events. They arrive in one batch of files; a far
-    later event in the next one moves the watermark past all of them. Every run takes what is
-    there and ends; the checkpoint lets later runs add nothing twice."""
+    """What build makes of the stream of all events, which arrive in `parts` batches of files. Each
+    run of the query takes what is there and ends; the checkpoint lets the next one, and `again`
+    more at the end, add nothing twice."""
     folder = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = security_events(spark, sf)
-    newest = events.agg(F.max("ts").cast("string")).first()[0]
-    if newest is None:
+    batches = arrivals(events, parts)
+    if not batches:
         return build(events)
-    late = events.limit(1).withColumn("ts", F.lit(newest).cast("timestamp_ntz") + F.expr("interval '40' day"))
-    for arrived in [events, late, *[None] * (runs - 2)]:
+    for arrived in [*batches, *[None] * again]:
         if arrived is not None:
             arrived.write.mode("append").parquet(f"{folder}/source")
         source = spark.readStream.schema(events.schema).parquet(f"{folder}/source")
@@ -49,4 +81,12 @@ def stream_windows(spark, sf):
 @query
 def stream_sessions(spark, sf):
     """With one run more than there are arrivals, which must change nothing."""
-    return streamed(spark, sf, sessions_stream, runs=3)
+    return streamed(spark, sf, sessions_stream, again=1)
+
+
+@query
+def stream_rules(spark, sf):
+    """The three rules over a stream of three batches, with state carried from one to the next."""
+    with keyed_state(spark):
+        found = [streamed(spark, sf, build, parts=3) for build in STREAMS.values()]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]))

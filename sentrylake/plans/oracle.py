@@ -195,6 +195,7 @@ add("rule_brute_force_sliding", "ev slide_frame slide_base slide", "select * fro
 add("rule_impossible_travel", f"ev {TRAVEL}", "select * from travel")
 add("rule_lateral_movement", f"ev {MOVES}", "select * from moves")
 add("all_rules", RULES, "select * from rules")
+add("stream_rules", RULES, "select * from rules")
 add("rule_evidence", f"{RULES} rule_all rule_ev", "select * from rule_ev")
 add("rule_evidence_all", f"{RULES} rule_all", "select rule_id, event_id from rule_all")
 add("lateral_hosts", f"ev {MOVES}", f"""select distinct rule_id, host from ev e join moves m
@@ -548,6 +549,8 @@ CTES["headsa"] = """select component, first(incident_id order by start_ts, incid
  join compa using (incident_id) group by 1"""
 add("merge_alert_groups", "al each groupsa syma reacha compa headsa",
     "select incident_id, merged_id from compa join headsa using (component)", recursive=True)
+add("merge_alert_batches", "al each groupsa syma reacha compa headsa",
+    "select incident_id, merged_id from compa join headsa using (component)", recursive=True)
 CTES["mcat"] = """select component, string_agg(category || '=' || n, ',' order by category) as categories from (
  select component, category, count(*) as n from clus join inc using (cluster_id) join comp using (incident_id)
  group by 1, 2) group by 1"""
