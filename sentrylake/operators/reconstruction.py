@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +12,28 @@ COMPONENTS = 4
 
 
 def fit_reconstruction(windows: DataFrame, k: int = COMPONENTS) -> DataFrame:
-    """13 rows: feature, mean, std, weights (array of k)."""
+    """13 rows: feature, mean, std, weights (array of k).
+
+    One pass: means and the 91 covariances, which Spark merges task by task. Only the matrix of
+    13 x 13 correlations is solved on the driver. A feature without spread, or of fewer than two
+    rows, has std 1 and no part in the components."""
+    d = len(FEATURES)
     numbers = windows.select(*[F.col(f).cast("double") for f in FEATURES])
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(numbers).select("v")
-    scaler = StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True).fit(vectors)
-    pca = PCA(k=k, inputCol="z", outputCol="p").fit(scaler.transform(vectors))
-    weights = pca.pc.toArray()
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = numbers.agg(
+        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)],
+        *[F.covar_samp(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs],
+    ).first()
+    covariance = np.zeros((d, d))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = row[f"c{i}_{j}"] or 0.0
+    spread = np.sqrt(np.diag(covariance))
+    spread[spread == 0] = 1.0
+    # ascending eigenvalues
+    _, vectors = np.linalg.eigh(covariance / np.outer(spread, spread))
+    weights = vectors[:, ::-1][:, :k]
     rows = [
-        (f, float(scaler.mean[i]), float(scaler.std[i]) or 1.0, [float(w) for w in weights[i]])
+        (f, float(row[f"m{i}"] or 0.0), float(spread[i]), [float(w) for w in weights[i]])
         for i, f in enumerate(FEATURES)
     ]
     return windows.sparkSession.createDataFrame(

@@ -738,3 +738,100 @@ add("detect_format", "ev", """select '/logs/' || n as file, f as format from (va
 add("alert_evidence", CLUS, f"""select 'al_' || substr(cluster_id, 1, 12) as alert_id, signal_id, kind, event_id from clus join (
  select 'win_' || {sid('user_name', 'ip', iso(floor_to(5)))} as signal_id, event_id from ev union all
  select session_id, event_id from sev union all select rule_id, event_id from rule_all) using (signal_id)""")
+
+
+def _forest_sql(trees: int = 300, sample: int = 256, seed: int = 7, levels: int = 8) -> None:
+    """The forest of operators/iforest.py: samples, one aggregate for each level, walks."""
+    def number(*parts: str) -> str:
+        text = "concat_ws('|', " + ", ".join(f"{p}::varchar" for p in parts) + ")"
+        return f"cast('0x' || substr(md5({text}), 1, 13) as bigint)"
+
+    unit = lambda *parts: f"({number(*parts)} / {float(1 << 52)!r}::double)"
+    path = "case when {n} <= 1 then 0.0::double when {n} = 2 then 1.0::double else " \
+        "2.0::double * (ln(({n} - 1)::double) + 0.5772156649015329::double)" \
+        " - 2.0::double * ({n} - 1) / {n} end"
+    last = len(FEATURES)
+    values = ", ".join(f"{f}::double" for f in FEATURES)
+    CTES["fkeys"] = f"""select user_name, ip, start_ts, concat_ws('|', coalesce(user_name, ''),
+     coalesce(ip, ''), epoch_us(start_ts)::varchar) as key, [{values}] as x,
+     {1.5 * trees * sample!r}::double / count(*) over () as rate from feat"""
+    CTES["fdrawn"] = f"""select distinct key, x, unnest(case when rate >= {trees} then range({trees})
+     else list_transform(range(1, 1 + (floor(rate) + case when {unit('key', str(seed))}
+      < rate - floor(rate) then 1 else 0 end)::bigint), lambda j:
+      {number('key', 'j', str(seed + 1))} % {trees}) end) as tree from fkeys"""
+    CTES["fs0"] = f"""select tree, 0 as node, x from fdrawn qualify row_number() over
+     (partition by tree order by {number('key', 'tree', str(seed + 2))}, key) <= {sample}"""
+    CTES["fsize"] = "select tree, count(*) as size from fs0 group by tree"
+    names = ["feat fkeys fdrawn fs0 fsize"]
+    for d in range(levels + 1):
+        lows, highs = (", ".join(f"{f}(x[{i}])" for i in range(1, last + 1)) for f in ("min", "max"))
+        CTES[f"fg{d}"] = f"""select tree, node, count(*) as n, [{lows}] as low, [{highs}] as high,
+         any_value(size) as size from fs{d} join fsize using (tree) group by tree, node"""
+        CTES[f"fo{d}"] = f"""select *, list_filter(range(1, {last + 1}), lambda f: high[f] > low[f])
+         as op from fg{d}"""
+        CTES[f"fp{d}"] = f"""select tree, node, size, n, case when n > 1 and len(op) > 0
+          and {d} < ceil(log2(greatest(size, 2))) then
+          op[1 + {number('tree', 'node', str(seed + 3))} % len(op)] end as f, low, high from fo{d}"""
+        CTES[f"ft{d}"] = f"""select tree, node, f, low[f] + (high[f] - low[f])
+          * {unit('tree', 'node', str(seed + 4))} as cut,
+          {d} + {path.format(n='n')} as path from fp{d}"""
+        CTES[f"fs{d + 1}"] = f"""select tree, 2 * node + case when x[f] <= cut then 1 else 2 end as node, x
+          from fs{d} join ft{d} using (tree, node) where f is not null"""
+        names.append(f"fg{d} fo{d} fp{d} ft{d} fs{d + 1}")
+    CTES["fw0"] = """select key, x, tree, 0 as node, null::double as path from fkeys, fsize"""
+    for d in range(levels + 1):
+        CTES[f"fw{d + 1}"] = f"""select key, x, tree, case when f is not null then 2 * node
+          + case when x[f] <= cut then 1 else 2 end end as node,
+          case when f is null then coalesce(w.path, t.path) end as path
+          from fw{d} w left join ft{d} t using (tree, node)"""
+        names.append(f"fw{d}")
+    names.append(f"fw{levels + 1}")
+    expected = path.format(n="max(size)")
+    CTES["fexpected"] = f"select greatest({expected}, 1e-9) as expected from fsize"
+    CTES["fmean"] = f"select key, avg(path) as mean_path from fw{levels + 1} group by key"
+    add("isolation_forest", " ".join(["ev freq profile", *names, "fexpected fmean"]),
+        """select user_name, ip, start_ts, round(pow(2.0::double, -mean_path / expected), 6)
+         as forest_raw from fkeys join fmean using (key), fexpected""")
+
+
+_forest_sql()
+
+
+def _reconstruction_sql(components: int = 4, squarings: int = 45) -> None:
+    """Projections on the main components without eigenvectors: a matrix squared again and again,
+    over its trace, becomes the projection on the greatest one, which is then taken off."""
+    d = len(FEATURES)
+    each = "list_transform(range(1, {n}), lambda {v}: {x})"
+    cells = lambda x: each.format(
+        n=d + 1, v="i", x=each.format(n=d + 1, v="j", x=x))
+    trace = lambda a: f"list_sum({each.format(n=d + 1, v='t', x=f'{a}[t][t]')})"
+    dot = lambda x: f"list_sum({each.format(n=d + 1, v='q', x=x)})"
+    rows = ["[" + ", ".join(f"covar_samp({f}::double, {g}::double)" for g in FEATURES) + "]"
+            for f in FEATURES]
+    means = ", ".join(f"avg({f}::double)" for f in FEATURES)
+    CTES["rstat"] = f"select [{means}] as mu, [{', '.join(rows)}] as cov from feat"
+    CTES["rsd"] = f"""select mu, cov, {each.format(n=d + 1, v="i", x=
+      "case when cov[i][i] > 0 then sqrt(cov[i][i]) else 1 end")} as sd from rstat"""
+    CTES["rm1"] = f"select mu, sd, {cells('cov[i][j] / (sd[i] * sd[j])')} as m from rsd"
+    names = ["rstat", "rsd", "rm1"]
+    for c in range(1, components + 1):
+        CTES[f"rq{c}"] = f"""select 0 as step, m as a from rm{c} union all select step + 1,
+          {cells(dot('a[i][q] * a[q][j] / pow(' + trace('a') + ', 2)'))} from rq{c}
+          where step < {squarings}"""
+        CTES[f"rp{c}"] = f"""select {cells(f"a[i][j] / {trace('a')}")} as p from rq{c}
+          where step = {squarings}"""
+        CTES[f"rl{c}"] = f"""select mu, sd, m, p, {trace('m').replace('m[t][t]',
+          dot('m[t][q] * p[q][t]'))} as l from rm{c}, rp{c}"""
+        CTES[f"rm{c + 1}"] = f"select mu, sd, {cells('m[i][j] - l * p[i][j]')} as m from rl{c}"
+        names += [f"rq{c}", f"rp{c}", f"rl{c}", f"rm{c + 1}"]
+    values = ", ".join(f"({f}::double - mu[{i}]) / sd[{i}]" for i, f in enumerate(FEATURES, 1))
+    CTES["rz"] = f"select user_name, ip, start_ts, [{values}] as z from feat, rm1"
+    parts = " + ".join(f"rp{c}.p[i][q]" for c in range(1, components + 1))
+    inner = each.format(n=d + 1, v="i", x=f"z[i] * (z[i] - {dot(f'({parts}) * z[q]')})")
+    add("reconstruction_error", " ".join(["ev freq profile feat", *names, "rz"]),
+        f"""select user_name, ip, start_ts, round(greatest(0, list_sum({inner}) / {d}), 6)
+         as reconstruction_raw from rz, {", ".join(f"rp{c}" for c in range(1, components + 1))}""",
+        recursive=True)
+
+
+_reconstruction_sql()

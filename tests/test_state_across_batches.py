@@ -106,7 +106,10 @@ def test_merging_looks_at_near_incidents_only(spark, tmp_path):
     old = incidents(spark, 1, 300)
     assert merge_batch(old, root, 0) == 0
     late = incidents(spark, 2, 20).filter("s > 4 * 86400")
-    low = late.agg(F.min("start_ts")).first()[0]
-    since = F.lit(str(low)).cast("timestamp_ntz") - F.expr("interval 20 minutes")
-    near = old.filter(F.col("end_ts") >= since).count()
+    low, high = late.agg(F.min("start_ts").cast("string"), F.max("end_ts").cast("string")).first()
+    window = F.expr("interval 20 minutes")
+    near = old.filter(
+        (F.col("end_ts") >= F.lit(low).cast("timestamp_ntz") - window)
+        & (F.col("start_ts") <= F.lit(high).cast("timestamp_ntz") + window)
+    ).count()
     assert 0 < merge_batch(late, root, 1) == near < 120
