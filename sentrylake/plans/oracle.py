@@ -740,7 +740,7 @@ add("alert_evidence", CLUS, f"""select 'al_' || substr(cluster_id, 1, 12) as ale
  select session_id, event_id from sev union all select rule_id, event_id from rule_all) using (signal_id)""")
 
 
-def _forest_sql(trees: int = 300, sample: int = 256, seed: int = 7, levels: int = 8) -> None:
+def _forest_sql(trees: int = 300, sample: int = 256, seed: int = 7, levels: int = 8) -> str:
     """The forest of operators/iforest.py: samples, one aggregate for each level, walks."""
     def number(*parts: str) -> str:
         text = "concat_ws('|', " + ", ".join(f"{p}::varchar" for p in parts) + ")"
@@ -789,15 +789,17 @@ def _forest_sql(trees: int = 300, sample: int = 256, seed: int = 7, levels: int
     expected = path.format(n="max(size)")
     CTES["fexpected"] = f"select greatest({expected}, 1e-9) as expected from fsize"
     CTES["fmean"] = f"select key, avg(path) as mean_path from fw{levels + 1} group by key"
-    add("isolation_forest", " ".join(["ev freq profile", *names, "fexpected fmean"]),
-        """select user_name, ip, start_ts, round(pow(2.0::double, -mean_path / expected), 6)
-         as forest_raw from fkeys join fmean using (key), fexpected""")
+    CTES["fraw"] = """select user_name, ip, start_ts, pow(2.0::double, -mean_path / expected)
+      as forest_raw from fkeys join fmean using (key), fexpected"""
+    add("isolation_forest", " ".join(["ev freq profile", *names, "fexpected fmean fraw"]),
+        "select user_name, ip, start_ts, round(forest_raw, 6) as forest_raw from fraw")
+    return " ".join([*names, "fexpected fmean fraw"])
 
 
-_forest_sql()
+FOREST = _forest_sql()
 
 
-def _reconstruction_sql(components: int = 4, squarings: int = 45) -> None:
+def _reconstruction_sql(components: int = 4, squarings: int = 45) -> str:
     """Projections on the main components without eigenvectors: a matrix squared again and again,
     over its trace, becomes the projection on the greatest one, which is then taken off."""
     d = len(FEATURES)
@@ -828,10 +830,35 @@ def _reconstruction_sql(components: int = 4, squarings: int = 45) -> None:
     CTES["rz"] = f"select user_name, ip, start_ts, [{values}] as z from feat, rm1"
     parts = " + ".join(f"rp{c}.p[i][q]" for c in range(1, components + 1))
     inner = each.format(n=d + 1, v="i", x=f"z[i] * (z[i] - {dot(f'({parts}) * z[q]')})")
-    add("reconstruction_error", " ".join(["ev freq profile feat", *names, "rz"]),
-        f"""select user_name, ip, start_ts, round(greatest(0, list_sum({inner}) / {d}), 6)
-         as reconstruction_raw from rz, {", ".join(f"rp{c}" for c in range(1, components + 1))}""",
+    CTES["rraw"] = f"""select user_name, ip, start_ts, greatest(0, list_sum({inner}) / {d})
+      as reconstruction_raw from rz, {", ".join(f"rp{c}" for c in range(1, components + 1))}"""
+    add("reconstruction_error", " ".join(["ev freq profile feat", *names, "rz rraw"]),
+        "select user_name, ip, start_ts, round(reconstruction_raw, 6) as reconstruction_raw from rraw",
         recursive=True)
+    return " ".join([*names, "rz rraw"])
 
 
-_reconstruction_sql()
+RECONSTRUCTION = _reconstruction_sql()
+
+
+def _models_sql() -> None:
+    """The whole detection with the window score of both models in place of the baseline's."""
+    baseline = CTES["wscore"]
+    CTES["wboth"] = """select w.*, forest_raw, reconstruction_raw from wraw w
+      join fraw f on f.user_name is not distinct from w.user_name and f.ip is not distinct from w.ip
+       and f.start_ts = w.start_ts
+      join rraw r on r.user_name is not distinct from w.user_name and r.ip is not distinct from w.ip
+       and r.start_ts = w.start_ts"""
+    CTES["wscore"] = f"""select * exclude (forest_raw, reconstruction_raw),
+      1 - (1 - {scaled('forest_raw', 'wboth')}) * (1 - {scaled('reconstruction_raw', 'wboth')})
+      as window_score from wboth"""
+    uses = MERGE.replace(
+        " wscore ", f" {FOREST} {RECONSTRUCTION} wboth wscore ")
+    add("detect_with_models", " ".join(dict.fromkeys(uses.split())),
+        """select alert_id, r.start_ts, r.end_ts, severity, round(final_risk, 6) as final_risk,
+         round(window_score, 6) as window_score, round(sequence_score, 6) as sequence_score,
+         detection_type from rated r join comp using (incident_id)""", recursive=True)
+    CTES["wscore"] = baseline
+
+
+_models_sql()
