@@ -204,6 +204,12 @@ def record_parts(stream) -> Iterator[Part]:
         raise ValueError("the archive ends within a record")
 
 
+def _a_task_each(manifest: DataFrame) -> DataFrame:
+    """One archive is read front to back by one task. A manifest is tiny, so only a partitioning
+    of a given number is not merged into one task by adaptive execution."""
+    return manifest.repartition(max(manifest.count(), 1))
+
+
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     """Archives of a manifest -> manifest of their normalised copies in folder: every record a
     gzip member of its own, and beside each archive its index <archive>.idx with a JSON line per
@@ -240,8 +246,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                     {"archive": [f"{folder}/{name}"], "records": [records]}
                 )
 
-    # One archive is read front to back by one task; archives are spread by their name.
-    return manifest.repartition("archive").mapInArrow(rewrite, _MANIFEST)
+    return _a_task_each(manifest).mapInArrow(rewrite, _MANIFEST)
 
 
 def _index_lines(stream) -> Iterator[dict]:
@@ -275,7 +280,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                             rows = []
                     yield pa.RecordBatch.from_pylist(rows, _READ_SCHEMA)
 
-    return manifest.repartition("archive").mapInArrow(
+    return _a_task_each(manifest).mapInArrow(
         read, "page_id string, payload_bytes bigint, payload_digest string, record_type string, "
         "refers_to string",
     )

@@ -6,11 +6,17 @@ numbers or names were exchanged has the windows of the original. Matches of an i
 are lined up by their offset; on each line the values in the slots are compared: an item's value
 must always stand for the same value of the document. An item is found in a document if lines with
 consistent slots cover at least COVERAGE of its windows.
+
+A window of which half or more are placeholders says too little as a template, and another letter
+case makes names of other words. So every window is also looked for by its words themselves, in
+lower case and with their numbers; these windows have no slots, and an item is found as well if they
+cover COVERAGE of it. Items of numbers, in capitals or in another case are found that way.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +181,7 @@ class Templates:
         self.first = np.searchsorted(self.start, begins)  # first token of each text
         self.counts = np.diff([*self.first, len(word)])
         self.text = np.repeat(np.arange(len(texts)), self.counts)
+        self.word = word
         # the types' own marks, far from the sums of words
         self.template = np.where(
             self.typed == _LITERAL,
@@ -183,24 +190,28 @@ class Templates:
         )
         self.literals = np.concatenate([[0], np.cumsum(self.typed == _LITERAL)])
 
-    def windows(self, size: int, wanted: np.ndarray | None = None):
+    def windows(self, size: int, folded: bool, wanted: np.ndarray | None = None):
         """text number, position in the text, hash and slot values of the windows of `size`
-        tokens of one text in which more than half are literal words; with a filter, only
-        windows that it lets pass."""
+        tokens of one text: templates in which more than half are literal words, or, folded, all
+        windows by their lower-case words, without slots. With a filter, only windows that it
+        lets pass."""
         n = len(self.template) - size + 1
         if n < 1:
             return []
-        window = np.zeros(n, np.uint64)
+        parts = self.word if folded else self.template
+        # another start keeps the two kinds apart
+        window = np.full(n, np.uint64(1 if folded else 0))
         for k in range(size):
-            window = window * _WINDOW_STEP + self.template[k : k + n]
+            window = window * _WINDOW_STEP + parts[k : k + n]
         window = _mixed(window)
-        keep = 2 * (self.literals[size:] - self.literals[:-size]) > size
-        keep &= self.text[:n] == self.text[size - 1 :]
+        keep = self.text[:n] == self.text[size - 1 :]
+        if not folded:
+            keep &= 2 * (self.literals[size:] - self.literals[:-size]) > size
         if wanted is not None:
             keep &= wanted[window >> np.uint64(64 - _FILTER_BITS)]
         return [
             (int(self.text[i]), i - int(self.first[self.text[i]]), int(window[i].view(np.int64)),
-             self.slots(i, size))
+             [] if folded else self.slots(i, size))
             for i in np.flatnonzero(keep).tolist()
         ]
 
@@ -216,30 +227,32 @@ _SLOTS = pa.list_(pa.string())
 
 
 def _item_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """item, size, item_at, hash, item_slots, total (windows of the item)."""
+    """item, size, folded, item_at, hash, item_slots, total (windows of the item of this kind)."""
     kind = items.schema[item_col].dataType.simpleString()
 
     def make(batches):
         for batch in batches:
             for piece in text_pieces(batch, "text"):
-                rows = {c: [] for c in ("at", "size", "item_at", "hash", "item_slots", "total")}
+                rows = {c: [] for c in ("at", "size", "folded", "item_at", "hash", "item_slots",
+                                        "total")}
                 for i, text in enumerate(piece.column("text").to_pylist()):
                     item = Templates([text])
                     size = min(window, len(item.template))
-                    found = item.windows(size) if size >= LEAST_TOKENS else []
-                    for _, at, value, slots in found:
-                        for c, v in zip(rows, (i, size, at, value, slots, len(found)),
-                                        strict=True):
-                            rows[c].append(v)
+                    for folded in (False, True) if size >= LEAST_TOKENS else ():
+                        found = item.windows(size, folded)
+                        for _, at, value, slots in found:
+                            row = (i, size, folded, at, value, slots, len(found))
+                            for c, v in zip(rows, row, strict=True):
+                                rows[c].append(v)
                 ids = piece.column("id").take(pa.array(rows.pop("at"), pa.int64()))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), _SLOTS, pa.int64())
+                kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), _SLOTS, pa.int64())
                 arrays = [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, *arrays], ["item", *rows])
 
     texts = items.select(F.col(item_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.filter("id is not null").mapInArrow(
-        make, f"item {kind}, size int, item_at bigint, hash bigint, item_slots array<string>, "
-        "total bigint",
+        make, f"item {kind}, size int, folded boolean, item_at bigint, hash bigint, "
+        "item_slots array<string>, total bigint",
     )
 
 
@@ -263,12 +276,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                  window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """A row per document and benchmark item found in it: id, text_key (xxhash64 of the text),
-    item_col, coverage (share of the item's windows found, 0 to 1) and reparameterised (some slot
-    has another value).
+    item_col, coverage (share of the item's windows found, 0 to 1, the greater of templates and
+    lower-case words) and reparameterised (some slot has another value).
 
     Null and empty texts contain nothing. Items without a text, with fewer than LEAST_TOKENS
-    tokens, without an id or whose windows are all mostly placeholders are not looked for; items
-    shorter than the window are one window. Repeated rows give one row, null ids keep apart by
+    tokens or without an id are not looked for; items shorter than the window are one window. Repeated rows give one row, null ids keep apart by
     text_key. Other columns are not read. Empty tables give an empty result.
     """
     known = stage(_item_windows(items, item_col, item_text_col, window), "item-windows")
@@ -279,14 +291,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     def look(batches):
         for batch in batches:
             for piece in text_pieces(batch, "text"):
-                rows = {c: [] for c in ("row", "size", "doc_at", "hash", "doc_slots")}
+                rows = {c: [] for c in ("row", "size", "folded", "doc_at", "hash", "doc_slots")}
                 found = Templates(piece.column("text").to_pylist())
-                for size in sizes:
-                    for i, at, value, slots in found.windows(size, wanted):
-                        for c, v in zip(rows, (i, size, at, value, slots), strict=True):
+                for size, folded in product(sizes, (False, True)):
+                    for i, at, value, slots in found.windows(size, folded, wanted):
+                        for c, v in zip(rows, (i, size, folded, at, value, slots), strict=True):
                             rows[c].append(v)
                 taken = piece.select(["id", "text_key"]).take(pa.array(rows.pop("row"), pa.int64()))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), _SLOTS)
+                kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), _SLOTS)
                 arrays = [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*taken.columns, *arrays], ["id", "text_key", *rows]
@@ -296,14 +308,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     seen = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text")
     ).mapInArrow(
-        look, f"id {kind}, text_key bigint, size int, doc_at bigint, hash bigint, "
-        "doc_slots array<string>",
+        look, f"id {kind}, text_key bigint, size int, folded boolean, doc_at bigint, "
+        "hash bigint, doc_slots array<string>",
     )
-    met = spread_join(seen, known, ["hash", "size"], ["id", "text_key"])
+    met = spread_join(seen, known, ["hash", "size", "folded"], ["id", "text_key"])
     pair = ["id", "text_key", "item"]
     lines = (
         met.withColumn("line", F.expr("doc_at - item_at"))
-        .groupBy(*pair, "total", "line")
+        .groupBy(*pair, "folded", "total", "line")
         # on one line an item's position meets one position of the document
         .agg(
             F.collect_set("item_at").alias("found"),
@@ -315,13 +327,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     )
     return (
         lines.select(
-            *pair, "total", F.explode("found").alias("at"),
+            *pair, "folded", "total", F.explode("found").alias("at"),
             F.expr("exists(slots, s -> s.item_slots <> s.doc_slots)").alias("other"),
         )
-        .groupBy(*pair, "total")
+        .groupBy(*pair, "folded", "total")
         .agg(F.countDistinct("at").alias("n"), F.max("other").alias("reparameterised"))
         .withColumn("coverage", F.col("n") / F.col("total"))
         .filter(F.col("coverage") >= coverage)
+        .groupBy(*pair)
+        .agg(F.max("coverage").alias("coverage"), F.max("reparameterised").alias("reparameterised"))
         .select(F.col("id").alias(id_col), "text_key", F.col("item").alias(item_col), "coverage",
                 "reparameterised")
     )
@@ -329,10 +343,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                          text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, in which no benchmark item is found."""
+    """The rows of docs, all columns, in which no benchmark item is found. Rows are told apart by
+    id and text: rows with a null text stay, rows with a null id go by their text, of repeated rows
+    all or none stay. An empty table of items keeps every row."""
     found = contaminated(docs, items, id_col, text_col, **options)
-    bad = found.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (
-        F.xxhash64(F.col(text_col).cast("string")) == F.col("__key")
+    # names that docs does not have
+    own = "found"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    bad = found.select(
+        F.col(id_col).alias(f"{own}id"), F.col("text_key").alias(f"{own}key")
+    ).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (
+        F.xxhash64(F.col(text_col).cast("string")) == F.col(f"{own}key")
     )
     return docs.join(bad, same, "left_anti")

@@ -182,6 +182,30 @@ def test_reparameterised_questions(spark):
     assert contaminated(docs.limit(0), items).count() == 0
 
 
+def test_items_of_numbers_in_capitals_and_in_another_case(spark):
+    """Found as exact and as re-cased copies; other texts of the same words and numbers stay."""
+    german = "Der Hund und die Katze liefen über die Wiese und suchten den alten Baum im Garten."
+    loud = "THE QUICK BROWN FOX JUMPED OVER THE LAZY DOG NEAR THE OLD STONE BRIDGE."
+    items = {1: "What is 12 + 7 * 3 ?", 2: loud, 3: german.lower(), 4: "Compute 3 4 5 6 7 8 9 now"}
+    docs = {
+        10: "Some words first. What is 12 + 7 * 3 ? And some after it.",
+        11: f"Before. {loud} After.", 12: f"Before. {loud.capitalize()} After.",
+        13: f"Erst dies. {german} Dann das.", 14: f"Erst dies. {german.upper()}",
+        15: "They say: compute 3 4 5 6 7 8 9 now or never.",
+        20: "What is 12 + 7 * 4 ? is another question, 12 of 7 and 3.",
+        21: "The quick fox and the brown dog jumped near the stone bridge over the old lazy river.",
+        22: "Der Baum im Garten und die Wiese, der alte Hund suchte die Katze.",
+        23: "Compute 9 8 7 6 5 4 3 now",
+    }
+    found = contaminated(
+        spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"),
+        spark.createDataFrame(list(items.items()), "item_id bigint, text string"),
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {
+        (10, 1), (11, 2), (12, 2), (13, 3), (14, 3), (15, 4)
+    }
+
+
 def test_inconsistent_slots(spark):
     items = spark.createDataFrame(
         [(1, "we saw Rome then left Rome then saw Rome then left Rome then went home")],
@@ -313,6 +337,14 @@ def odd_pages(spark):
     )
 
 
+def test_a_task_for_each_archive(spark):
+    from sentrylake.llm.op10_warc import _a_task_each
+
+    manifest = spark.range(5).selectExpr("concat('a', id) as archive", "1 as records")
+    tasks = _a_task_each(manifest).select(F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in tasks}) == 5
+
+
 @pytest.mark.parametrize("broadcast_rows", [50_000, 0])
 def test_odd_pages(spark, tmp_path, monkeypatch, broadcast_rows):
     monkeypatch.setattr("sentrylake.llm.op10_warc.BROADCAST_ROWS", broadcast_rows)
