@@ -1,8 +1,10 @@
 """Connected components by alternating star contraction (Kiveris et al., 2014).
 
 Each round halves long chains, so a chain of n vertices takes O(log n) rounds where passing
-the smallest label along would take n. Rounds are written to the checkpoint folder. A vertex with
-very many neighbours meets them in several tasks (spread_join).
+the smallest label along would take n. Rounds are written to the checkpoint folder. The neighbours
+of a vertex are reduced to their least by an aggregate that runs map-side. Only the join with it
+brings them together, one row per vertex on the other side: adaptive execution splits a vertex
+with very many neighbours over several tasks and copies that one row, not the table.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import spread_join
 from .staging import stage_observed
 
 
@@ -19,7 +20,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        spread_join(both.filter(F.col("v") > F.col("u")), smallest, ["u"], ["v"])
+        both.filter(F.col("v") > F.col("u")).join(smallest, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .filter(F.col("u") != F.col("v"))
         .distinct()
@@ -30,9 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     smallest = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = spread_join(down, smallest, ["u"], ["v"]).select(
-        F.col("v").alias("u"), F.col("m").alias("v")
-    )
+    linked = down.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = smallest.select("u", F.col("m").alias("v"))
     return linked.unionByName(own).filter(F.col("u") != F.col("v")).distinct()
 

@@ -84,6 +84,8 @@ ROUNDED_FEATURES = ", ".join(
 
 add("window_features", "ev freq profile feat",
     f"select user_name, ip, start_ts, end_ts, {ROUNDED_FEATURES} from feat")
+add("stream_features", "ev freq profile feat",
+    f"select user_name, ip, start_ts, end_ts, {ROUNDED_FEATURES} from feat")
 add("stream_windows", "ev freq profile feat", """select user_name, ip, start_ts, end_ts, auth_failures,
  auth_successes, distinct_dst_ips, distinct_dst_ports, round(deny_rate, 6) as deny_rate, bytes_sum,
  process_exec_count, event_sequence_len, distinct_users_in_window, sources_count from feat""")
