@@ -207,7 +207,7 @@ def record_parts(stream) -> Iterator[Part]:
 def _a_task_each(manifest: DataFrame) -> DataFrame:
     """One archive is read front to back by one task. A manifest is tiny, so only a partitioning
     of a given number is not merged into one task by adaptive execution."""
-    return manifest.coalesce(1).repartition(max(manifest.count(), 1))
+    return manifest.repartitionByRange(max(manifest.count(), 1), "archive")
 
 
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
