@@ -29,6 +29,12 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at path, on the Hadoop file system that it names."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def _drop_session_folder(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended already
         delete_folder(spark, path)

@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.fields import present
 from ..schema import INCIDENT_STATUSES, SOURCES
-from .staging import stage_observed
+from .staging import path_exists, stage_observed
 
 
 def validate_events(raw: DataFrame) -> DataFrame:
@@ -31,10 +31,13 @@ def absent_rows(
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None before its first write."""
+    if not path_exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        # the first write has made the folder and not yet its files
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
 

@@ -15,6 +15,7 @@ from ..operators import rules as ru
 from ..operators import signals as sg
 from ..operators.merge_state import merge_batch, merged_members
 from ..operators.reports import json_columns
+from ..operators.sequences import PAD, UNKNOWN
 from ..operators.staging import run_folder, stage
 from ..schema import mitre_dimension
 from ..sources.projection import security_alerts, security_events
@@ -153,15 +154,18 @@ def incident_top_features(spark, sf):
     return rounded(co.incident_top_features(clustered, found.stats))
 
 
-@query
-def alerts(spark, sf):
-    a = _detected(spark, sf).alerts
+def flat_alerts(a: DataFrame) -> DataFrame:
     return rounded(
         a.withColumn("mitre", F.concat_ws(",", F.col("mitre.technique_id")))
         .withColumn("top_features", F.concat_ws(",", F.col("top_features.feature")))
     )
 
 
+@query
+def alerts(spark, sf):
+    return flat_alerts(_detected(spark, sf).alerts)
+
+
 @query
 def incidents(spark, sf):
     i = _detected(spark, sf).correlation.incidents
@@ -290,3 +294,22 @@ def detect_with_models(spark, sf):
     found = dt.detect(ev, models, created_ts=ev.agg(F.max("ts")).scalar()).alerts
     return rounded(found.select("alert_id", "start_ts", "end_ts", "severity", "final_risk",
                                 "window_score", "sequence_score", "detection_type"))
+
+
+@query
+def stored_models(spark, sf):
+    """What a training run leaves behind, read back by path: how often each token of the stored
+    vocabulary comes before another one in the stored transitions."""
+    from .train import fit, load_models
+
+    root = f"{run_folder(spark)}/models-{uuid.uuid4().hex}"
+    fit(_events(spark, sf), root, trees=20, sample=64)
+    models = load_models(spark, root)
+    before = models.transitions.groupBy(F.col("prev_id").alias("token_id")).agg(
+        F.sum("n_pair").alias("n_pairs")
+    )
+    start, unknown = F.col("token_id") == PAD, F.col("token_id") == UNKNOWN
+    return before.join(models.vocab, "token_id", "left").select(
+        F.when(start, "<start>").when(unknown, "<unknown>").otherwise(F.col("token")).alias("token"),
+        "n_pairs",
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from ..operators import evaluation as ev
 from ..operators import reports as rp
 from ..operators import rules as ru
@@ -199,3 +200,10 @@ def validate_events(spark, sf):
         F.when(F.col("action") == "deny", F.lit("")).otherwise(F.col("ts").cast("string")).alias("ts"),
     )
     return tb.validate_events(raw).select("event_id", "source", "reject_reason")
+
+
+@query
+def noisy_or(spark, sf):
+    """Two scores of an alert taken as independent evidence."""
+    both = scores.noisy_or(F.col("window_score"), F.col("sequence_score"))
+    return rounded(security_alerts(spark, sf).select("alert_id", both.alias("joint_score")))

@@ -3,10 +3,13 @@ parsed back."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import iso_utc, micros_of, minutes
+from ..operators.staging import run_folder
 from ..sources import foreign as fo
 from ..sources import ndjson as nd
 from ..sources import normalize as nm
@@ -137,9 +140,9 @@ def src_zeek_tsv(spark, sf):
     )
 
 
-@query
-def src_zeek_json(spark, sf):
-    lines = _flows(spark, sf).select(
+def zeek_json_lines(spark, sf, part: Column) -> DataFrame:
+    """The network events as lines, each twentieth broken."""
+    return _flows(spark, sf).filter(part).select(
         F.concat(
             F.lit('{"ts":'), _epoch(F.col("ts")), F.lit(',"id.orig_h":"'), "ip",
             F.lit('","id.resp_h":"'), "dst_ip", F.lit('","id.resp_p":'),
@@ -148,6 +151,11 @@ def src_zeek_json(spark, sf):
             F.col("no").cast("string"), F.when(F.col("no") % 20 == 1, "").otherwise('"}'),
         ).alias("value")
     )
+
+
+@query
+def src_zeek_json(spark, sf):
+    lines = zeek_json_lines(spark, sf, F.lit(True))
     return fo.good(fo.parse_zeek_json(lines)).select(
         "event_id", "ts", "event_type", "ip", "dst_ip", "dst_port", "proto",
         F.col("extra")["uid"].alias("uid"),
@@ -158,10 +166,10 @@ def _logins(spark, sf) -> DataFrame:
     return _numbered(spark, sf).filter(F.col("source") == "auth")
 
 
-@query
-def src_windows_csv(spark, sf):
+def windows_rows(spark, sf, part: Column) -> DataFrame:
+    """The logins as rows of an event export, user and address in one column or the other."""
     odd = F.col("no") % 2 == 1
-    rows = _logins(spark, sf).select(
+    return _logins(spark, sf).filter(part).select(
         F.when(F.col("no") % 30 == 0, "?").otherwise(iso_utc(F.col("ts"))).alias("TimeGenerated"),
         F.when(F.col("no") % 7 == 0, "4672")
         .when(F.col("event_type") == "login_success", "4624")
@@ -174,14 +182,19 @@ def src_windows_csv(spark, sf):
         F.when(F.col("no") % 4 == 0, F.col("ip")).otherwise("").alias("IpAddress"),
         F.lit("3").alias("LogonType"),
     )
+
+
+@query
+def src_windows_csv(spark, sf):
+    rows = windows_rows(spark, sf, F.lit(True))
     return fo.good(fo.parse_windows_rows(rows)).select(
         "event_id", "ts", "event_type", "user_name", "ip", "host",
         F.col("extra")["LogonType"].alias("logon_type"),
     )
 
 
-@query
-def src_ssh_auth(spark, sf):
+def ssh_lines(spark, sf, part: Column) -> DataFrame:
+    """The logins as syslog lines, each eleventh of another kind."""
     stamp = F.format_string(
         "Jan %2d %02d:%02d:%02d", F.day("ts"), F.hour("ts"), F.minute("ts"), F.second("ts")
     )
@@ -198,9 +211,14 @@ def src_ssh_auth(spark, sf):
             F.concat(F.lit("Accepted publickey for "), "user_name", F.lit(" from "), "ip", F.lit(" port 22"))
         )
     )
-    lines = _logins(spark, sf).select(
+    return _logins(spark, sf).filter(part).select(
         F.concat_ws(" ", stamp, "host", F.lit("sshd[77]:"), message).alias("value")
     )
+
+
+@query
+def src_ssh_auth(spark, sf):
+    lines = ssh_lines(spark, sf, F.lit(True))
     return fo.good(fo.parse_ssh_lines(lines, 2024)).select(
         "event_id", "ts", "event_type", "user_name", "ip", "host",
         F.col("extra")["process"].alias("process"),
@@ -222,3 +240,22 @@ def detect_format(spark, sf):
         .alias("value"),
     )
     return fo.detect_formats(fo.first_lines(lines)).select("file", "format")
+
+
+@query
+def sink_ndjson(spark, sf):
+    """Raw records of all sources written as files, one folder of three names, and loaded."""
+    return _canonical(_reread(spark, sf, ordered=False))
+
+
+@query
+def events_by_time(spark, sf):
+    """The same, loaded in the order of time."""
+    return _reread(spark, sf, ordered=True).select("event_id", "ts")
+
+
+def _reread(spark, sf, ordered: bool) -> DataFrame:
+    folder = f"{run_folder(spark)}/ndjson-{uuid.uuid4().hex}"
+    for source in nm.RAW_FIELDS:
+        nd.write_ndjson(_raw(spark, sf, source), f"{folder}/{source}", f"{source}.ndjson")
+    return nd.load_events(spark, f"{folder}/*", ordered)

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import present
-from ..functions.timefn import micros_of
+from ..functions.timefn import micros_of, minutes
 from ..operators import features as ft
 from ..operators.staging import run_folder
 from ..sources.projection import security_events
+from ..streaming import ingest, journal
 from ..streaming.feature_store import feature_windows, start_features
 from ..streaming.rules import STREAMS, keyed_state
 from ..streaming.windows import sessions_stream, windows_stream
+from .catalog_detect import flat_alerts
+from .catalog_sources import ssh_lines, windows_rows, zeek_json_lines
+from .detect import detect
 from .registry import query, rounded
 
 
@@ -110,3 +114,63 @@ def stream_features(spark, sf):
         source = spark.readStream.schema(events.schema).parquet(f"{folder}/source")
         start_features(source, f"{folder}/sums", f"{folder}/{checkpoint}").awaitTermination()
     return rounded(feature_windows(spark, f"{folder}/sums"))
+
+
+@query
+def stream_ingest(spark, sf):
+    """Log files of three formats, one of them unknown, arrive in a watched folder in three
+    batches, each made of every third event. Every batch is handed over twice, as after a failure
+    before the checkpoint, and the first two are merged in the end. Returns the committed events."""
+    folder = f"{run_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    logs, root = f"{folder}/logs", f"{folder}/tables"
+
+    def callback(parsed: DataFrame, batch_id: int) -> None:
+        for _ in range(2):
+            ingest.store_batch(parsed, root, f"files-{batch_id}", stream="files")
+
+    for third in range(3):
+        part = F.col("no") % 3 == third
+
+        def put(df: DataFrame, name: str):
+            # Formats are told by file name; Spark starts the names of its files with this word.
+            return df.write.mode("append").option("mapreduce.output.basename", name)
+
+        put(zeek_json_lines(spark, sf, part), "zeek").text(logs)
+        put(ssh_lines(spark, sf, part), "auth.log").text(logs)
+        put(windows_rows(spark, sf, part), "windows").option("header", True).csv(logs)
+        put(spark.range(1).select(F.lit("nothing").alias("value")), "readme").text(logs)
+        ingest.start_ingestion(
+            spark, logs, f"{folder}/checkpoint", callback, 2024, max_files=10_000
+        ).awaitTermination()
+    newest = [m.last_ts for m in journal.live_batches(spark, root) if m.last_ts]
+    if newest:
+        journal.merge_old(spark, root, max(newest) + "~")  # behind every time
+    return journal.read_events(spark, root).select(
+        "event_id", "ts", "source", "event_type", "user_name", "ip", "host", "dst_ip", "dst_port",
+        "bytes",
+    )
+
+
+@query
+def stream_alerts(spark, sf):
+    """The events arrive in two batches, the second holding the last three hours. Each is
+    appended, the last six hours are detected anew, and alerts not yet stored are inserted."""
+    folder = f"{run_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    source, root = f"{folder}/source", f"{folder}/tables"
+    events = security_events(spark, sf).withColumn("reject_reason", F.lit(None).cast("string"))
+    newest = events.agg(F.max("ts").cast("string")).first()[0]
+    if newest is None:
+        return flat_alerts(detect(events).alerts)
+    late = F.col("ts") > F.lit(newest).cast("timestamp_ntz") - minutes(180)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        ingest.ingest_batch(batch, root, f"events-{batch_id}", stream="events")
+
+    for arrived in (~late, late):
+        events.filter(arrived).write.mode("append").parquet(source)
+        (
+            spark.readStream.schema(events.schema).parquet(source)
+            .writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+            .foreachBatch(on_batch).trigger(availableNow=True).start().awaitTermination()
+        )
+    return flat_alerts(spark.read.parquet(f"{root}/alerts").drop("day"))

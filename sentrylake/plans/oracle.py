@@ -864,3 +864,45 @@ def _models_sql() -> None:
 
 
 _models_sql()
+
+
+# ---------------------------------------------------------------- live path and stored artifacts
+
+add("sink_ndjson", "ev evn nauth nnet nproc",
+    "select * from nauth union all select * from nnet union all select * from nproc")
+add("events_by_time", "ev evn nauth nnet nproc", """select event_id, ts from nauth union all
+ select event_id, ts from nnet union all select event_id, ts from nproc""")
+add("noisy_or", "al", """select alert_id, round(window_score + sequence_score
+ - window_score * sequence_score, 6) as joint_score from al""")
+add("stored_models", f"{TAIL} bigram pairn", """select coalesce(token, case prev_id when 0 then '<start>'
+ else '<unknown>' end) as token, n_pairs from (select prev_id, sum(n_pair)::bigint as n_pairs
+ from pairn group by 1) left join vocab on prev_id = token_id""")
+
+_PARSED = """select event_id, ts, '{source}' as source, event_type, {who} as user_name, ip, {host} as host,
+ {dst}, {bytes} as bytes from ({sql})"""
+_login = {"source": "auth", "who": "user_name", "host": "host", "bytes": "cast(null as bigint)",
+          "dst": "cast(null as varchar) as dst_ip, cast(null as integer) as dst_port"}
+_flow = {"source": "network", "who": "cast(null as varchar)", "host": "cast(null as varchar)",
+         "bytes": "cast(null as bigint)", "dst": "dst_ip, dst_port"}
+ORACLE["stream_ingest"] = " union all ".join([
+    _PARSED.format(**_login, sql=ORACLE["src_windows_csv"]),
+    _PARSED.format(**_login, sql=ORACLE["src_ssh_auth"]),
+    _PARSED.format(**_flow, sql=ORACLE["src_zeek_json"]),
+])
+
+
+def _rolling_sql() -> str:
+    """Detection over the last six hours of the first batch, then over those of all events; an
+    alert that is stored stays as it is."""
+    first = f"""select * from ({EVENTS_SQL}) where ts <= (select max(ts) - interval 180 minute
+     from ({EVENTS_SQL}))"""
+    runs = []
+    for held in (first, EVENTS_SQL):
+        recent = f"""select * from ({held}) where ts >= (select max(ts) - interval 360 minute
+         from ({held}))"""
+        runs.append(ORACLE["alerts"].replace(f"ev as ({EVENTS_SQL})", f"ev as ({recent})", 1))
+    return f"""with run1 as ({runs[0]}), run2 as ({runs[1]}) select * from run1 union all
+     select * from run2 where alert_id not in (select alert_id from run1)"""
+
+
+ORACLE["stream_alerts"] = _rolling_sql()

@@ -33,18 +33,20 @@ def parse_ndjson_lines(lines: DataFrame, source: str) -> DataFrame:
     return parsed.select("r.*")
 
 
-def write_ndjson(df: DataFrame, path: str) -> int:
-    """Overwrite path with one object per row; returns the number of rows."""
+def write_ndjson(df: DataFrame, path: str, name: str = "part") -> int:
+    """Overwrite path with one object per row; returns the number of rows. The names of its files
+    start with `name`, so that load_events finds those of auth.ndjson and so on."""
     counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    out = df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    out.option("mapreduce.output.basename", name).json(path)
     return counted.get["n"]
 
 
 def load_normalized(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """auth.ndjson, network.ndjson and process.ndjson of a folder, whichever exist, normalised,
-    with the rejected rows still in it."""
+    """auth.ndjson, network.ndjson and process.ndjson of a folder, or the files whose names start
+    so, whichever exist, normalised, with the rejected rows still in it."""
     parts = [
-        normalize(s, read_ndjson(spark, raw_dir, raw_schema(s), name=f"{s}.ndjson"))
+        normalize(s, read_ndjson(spark, raw_dir, raw_schema(s), name=f"{s}.ndjson*"))
         for s in RAW_FIELDS
     ]
     out = parts[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,11 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timefn import minutes
 from ..operators.staging import run_scope, stage_observed
-from ..operators.tables import read_table, upsert_alerts
+from ..operators.tables import upsert_alerts
 from ..options import DEFAULTS, Options
 from ..plans.detect import Models, detect
 from ..schema import EVENT_COLUMNS
 from ..sources.foreign import read_logs
+from . import journal
 
 
 class RejectedBatch(ValueError):
@@ -29,19 +31,6 @@ class Ingested:
     new_alerts: int
 
 
-def _append(df: DataFrame, path: str, batch_id: str) -> None:
-    """Write the batch into its own partitions: repeating a batch replaces it, so a restarted
-    stream adds nothing twice."""
-    (
-        df.withColumn("day", F.coalesce(F.to_date("ts").cast("string"), F.lit("unknown")))
-        .withColumn("batch", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "batch")
-        .parquet(path)
-    )
-
-
 def ingest_batch(
     parsed: DataFrame,
     root: str,
@@ -49,50 +38,69 @@ def ingest_batch(
     models: Models = Models(),
     opts: Options = DEFAULTS,
     strict: bool = False,
+    stream: str = "",
 ) -> Ingested:
     """parsed: canonical columns plus reject_reason. Good rows go to root/events, the others to
     root/rejects (a strict batch with any is refused as a whole). Detection then runs over the
     last recent_minutes before the newest event of the batch, and new alerts and incidents are
     inserted. Ids follow from content, so overlapping runs do not repeat alerts. The batch is
-    parsed once, into a folder that holds all tables of the run and is deleted at its end."""
-    with run_scope(parsed.sparkSession):
-        return _ingest(parsed, root, batch_id, models, opts, strict)
+    parsed once, into a folder that holds all tables of the run and is deleted at its end.
+
+    The marker of the batch comes last (journal): after a failure the batch is simply handed over
+    again, and one that has its marker is not taken in twice, nor are its alerts."""
+
+    def alerts_of(until: str) -> int:
+        # As text: a datetime literal would pass through the session time zone.
+        newest = F.lit(until).cast("timestamp_ntz")
+        since = spark.range(1).select(
+            (newest - minutes(opts.recent_minutes)).cast("string")
+        ).first()[0]
+        recent = journal.read_events(spark, root, since, until, also=batch_id)
+        found = detect(recent, models, opts, created_ts=newest)
+        return upsert_alerts(found.alerts, found.incidents, root)
+
+    spark = parsed.sparkSession
+    return _taken_in(parsed, root, batch_id, strict, stream, alerts_of)
 
 
-def _ingest(
-    parsed: DataFrame, root: str, batch_id: str, models: Models, opts: Options, strict: bool
+def store_batch(
+    parsed: DataFrame, root: str, batch_id: str, strict: bool = False, stream: str = ""
+) -> Ingested:
+    """ingest_batch without the detection: events and rejects only."""
+    return _taken_in(parsed, root, batch_id, strict, stream, lambda until: 0)
+
+
+def _taken_in(
+    parsed: DataFrame, root: str, batch_id: str, strict: bool, stream: str,
+    alerts_of: Callable[[str], int],
 ) -> Ingested:
     spark = parsed.sparkSession
+    known = journal.find(spark, root, batch_id)
+    if known is not None:
+        return Ingested(known.ingested, known.rejected, 0)
     good = F.col("reject_reason").isNull()
-    parsed, counts = stage_observed(
-        parsed,
-        "batch",
-        F.count(F.when(good, 1)).alias("good"),
-        F.count(F.when(~good, 1)).alias("bad"),
-        F.max(F.when(good, F.col("ts").cast("string"))).alias("newest"),
-    )
-    if strict and counts["bad"]:
-        raise RejectedBatch(f"{counts['bad']} bad rows in batch {batch_id}")
-    if counts["bad"]:
-        _append(parsed.filter(~good), f"{root}/rejects", batch_id)
-    if not counts["good"]:
-        return Ingested(0, counts["bad"], 0)
-    _append(parsed.filter(good).select(*EVENT_COLUMNS), f"{root}/events", batch_id)
-
-    # The day filter prunes partitions; the ts filter cuts the rest.
-    # As text: a datetime literal would pass through the session time zone.
-    until = F.lit(counts["newest"]).cast("timestamp_ntz")
-    since = until - minutes(opts.recent_minutes)
-    table = read_table(spark, f"{root}/events")
-    recent = table.filter(
-        (F.col("day") >= F.to_date(since).cast("string"))
-        & (F.col("day") <= F.to_date(until).cast("string"))
-        & F.col("ts").between(since, until)
-    ).select(*EVENT_COLUMNS)
-    found = detect(recent, models, opts, created_ts=until)
-    return Ingested(
-        counts["good"], counts["bad"], upsert_alerts(found.alerts, found.incidents, root)
-    )
+    with run_scope(spark):
+        parsed, counts = stage_observed(
+            parsed,
+            "batch",
+            F.count(F.when(good, 1)).alias("good"),
+            F.count(F.when(~good, 1)).alias("bad"),
+            F.min(F.when(good, F.col("ts").cast("string"))).alias("oldest"),
+            F.max(F.when(good, F.col("ts").cast("string"))).alias("newest"),
+        )
+        if strict and counts["bad"]:
+            raise RejectedBatch(f"{counts['bad']} bad rows in batch {batch_id}")
+        if counts["bad"]:
+            journal.write_batch(parsed.filter(~good), root, "rejects", batch_id)
+        created = 0
+        if counts["good"]:
+            journal.write_batch(parsed.filter(good).select(*EVENT_COLUMNS), root, "events", batch_id)
+            created = alerts_of(counts["newest"]) if counts["newest"] else 0
+        journal.commit(
+            spark, root, batch_id, counts["good"], counts["bad"], created,
+            counts["oldest"], counts["newest"], stream,
+        )
+    return Ingested(counts["good"], counts["bad"], created)
 
 
 def ingest_path(
@@ -119,6 +127,11 @@ def file_stream(spark: SparkSession, log_dir: str, max_files: int = 100) -> Data
     )
 
 
+def stream_name(checkpoint: str) -> str:
+    """Batches are numbered per checkpoint: streams with different ones may share their tables."""
+    return f"stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+
+
 def start_ingestion(
     spark: SparkSession,
     log_dir: str,
@@ -161,8 +174,9 @@ def start_detection(
     interval: str | None = None,
 ) -> StreamingQuery:
     """Files in, alert and incident tables out."""
+    name = stream_name(checkpoint)
 
     def run(parsed: DataFrame, batch_id: int) -> None:
-        ingest_batch(parsed, root, f"stream-{batch_id}", models, opts)
+        ingest_batch(parsed, root, f"{name}-{batch_id}", models, opts, stream=name)
 
     return start_ingestion(spark, log_dir, checkpoint, run, year, max_files, interval)
