@@ -15,9 +15,14 @@ from ..operators.staging import stage
 from ..sources.projection import security_events
 from .registry import query, rounded
 
+def _stored_events(spark, sf) -> DataFrame:
+    """The events in columnar form, for queries that read them more than once."""
+    return stage(security_events(spark, sf), "events")
+
+
 def _staged_windows(spark, sf) -> DataFrame:
     """The feature table, written once: statistics, scaling and scores each read it."""
-    return stage(ft.window_features(security_events(spark, sf)), "windows")
+    return stage(ft.window_features(_stored_events(spark, sf)), "windows")
 
 
 # ---------------------------------------------------------------- features
@@ -25,7 +30,7 @@ def _staged_windows(spark, sf) -> DataFrame:
 
 @query
 def window_features(spark, sf):
-    return rounded(ft.window_features(security_events(spark, sf)))
+    return rounded(ft.window_features(_stored_events(spark, sf)))
 
 
 @query
@@ -141,18 +146,19 @@ def token_vocab(spark, sf):
 
 @query
 def token_sequences(spark, sf):
-    ev = security_events(spark, sf)
-    return sq.token_sequences(ev, sq.token_vocab(ev)).select(
+    ev = _stored_events(spark, sf)
+    # Stored, its size is known: Spark broadcasts the vocabulary if it is small.
+    return sq.token_sequences(ev, stage(sq.token_vocab(ev), "vocab")).select(
         "session_id", "length", F.concat_ws(" ", F.col("token_ids").cast("array<string>")).alias("ids")
     )
 
 
 @query
 def sequence_surprisal(spark, sf):
-    ev = security_events(spark, sf)
-    vocab = sq.token_vocab(ev)
-    pairs = sq.session_transitions(sq.session_tail(ev, vocab))
-    scored = sq.surprisal(pairs, sq.fit_transitions(pairs), vocab)
+    ev = _stored_events(spark, sf)
+    vocab = stage(sq.token_vocab(ev), "vocab")
+    pairs = stage(sq.session_transitions(sq.session_tail(ev, vocab)), "pairs")
+    scored = sq.surprisal(pairs, stage(sq.fit_transitions(pairs), "transitions"), vocab)
     return rounded(scored.select("session_id", "length", "raw_score"))
 
 
