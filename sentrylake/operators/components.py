@@ -2,9 +2,9 @@
 
 Each round halves long chains, so a chain of n vertices takes O(log n) rounds where passing
 the smallest label along would take n. Rounds are written to the checkpoint folder. The neighbours
-of a vertex are reduced to their least by an aggregate that runs map-side. Only the join with it
-brings them together, one row per vertex on the other side: adaptive execution splits a vertex
-with very many neighbours over several tasks and copies that one row, not the table.
+of a vertex are reduced to their least by an aggregate that runs map-side, and the join with it has
+one row per vertex on the other side. Where that side is too large to broadcast, nothing splits a
+vertex with very many neighbours: its edges, two ids each, pass through one task.
 """
 
 from __future__ import annotations

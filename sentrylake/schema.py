@@ -30,6 +30,7 @@ EVENT_COLUMNS = list(EVENT_FIELDS)
 ENVELOPE = ["event_id", "ts", "source", "event_type", "user_name", "ip", "host"]
 SOURCES = ("auth", "network", "process")
 
+# Names of the window features, in their order.
 FEATURES = [
     "auth_failures",
     "auth_successes",
@@ -62,7 +63,9 @@ MITRE_ALIASES = [
     ("impossible_travel", "valid_accounts"),
     ("lateral_movement", "remote_services"),
 ]
+# The severities, from low to high.
 SEVERITIES = ("low", "medium", "high")
+# The states of an incident.
 INCIDENT_STATUSES = ("open", "investigating", "resolved", "false_positive")
 
 
