@@ -160,6 +160,59 @@ def test_exact_quantiles(spark, half):
             assert rows[name][qt.quantile_name(q)] == pytest.approx(np.quantile(data, q), abs=1e-12)
 
 
+@pytest.mark.parametrize("leaf", [0, 3, 4096])
+def test_quantiles_in_several_rounds(spark, leaf, monkeypatch):
+    """Heavy ties, 26 orders of magnitude and a lattice, down to slots that are never listed."""
+    import pandas as pd
+
+    import sentrylake.operators.quantiles as qt
+
+    monkeypatch.setattr(qt, "LEAF", leaf)
+    rng = np.random.default_rng(11)
+    n = 20_000
+    data = pd.DataFrame({
+        "wide": np.exp(rng.normal(size=n) * 30),
+        "three": rng.integers(0, 3, n) * 1.0,
+        "mostly_zero": np.where(rng.random(n) < 0.9, 0.0, rng.normal(size=n)),
+    })
+    qs = (0.0, 0.05, 0.5, 0.9, 0.99, 1.0)
+    rows = {r["name"]: r for r in exact_quantiles(spark.createDataFrame(data), list(data), qs).collect()}
+    for name in data:
+        for q in qs:
+            want = np.quantile(data[name].to_numpy(), q)
+            assert rows[name][qt.quantile_name(q)] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_quantile_that_a_cut_misses(spark, monkeypatch):
+    """Cuts on the wrong side of their rank cost a round and change nothing."""
+    import sentrylake.operators.quantiles as qt
+
+    learn, wrong = qt._Search.learn, []
+
+    def misled(self, slots):
+        if not wrong:
+            wrong.append(1)
+            slots = {s: type(r)(**{**r.asDict(), "marks": [1.0] * (qt.MARKS + 1)}) for s, r in slots.items()}
+        learn(self, slots)
+
+    monkeypatch.setattr(qt._Search, "learn", misled)
+    row = exact_quantiles(spark.range(30_001).selectExpr("double(id) as x"), ["x"], (0.5,)).first()
+    assert wrong and row.p50 == 15_000.0
+
+
+def test_quantiles_of_special_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(nan, -inf, None), (1.0, inf, None), (2.0, inf, None), (None, 0.0, None)],
+        "some_nan double, endless double, nothing double",
+    )
+    rows = {r["name"]: r for r in exact_quantiles(df, df.columns, (0.0, 0.5, 1.0)).collect()}
+    assert rows.keys() == {"some_nan", "endless"}
+    assert (rows["some_nan"].n, rows["some_nan"].p0, rows["some_nan"].p50) == (3, 1.0, 2.0)
+    assert np.isnan(rows["some_nan"].p100)
+    assert (rows["endless"].p0, rows["endless"].p100) == (-inf, inf)
+
+
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "x double")
     assert exact_quantiles(empty, ["x"], (0.1, 0.9)).count() == 0
