@@ -145,11 +145,11 @@ def cluster_summary(
     )
 
 
-def normalized_risk(summary: DataFrame) -> DataFrame:
+def normalized_risk(summary: DataFrame, stored: bool = False) -> DataFrame:
     """Add final_risk: with three or more rows min-max between the 5 % and 95 % quantiles and
     a logistic curve; with fewer the curve alone, capped."""
     q = exact_quantiles(
-        summary, ["raw_risk"], (0.05, 0.95), extra=("max(x) as largest",)
+        summary, ["raw_risk"], (0.05, 0.95), extra=("max(x) as largest",), stored=stored
     ).select("n", "largest", "p5", "p95")
     x = F.col("raw_risk")
     span = F.col("p95") - F.col("p5")
@@ -363,8 +363,8 @@ def correlate(
     """Signals -> clusters -> rated summaries -> alerts and incidents, before merging."""
     clustered = stage(signal_clusters(signals, opts, latest_only), "clustered")
     summary = stage(cluster_summary(clustered, hosts, ips, opts), "summary")
-    scored = stage(normalized_risk(summary), "risk")
-    rated = stage(quantile_severity(scored, opts), "rated")
+    # Both only add columns: the quantiles behind them are known when they return.
+    rated = quantile_severity(normalized_risk(summary, stored=True), opts)
     alerts = build_alerts(rated, incident_top_features(clustered, stats), created_ts)
     incidents = build_incidents(rated, cluster_categories(clustered))
     entities = cluster_entities(clustered).join(

@@ -1,9 +1,9 @@
 """Exact, linearly interpolated quantiles by selection in rounds.
 
 The built-in exact percentile keeps every distinct value of the column in the memory of one
-task. Here the columns are written once, and every round reads them in one map-side aggregate:
-cuts divide a column's values into slots, each slot is counted exactly, and the slots in which a
-wanted rank lies are sketched. The counts say in which slot a rank is, the sketch only proposes
+task. Here every round reads the stored columns in one map-side aggregate: cuts divide a column's
+values into slots, each slot is counted exactly, and the slots in which a wanted rank lies are
+sketched. The counts say in which slot a rank is, the sketch only proposes
 the next two cuts around it, so its error costs a round and never a value. A slot that holds at
 most LEAF values is listed, which ends the search: two rounds up to a million rows, one more for
 every further factor of some 300. Nothing is ordered in one task, whatever the number of rows.
@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from itertools import accumulate
 from math import ceil, floor
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -86,6 +86,11 @@ class _Search:
         return (row.marks[first], row.marks[last]), most <= LEAF
 
 
+def _sketch(condition: str) -> Column:
+    steps = [i / MARKS for i in range(MARKS + 1)]
+    return F.percentile_approx(F.when(F.expr(condition), F.col("x")), steps, ACCURACY)
+
+
 def _literal(x: float) -> str:
     return f"double('{x!r}')"
 
@@ -123,9 +128,8 @@ def _round(values: DataFrame, open_: dict[str, _Search]) -> dict[str, dict[int,
     counts = slotted.groupBy("name", "slot").agg(F.expr("count(1) as cnt"))
     sketched = _within({c: s.sketched for c, s in open_.items()})
     listed = _within({c: s.listed for c, s in open_.items()})
-    steps = [i / MARKS for i in range(MARKS + 1)]
     looked_at = slotted.filter(f"({sketched}) or ({listed})").groupBy("name", "slot").agg(
-        F.percentile_approx(F.when(F.expr(sketched), F.col("x")), steps, ACCURACY).alias("marks"),
+        _sketch(sketched).alias("marks"),
         F.expr(f"sort_array(collect_list(case when {listed} then x end)) as listed"),
     )
     merged = counts.unionByName(looked_at, allowMissingColumns=True).groupBy("name", "slot").agg(
@@ -138,26 +142,35 @@ def _round(values: DataFrame, open_: dict[str, _Search]) -> dict[str, dict[int,
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], qs: Sequence[float], extra: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    qs: Sequence[float],
+    extra: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """One row per column name: name, n, the extra SQL aggregates over x, and p<percent> for
     each q. Null values are left out, NaN counts as larger than any number, and a column without
-    a value has no row. Runs at once; the columns are written once, so all rounds see the same."""
+    a value has no row. Runs at once. Every round has to see the same values: the columns are
+    written first, unless df is a stored table already."""
+    if not stored:
+        df = stage(df.selectExpr(*[f"cast({c} as double) as {c}" for c in columns]), "quantiles")
     pairs = ", ".join(f"struct('{c}' as name, cast({c} as double) as x)" for c in columns)
-    stored = stage(df.selectExpr(*[f"cast({c} as double) as {c}" for c in columns]), "quantiles")
-    values = stored.selectExpr(f"inline(array({pairs}))").filter("x is not null")
+    values = df.selectExpr(f"inline(array({pairs}))").filter("x is not null")
 
     about = values.groupBy("name").agg(
-        F.expr("count(1) as n"), F.expr("count_if(isnan(x)) as nans"), *[F.expr(e) for e in extra]
+        F.expr("count(1) as n"),
+        *[F.expr(e) for e in extra],
+        F.expr("count_if(isnan(x)) as __nans"),
+        _sketch("not isnan(x)").alias("__marks"),
     )
     known = about.collect()
     searches = {}
     for row in known:
         ends = {side(q * (row.n - 1)) for q in qs for side in (floor, ceil)}
-        numbers = row.n - row.nans
+        numbers = row.n - row["__nans"]
         search = _Search({r for r in ends if r < numbers})
         search.found.update({r: float("nan") for r in ends if r >= numbers})
-        (search.listed if numbers <= LEAF else search.sketched).add(0)
+        search.learn({0: Row(cnt=numbers, marks=row["__marks"], listed=[])})
         searches[row["name"]] = search
     while open_ := {c: s for c, s in searches.items() if s.open_ranks}:
         for column, slots in _round(values, open_).items():
@@ -168,10 +181,7 @@ def exact_quantiles(
         low, high = (searches[row["name"]].found[side(at)] for side in (floor, ceil))
         return low if low == high else low + (high - low) * (at - floor(at))
 
-    schema = StructType(
-        [f for f in about.schema.fields if f.name != "nans"]
-        + [StructField(quantile_name(q), DoubleType()) for q in qs]
-    )
-    kept = [f.name for f in about.schema.fields if f.name != "nans"]
-    rows = [(*[row[c] for c in kept], *[quantile(row, q) for q in qs]) for row in known]
+    kept = [f for f in about.schema.fields if not f.name.startswith("__")]
+    schema = StructType([*kept, *[StructField(quantile_name(q), DoubleType()) for q in qs]])
+    rows = [(*[row[f.name] for f in kept], *[quantile(row, q) for q in qs]) for row in known]
     return df.sparkSession.createDataFrame(rows, schema)

@@ -13,13 +13,15 @@ STAT_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 STAT_NAMES = ("mean", "std", "p5", "p25", "p50", "p75", "p95", "p99")
 
 
-def feature_stats(windows: DataFrame) -> DataFrame:
-    """13 rows: feature, n, mean, population std (+1e-6) and six quantiles."""
+def feature_stats(windows: DataFrame, stored: bool = False) -> DataFrame:
+    """13 rows: feature, n, mean, population std (+1e-6) and six quantiles. stored: windows are a
+    stored table, which is read as it is."""
     stats = exact_quantiles(
         windows,
         FEATURES,
         STAT_QUANTILES,
         extra=("avg(x) as mean", "stddev_pop(x) + 1e-6D as std"),
+        stored=stored,
     )
     return stats.withColumnRenamed("name", "feature").select("feature", "n", *STAT_NAMES)
 
@@ -50,10 +52,12 @@ def _drop_stats(df: DataFrame) -> DataFrame:
     return df.drop(*[f"s_{f}" for f in FEATURES])
 
 
-def scale_by_batch(df: DataFrame, column: str, out: str, frozen: DataFrame | None = None) -> DataFrame:
+def scale_by_batch(
+    df: DataFrame, column: str, out: str, frozen: DataFrame | None = None, stored: bool = False
+) -> DataFrame:
     """(x - q10) / (q90 - q10) clipped to [0, 1], with the quantiles of this batch or, for
-    streams, frozen ones (a one-row DataFrame with p10 and p90)."""
-    q = exact_quantiles(df, [column], (0.1, 0.9)) if frozen is None else frozen
+    streams, frozen ones (a one-row DataFrame with p10 and p90). stored: df is a stored table."""
+    q = exact_quantiles(df, [column], (0.1, 0.9), stored=stored) if frozen is None else frozen
     q = q.select(F.col("p10").alias("_q10"), F.col("p90").alias("_q90"))
     return (
         df.crossJoin(F.broadcast(q))

@@ -8,11 +8,9 @@ from pyspark.sql.window import Window
 
 from ..options import DEFAULTS, Options
 from .sessions import session_events
-from .skew import spread_join
+from .skew import weighted_join
 
 PAD, UNKNOWN = 0, 1
-# Copies of the small token tables in joins; a few tokens make up most of the rows.
-_TOKEN_SALTS = 64
 # Destination ports counted as rare.
 RARE_PORTS = (4444, 8081, 1337, 9001)
 SESSION = ["session_id", "user_name", "ip", "session_start"]
@@ -67,9 +65,9 @@ def session_tail(
         .withColumn("rn", F.row_number().over(newest))
         .filter(F.col("rn") <= opts.max_sequence_len)
     )
-    known = vocab.select("token", "token_id")
     # A handful of tokens holds most rows.
-    joined = spread_join(tail, known, ["token"], ["event_id"], "left", _TOKEN_SALTS)
+    known = vocab.select("token", "token_id", F.col("n").alias("n_token"))
+    joined = weighted_join(tail, known, ["token"], "n_token", ["event_id"], "left")
     return joined.withColumn(
         "token_id", F.coalesce("token_id", F.lit(UNKNOWN))
     )
@@ -102,16 +100,17 @@ def fit_transitions(pairs: DataFrame) -> DataFrame:
 
 def surprisal(pairs: DataFrame, transitions: DataFrame, vocab: DataFrame) -> DataFrame:
     """Mean -log p(token | previous token) per session with add-one smoothing."""
+    known = transitions.withColumn("n_rows", F.col("n_pair"))
     size = vocab.agg((F.count(F.lit(1)) + 1).cast("double").alias("vocab_size"))
-    contexts = transitions.groupBy("prev_id").agg(F.sum("n_pair").alias("n_context"))
+    contexts = transitions.groupBy("prev_id").agg(
+        F.sum("n_pair").alias("n_context"), F.sum("n_pair").alias("n_rows")
+    )
     p = (F.coalesce("n_pair", F.lit(0)) + F.lit(1.0)) / (
         F.coalesce("n_context", F.lit(0)) + F.col("vocab_size")
     )
-    seen = spread_join(
-        pairs, transitions, ["prev_id", "token_id"], SESSION, "left", _TOKEN_SALTS
-    )
+    seen = weighted_join(pairs, known, ["prev_id", "token_id"], "n_rows", SESSION, "left")
     return (
-        spread_join(seen, contexts, ["prev_id"], SESSION, "left", _TOKEN_SALTS)
+        weighted_join(seen, contexts, ["prev_id"], "n_rows", SESSION, "left")
         .crossJoin(F.broadcast(size))  # one row
         .groupBy(*SESSION)
         .agg(

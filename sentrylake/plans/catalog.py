@@ -65,7 +65,7 @@ def entity_flags(spark, sf):
 
 @query
 def feature_stats(spark, sf):
-    return rounded(sc.feature_stats(_staged_windows(spark, sf)))
+    return rounded(sc.feature_stats(_staged_windows(spark, sf), stored=True))
 
 
 # ---------------------------------------------------------------- rules
@@ -168,7 +168,7 @@ def sequence_surprisal(spark, sf):
 @query
 def baseline_window_score(spark, sf):
     windows = _staged_windows(spark, sf)
-    scored = sc.baseline_scores(windows, sc.feature_stats(windows))
+    scored = sc.baseline_scores(windows, sc.feature_stats(windows, stored=True))
     scaled = sc.scale_by_batch(scored, "raw_score", "window_score")
     return rounded(scaled.select("user_name", "ip", "start_ts", "raw_score", "window_score"))
 
@@ -176,14 +176,14 @@ def baseline_window_score(spark, sf):
 @query
 def quantile_scale(spark, sf):
     windows = _staged_windows(spark, sf)
-    scaled = sc.scale_by_batch(windows, "bytes_sum", "bytes_scaled")
+    scaled = sc.scale_by_batch(windows, "bytes_sum", "bytes_scaled", stored=True)
     return rounded(scaled.select("user_name", "ip", "start_ts", "bytes_sum", "bytes_scaled"))
 
 
 @query
 def explain_features(spark, sf):
     windows = _staged_windows(spark, sf)
-    found = sc.explain_features(windows, sc.feature_stats(windows))
+    found = sc.explain_features(windows, sc.feature_stats(windows, stored=True))
     return rounded(found).withColumn("percentile_text", percentile_text(F.col("percentile")))
 
 

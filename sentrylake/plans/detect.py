@@ -69,7 +69,7 @@ def score_windows(windows: DataFrame, models: Models) -> DataFrame:
     if models.trees is not None and models.reconstruction is not None:
         raw = reconstruction_errors(forest_scores(windows, models.trees), models.reconstruction)
         raw = stage(raw, "raw-scores")
-        both = sc.scale_by_batch(raw, "forest_raw", "forest_score", models.frozen("forest_raw"))
+        both = sc.scale_by_batch(raw, "forest_raw", "forest_score", models.frozen("forest_raw"), True)
         both = sc.scale_by_batch(
             both, "reconstruction_raw", "reconstruction_score", models.frozen("reconstruction_raw")
         )
@@ -77,9 +77,8 @@ def score_windows(windows: DataFrame, models: Models) -> DataFrame:
             "window_score", noisy_or(F.col("forest_score"), F.col("reconstruction_score"))
         )
     stats = models.stats if models.stats is not None else sc.feature_stats(windows)
-    return sc.scale_by_batch(
-        stage(sc.baseline_scores(windows, stats), "raw-scores"), "raw_score", "window_score"
-    )
+    raw = stage(sc.baseline_scores(windows, stats), "raw-scores")
+    return sc.scale_by_batch(raw, "raw_score", "window_score", stored=True)
 
 
 def score_sessions(
@@ -94,7 +93,7 @@ def score_sessions(
     table = models.transitions if models.transitions is not None else sq.fit_transitions(pairs)
     raw = stage(sq.surprisal(pairs, table, vocab), "surprisal")
     frozen = models.frozen("sequence_raw")
-    return sc.scale_by_batch(raw, "raw_score", "sequence_score", frozen).select(
+    return sc.scale_by_batch(raw, "raw_score", "sequence_score", frozen, True).select(
         "session_id", "sequence_score"
     )
 
@@ -114,7 +113,7 @@ def build_signals(
     events: DataFrame, models: Models = Models(), opts: Options = DEFAULTS
 ) -> Signals:
     windows = stage(ft.window_features(events, opts, with_evidence=True), "windows")
-    stats = models.stats if models.stats is not None else stage(sc.feature_stats(windows), "stats")
+    stats = models.stats if models.stats is not None else sc.feature_stats(windows, stored=True)
     known = replace(models, stats=stats)
     by_window = sg.window_signals(score_windows(windows, known), opts)
 

@@ -42,7 +42,7 @@ def fit(
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    save(sc.feature_stats(windows), "feature_stats")
+    save(sc.feature_stats(windows, stored=True), "feature_stats")
     forest = save(train_forest(windows, trees, sample, seed), "model_trees")
     linear = save(fit_reconstruction(windows, components), "reconstruction")
 
@@ -51,7 +51,9 @@ def fit(
     table = save(sq.fit_transitions(pairs), "transitions")
 
     raw = stage(reconstruction_errors(forest_scores(windows, forest), linear), "train-scores")
-    q = exact_quantiles(raw, ["forest_raw", "reconstruction_raw"], (0.1, 0.9))
+    q = exact_quantiles(
+        raw, ["forest_raw", "reconstruction_raw"], (0.1, 0.9), stored=True
+    )
     surprise = sq.surprisal(pairs, table, vocab).select(F.col("raw_score").alias("sequence_raw"))
     save(q.unionByName(exact_quantiles(surprise, ["sequence_raw"], (0.1, 0.9))), "score_quantiles")
     return load_models(spark, path)
