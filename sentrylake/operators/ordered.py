@@ -87,17 +87,29 @@ def previous_row(
     """Add prev_<value> columns: the values of the preceding row of the same key.
 
     Rows are ordered inside (keys, slot); the last row of the preceding slot that has any is
-    carried into each slot. order must start with ts and be unique within a key. With one row
-    per key and instant, a slot of n seconds holds at most n million rows, whatever the key.
+    carried into each slot, inside blocks of a day, and from each day into the next. order must
+    start with ts and be unique within a key. With one row per key and instant, a slot of n
+    seconds holds at most n million rows, a day 86,400 / n slots and a key as many blocks as days
+    passed: no task orders more than that, whatever the key.
     """
     cols = list(dict.fromkeys([*order, *values]))
     slotted = df.withColumn("slot", time_slot(F.col(ts), slot_seconds))
     last = slotted.groupBy(*keys, "slot").agg(
         F.max_by(F.struct(*cols), F.struct(*order)).alias("last_row")
     )
-    by_key = Window.partitionBy(*keys).orderBy("slot")
+    last = last.withColumn("block", F.floor(F.col("slot") / F.lit(max(1, 86_400 // slot_seconds))))
+    in_block = Window.partitionBy(*keys, "block").orderBy("slot")
+    within = last.withColumn("last_row", F.lag("last_row").over(in_block)).drop("block")
+    # What a day's first slot gets comes from the last day that has any.
+    by_key = Window.partitionBy(*keys).orderBy("block")
+    across = (
+        last.groupBy(*keys, "block")
+        .agg(F.min("slot").alias("slot"), F.max_by("last_row", "slot").alias("last_row"))
+        .withColumn("last_row", F.lag("last_row").over(by_key))
+        .drop("block")
+    )
     carried = (
-        last.withColumn("last_row", F.lag("last_row").over(by_key))
+        within.unionByName(across)
         .filter(F.col("last_row").isNotNull())
         .select(*keys, "slot", "last_row.*", F.lit(True).alias("is_carry"))
     )

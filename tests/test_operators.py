@@ -394,3 +394,48 @@ def test_no_plan_pairs_rows_without_a_key(spark, sf):
                ev.detection_metrics(a, a)):
         assert "CartesianProduct" not in plan_of(df)
         assert "NestedLoop" not in plan_of(df)
+
+
+def test_previous_row_over_slots_and_days(spark):
+    """Rows of one second, one slot, one day and many days, and a key that pauses for a month."""
+    import datetime as dt
+
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2024, 2, 27)
+    rows = []
+    for key, spread in (("a", 40), ("b", 86_400), ("c", 30 * 86_400), (None, 5 * 86_400)):
+        for s in sorted(set(rng.integers(0, spread, 60).tolist())):
+            rows.append((key, start + dt.timedelta(seconds=s), len(rows)))
+    rows.append(("b", start + dt.timedelta(days=40), len(rows)))
+    rows.append(("b", start + dt.timedelta(days=40, microseconds=1), len(rows)))
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v int")
+    got = {r.v: r.prev_v for r in od.previous_row(df, ["k"], "ts", ["ts", "v"], ["v"], 10).collect()}
+    want, last = {}, {}
+    for key, _, v in sorted(rows, key=lambda r: r[1]):
+        want[v] = last.get(key)
+        last[key] = v
+    assert got == want
+
+
+def test_weighted_join_cuts_heavy_keys_only(spark, monkeypatch):
+    """Half of the rows under one key go to half of the pieces; other keys keep one row."""
+    from collections import Counter
+
+    from sentrylake.operators import skew
+
+    monkeypatch.setattr(skew, "PIECES", 16)
+    rows = spark.range(8_000).selectExpr(
+        "id", "case when id % 2 = 0 then 'hot' when id % 7 = 0 then null else concat('k', id % 1000) end as k"
+    )
+    small = rows.filter("k is not null and k != 'k1'").groupBy("k").agg(F.count("*").alias("n"))
+    small = small.withColumn("name", F.upper("k"))
+    heavy = {r.k: r["__salts"] for r in skew.heavy_keys(small, ["k"], "n").collect()}
+    assert heavy.keys() == {"hot"} and heavy["hot"] in range(8, 11)
+    for how in ("inner", "left"):
+        joined = skew.weighted_join(rows, small, ["k"], "n", ["id"], how)
+        plain = rows.join(small.drop("n"), "k", how)
+        assert set(joined.columns) == set(plain.columns)
+        assert Counter(joined.select("id", "k", "name").collect()) == Counter(
+            plain.select("id", "k", "name").collect()
+        )
+    assert skew.weighted_join(rows, small.limit(0), ["k"], "n", ["id"], "left").count() == 8_000
