@@ -12,6 +12,23 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 _folders: list[str] = []
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
+def warehouse_root(spark: SparkSession) -> str:
+    """A folder of the warehouse, whose default is a folder of the driver: on a cluster such a one
+    is refused."""
+    warehouse = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+    system = warehouse.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(warehouse).toString()
+    if root.startswith("file:") and not _one_machine(spark):
+        raise RuntimeError(
+            f"{root} may be a folder of one machine: set spark.checkpoint.dir to shared storage"
+        )
+    return root.rstrip("/") + "/_runs"
+
+
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the checkpoint folder of the context, else the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,7 +37,7 @@ def shared_root(spark: SparkSession) -> str:
     current = spark._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_runs"
+    return warehouse_root(spark)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

@@ -439,3 +439,13 @@ def test_weighted_join_cuts_heavy_keys_only(spark, monkeypatch):
             plain.select("id", "k", "name").collect()
         )
     assert skew.weighted_join(rows, small.limit(0), ["k"], "n", ["id"], "left").count() == 8_000
+
+
+def test_intermediate_tables_never_go_to_one_machine_of_a_cluster(spark, monkeypatch):
+    from sentrylake.operators import staging
+
+    assert staging.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert staging.warehouse_root(spark).endswith("/warehouse/_runs")
+    monkeypatch.setattr(staging, "_one_machine", lambda _: False)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.warehouse_root(spark)
