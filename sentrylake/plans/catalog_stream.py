@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.fields import present
 from ..functions.timefn import micros_of, minutes
 from ..operators import features as ft
-from ..operators.staging import run_folder
+from ..operators.staging import run_folder, stage
 from ..sources.projection import security_events
 from ..streaming import ingest, journal
 from ..streaming.feature_store import feature_windows, start_features
-from ..streaming.rules import STREAMS, keyed_state
+from ..streaming.rules import STREAMS, keyed_state, state_partitions
 from ..streaming.windows import sessions_stream, windows_stream
 from .catalog_detect import flat_alerts
 from .catalog_sources import ssh_lines, windows_rows, zeek_json_lines
@@ -52,31 +52,47 @@ def arrivals(events: DataFrame, parts: int) -> list[DataFrame]:
     return [*out, late]
 
 
-def streamed(
-    spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame], parts: int = 1,
+def streamed_together(
+    spark: SparkSession, sf: str, builds: list[Callable[[DataFrame], DataFrame]], parts: int = 1,
     again: int = 0,
-) -> DataFrame:
-    """What build makes of the stream of all events, which arrive in `parts` batches of files. Each
-    run of the query takes what is there and ends; the checkpoint lets the next one, and `again`
-    more at the end, add nothing twice."""
+) -> list[DataFrame]:
+    """What each of builds makes of the stream of all events, which arrive in `parts` batches of
+    files. Each run of the queries, all at the same time, takes what is there and ends; the
+    checkpoints let the next one, and `again` more at the end, add nothing twice."""
     folder = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = security_events(spark, sf)
+    events = stage(security_events(spark, sf), "events")
     batches = arrivals(events, parts)
     if not batches:
-        return build(events)
+        return [build(events) for build in builds]
     for arrived in [*batches, *[None] * again]:
         if arrived is not None:
             arrived.write.mode("append").parquet(f"{folder}/source")
         source = spark.readStream.schema(events.schema).parquet(f"{folder}/source")
-        (
-            build(source).writeStream.outputMode("append").format("parquet")
-            .option("path", f"{folder}/out")
-            .option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-    return spark.read.parquet(f"{folder}/out")
+        running = []
+        try:
+            with state_partitions(spark):
+                for i, build in enumerate(builds):
+                    running.append(
+                        build(source).writeStream.outputMode("append").format("parquet")
+                        .option("path", f"{folder}/out-{i}")
+                        .option("checkpointLocation", f"{folder}/checkpoint-{i}")
+                        .trigger(availableNow=True)
+                        .start()
+                    )
+            for q in running:
+                q.awaitTermination()
+        finally:
+            for q in running:
+                q.stop()
+    return [spark.read.parquet(f"{folder}/out-{i}") for i in range(len(builds))]
+
+
+def streamed(
+    spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame], parts: int = 1,
+    again: int = 0,
+) -> DataFrame:
+    """streamed_together of one query."""
+    return streamed_together(spark, sf, [build], parts, again)[0]
 
 
 @query
@@ -94,7 +110,7 @@ def stream_sessions(spark, sf):
 def stream_rules(spark, sf):
     """The three rules over a stream of three batches, with state carried from one to the next."""
     with keyed_state(spark):
-        found = [streamed(spark, sf, build, parts=3) for build in STREAMS.values()]
+        found = streamed_together(spark, sf, list(STREAMS.values()), parts=3)
     return rounded(found[0].unionByName(found[1]).unionByName(found[2]))
 
 
@@ -103,7 +119,7 @@ def stream_features(spark, sf):
     """All 13 features from a stream of three batches, kept as sums that each batch adds to. The
     first batch is taken in twice, as after a failure before its commit."""
     folder = f"{run_folder(spark)}/features-{uuid.uuid4().hex}"
-    events = security_events(spark, sf)
+    events = stage(security_events(spark, sf), "events")
     batches = arrivals(events, 3)[:-1]
     if not batches:
         return ft.window_features(events)

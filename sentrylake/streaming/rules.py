@@ -38,6 +38,21 @@ def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tupl
         yield int(micros), *(int(x) if isinstance(x, Integral) else x for x in rest)
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in as many partitions as there are cores, if
+    spark.sql.shuffle.partitions asks for more. Each partition costs every batch its own commit and
+    worker, also an empty one, nothing merges small ones, and the number holds for the life of a
+    checkpoint."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Queries with state of their own need the RocksDB state store; it is set while they run."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentrylake.operators import merge as mg
 from sentrylake.operators import rules as ru
 from sentrylake.operators.merge_state import merge_batch, merged_members
+from sentrylake.plans import catalog_stream
 from sentrylake.plans.catalog_stream import arrivals
 from sentrylake.streaming.rules import STREAMS, keyed_state
 
@@ -113,3 +114,23 @@ def test_merging_looks_at_near_incidents_only(spark, tmp_path):
         & (F.col("start_ts") <= F.lit(high).cast("timestamp_ntz") + window)
     ).count()
     assert 0 < merge_batch(late, root, 1) == near < 120
+
+
+def test_streams_run_together_with_state_by_cores(spark, make_events, monkeypatch):
+    events = busy_events(make_events)
+    monkeypatch.setattr(catalog_stream, "security_events", lambda *_: events)
+    cores, name = spark.sparkContext.defaultParallelism, "spark.sql.shuffle.partitions"
+    before, seen = spark.conf.get(name), []
+
+    def build(source):
+        seen.append(int(spark.conf.get(name)))
+        return source.select("event_id")
+
+    spark.conf.set(name, "200")
+    try:
+        found = catalog_stream.streamed_together(spark, "", [build, build])
+        assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, before)
+    assert seen == [cores] * 4
+    assert found[0].count() == found[1].count() > events.count()
