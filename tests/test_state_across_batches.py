@@ -134,3 +134,39 @@ def test_streams_run_together_with_state_by_cores(spark, make_events, monkeypatc
         spark.conf.set(name, before)
     assert seen == [cores] * 4
     assert found[0].count() == found[1].count() > events.count()
+
+
+def same_times(spark, n, addresses=1):
+    """Incidents of few addresses that all start and end within ten minutes."""
+    at = "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, id % 600)"
+    return spark.range(n).selectExpr(
+        "'i' || lpad(id, 6, '0') as incident_id", f"{at} as start_ts", f"{at} as end_ts",
+        f"'a' || id % {addresses} as primary_ip", "cast(null as string) as primary_user",
+        "1 as total_alerts", "'low' as max_severity", "map('x', 1L) as categories",
+        "'open' as status", "'' as analyst_notes", "'' as resolution_reason", "'' as summary",
+    )
+
+
+def test_merging_links_groups_not_incidents(spark, monkeypatch):
+    sizes = []
+    solve = mg.connected_components
+
+    def counted(vertices, edges, vertex):
+        sizes.append(edges.count())
+        return solve(vertices, edges, vertex)
+
+    monkeypatch.setattr(mg, "connected_components", counted)
+    members = mg.merge_incidents(same_times(spark, 3000, 3)).members
+    assert members.count() == 3000
+    assert members.select("merged_id").distinct().count() == 3
+    assert sizes[0] <= 20
+
+
+def test_an_id_with_several_rows_links_their_groups(spark):
+    rows = same_times(spark, 4, 4)
+    later = rows.filter("incident_id = 'i000000'").withColumn("primary_ip", F.lit("a1"))
+    members = mg.merge_incidents(rows.unionByName(later)).members
+    got = {r.incident_id: (r.merged_id, r["count"]) for r in
+           members.groupBy("incident_id", "merged_id").count().collect()}
+    assert got == {"i000000": ("i000000", 4), "i000001": ("i000000", 1),
+                   "i000002": ("i000002", 1), "i000003": ("i000003", 1)}
