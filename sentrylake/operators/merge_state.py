@@ -3,8 +3,9 @@
 A stored incident keeps for ever the component that it was given when it came in; components that
 grow together later are one row each in a small table of relabellings. A batch therefore costs the
 incidents near it in time, the components that its edges touch and the relabellings, not a new run
-over all incidents: edges are made among the batch and the stored incidents within the window of it,
-their ends are replaced by the components known so far, and only that contracted graph is solved.
+over all incidents: the batch and the stored incidents within the window of it are put into groups
+(merge.with_group), edges are made among the groups and from a group to the components known so far
+that it touches, and only that contracted graph is solved.
 
 Folders below a root: incidents/batch=n (written once) and relabel/batch=n (all relabellings up to
 batch n). Batches are numbered; running one again replaces what it wrote, and a batch sees only smaller
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.timefn import minutes
 from ..options import DEFAULTS, Options
 from .components import component_links
-from .merge import merge_edges
-from .skew import spread_join
+from .merge import GROUP, group_edges, group_measures, with_group
+from .skew import spread_join, weighted_join
 from .staging import stage
 from .tables import read_table
 
@@ -55,7 +56,8 @@ def merge_batch(batch: DataFrame, root: str, number: int, opts: Options = DEFAUL
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
     stored, relabel = _stored(spark, root, number), _relabelled(spark, root, number)
     new = stage(
-        batch.select(*names).dropDuplicates(["incident_id"])
+        batch.select(*names).filter(F.col("incident_id").isNotNull())
+        .dropDuplicates(["incident_id"])
         .join(stored.select("incident_id"), "incident_id", "left_anti"),
         "new-incidents",
     )
@@ -70,15 +72,21 @@ def merge_batch(batch: DataFrame, root: str, number: int, opts: Options = DEFAUL
         "near-incidents",
     )
     now = F.coalesce("now", "component").alias("component")
-    known = near.join(relabel, "component", "left").select("incident_id", now).unionByName(
-        new.select("incident_id", F.col("incident_id").alias("component"))
+    known = with_group(near.join(relabel, "component", "left").select(*names, now), opts)
+    added = with_group(new, opts)
+    # Grouped before they are linked: a group counts once, and so does a component that it touches.
+    groups = stage(
+        known.unionByName(added.withColumn("component", F.col("incident_id")))
+        .groupBy(*GROUP)
+        .agg(F.count(F.lit(1)).alias("n"), *group_measures(F.col("component"))),
+        "groups",
+    )
+    touched = stage(known.select(*GROUP, "component").distinct(), "touched")
+    to_stored = touched.join(groups.select(*GROUP, "rep"), GROUP).select(
+        F.col("rep").alias("u"), F.col("component").alias("v")
     )
-    edges = merge_edges(near.select(*names).unionByName(new), opts)
-    for end in ("u", "v"):
-        of_end = known.select(F.col("incident_id").alias(end), F.col("component").alias(f"c{end}"))
-        edges = edges.join(of_end, end)
     links = stage(
-        component_links(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(
+        component_links(group_edges(groups, opts).unionByName(to_stored)).select(
             F.col("u").alias("component"), F.col("v").alias("now")
         ),
         "links",
@@ -87,13 +95,18 @@ def merge_batch(batch: DataFrame, root: str, number: int, opts: Options = DEFAUL
     carried = relabel.join(
         links.select(F.col("component").alias("now"), F.col("now").alias("newer")), "now", "left"
     ).select("component", F.coalesce("newer", "now").alias("now"))
-    own = new.select(F.col("incident_id").alias("component"))
-    carried.unionByName(links.join(own, "component", "left_anti")).write.mode("overwrite").parquet(
-        f"{root}/relabel/batch={number}"
+    # The other ends of links are ids of this batch, which nothing is stored under yet.
+    older = links.join(touched.select("component").distinct(), "component", "left_semi")
+    carried.unionByName(older).write.mode("overwrite").parquet(f"{root}/relabel/batch={number}")
+    of_group = stage(
+        groups.select(*GROUP, "n", "rep")
+        .join(links.withColumnRenamed("component", "rep"), "rep", "left")
+        .select(*GROUP, "n", F.coalesce("now", "rep").alias("component")),
+        "group-components",
+    )
+    labelled = weighted_join(added, of_group, GROUP, "n", ["incident_id"]).select(
+        *names, "component"
     )
-    labelled = new.join(
-        links.withColumnRenamed("component", "incident_id"), "incident_id", "left"
-    ).select(*names, F.coalesce("now", "incident_id").alias("component"))
     labelled.write.mode("overwrite").parquet(f"{root}/incidents/batch={number}")
     return near.count()
 

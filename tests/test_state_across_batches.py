@@ -162,6 +162,25 @@ def test_merging_links_groups_not_incidents(spark, monkeypatch):
     assert sizes[0] <= 20
 
 
+def test_batches_link_groups_not_incidents(spark, tmp_path, monkeypatch):
+    from sentrylake.operators import merge_state
+
+    sizes, solve = [], merge_state.component_links
+
+    def counted(edges):
+        sizes.append(edges.count())
+        return solve(edges)
+
+    monkeypatch.setattr(merge_state, "component_links", counted)
+    root, every = f"file://{tmp_path}/merging", same_times(spark, 3000, 3)
+    for number in range(2):
+        merge_batch(every.filter(F.pmod(F.xxhash64("incident_id"), F.lit(2)) == number), root, number)
+    members = merged_members(spark, root)
+    assert members.count() == 3000
+    assert members.select("merged_id").distinct().count() == 3
+    assert max(sizes) <= 20
+
+
 def test_an_id_with_several_rows_links_their_groups(spark):
     rows = same_times(spark, 4, 4)
     later = rows.filter("incident_id = 'i000000'").withColumn("primary_ip", F.lit("a1"))
