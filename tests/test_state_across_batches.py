@@ -189,3 +189,10 @@ def test_an_id_with_several_rows_links_their_groups(spark):
            members.groupBy("incident_id", "merged_id").count().collect()}
     assert got == {"i000000": ("i000000", 4), "i000001": ("i000000", 1),
                    "i000002": ("i000002", 1), "i000003": ("i000003", 1)}
+
+
+def test_the_json_of_an_event_is_parsed_once(spark, sf):
+    from sentrylake.sources.projection import security_events
+
+    plan = security_events(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
